@@ -69,5 +69,17 @@ def parallelism(spark: SparkSession) -> int:
 
 def can_broadcast(df: DataFrame, max_bytes: int = 32 << 20) -> bool:
     """True if the optimizer's size estimate proves that ``df`` is small enough to send to every executor."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size <= max_bytes
+
+
+def rows_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of Python values as a local relation, whose size the optimizer knows."""
+    import pyarrow as pa
+
+    fields = spark.createDataFrame([], schema).schema
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shape = to_arrow_schema(fields)
+    cols = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(shape)]
+    return spark.createDataFrame(pa.Table.from_arrays(cols, schema=shape))

@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("TEST_TABLES", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")

@@ -70,7 +70,8 @@ def cheapest_edits(line: str, width: int) -> tuple[int, list[str]]:
                     continue
                 if cell + 1 < width:
                     relax(then, (_START, cell + 1), c, ops)
-                relax(then, (state, cell), c + 1, (ops, ("delete delimiter", at)))
+                # two cells become one; what follows is read as it would be without the edit
+                relax(then, (_START, cell), c + 1, (ops, ("delete delimiter", at)))
             elif kind == '"':
                 if state != _PLAIN:
                     relax(then, ({_START: _QUOTED, _QUOTED: _CLOSED, _CLOSED: _QUOTED}[state], cell), c, ops)

@@ -151,16 +151,17 @@ _ORPHANS = f"""
 WITH s AS (SELECT sample_id, CAST(tech_id AS BIGINT) AS tech_id, {_EPOCH.format(c="ingested_at")} AS own_at FROM samples),
 sf AS (SELECT sample_id, CASE WHEN count(*) = count(own_at) THEN min(own_at) END AS since FROM s GROUP BY sample_id),
 b AS (SELECT bitmap_id, bitmap_type AS t, nullif(trim(bitmap_key), '') AS k, epoch_us(built_at) AS own_at FROM precomputed_bitmaps),
-targets AS (SELECT 'phenotype' AS t, code AS k, epoch_us(added_at) AS since FROM phenotype_terms UNION ALL SELECT 'sex', 'male', NULL UNION ALL SELECT 'sex', 'female', NULL),
+tf AS (SELECT tech_id, CASE WHEN count(*) = count(added_at) THEN min(epoch_us(added_at)) END AS since FROM technologies GROUP BY tech_id),
+targets AS (SELECT 'phenotype' AS t, code AS k, CASE WHEN count(*) = count(added_at) THEN min(epoch_us(added_at)) END AS since FROM phenotype_terms GROUP BY code UNION ALL SELECT 'sex', 'male', NULL UNION ALL SELECT 'sex', 'female', NULL),
 found AS (
   SELECT 'sample_phenotype' AS tab, p.link_id AS row_key, epoch_us(p.assigned_at) AS own_at FROM sample_phenotype p LEFT JOIN sf ON sf.sample_id = p.sample_id
   WHERE p.sample_id IS NOT NULL AND (sf.sample_id IS NULL OR sf.since > epoch_us(p.assigned_at))
   UNION ALL
-  SELECT 'samples', s.sample_id, s.own_at FROM s LEFT JOIN technologies g ON g.tech_id = s.tech_id WHERE s.tech_id IS NOT NULL AND (g.tech_id IS NULL OR epoch_us(g.added_at) > s.own_at)
+  SELECT 'samples', s.sample_id, s.own_at FROM s LEFT JOIN tf g ON g.tech_id = s.tech_id WHERE s.tech_id IS NOT NULL AND (g.tech_id IS NULL OR g.since > s.own_at)
   UNION ALL
   SELECT 'precomputed_bitmaps', b.bitmap_id, b.own_at FROM b LEFT JOIN targets x ON x.t = b.t AND x.k = b.k WHERE b.k IS NOT NULL AND b.t <> 'tech' AND (x.k IS NULL OR x.since > b.own_at)
   UNION ALL
-  SELECT 'precomputed_bitmaps', b.bitmap_id, b.own_at FROM b LEFT JOIN technologies g ON CAST(g.tech_id AS DOUBLE) = TRY_CAST(b.k AS DOUBLE) WHERE b.k IS NOT NULL AND b.t = 'tech' AND (g.tech_id IS NULL OR epoch_us(g.added_at) > b.own_at)
+  SELECT 'precomputed_bitmaps', b.bitmap_id, b.own_at FROM b LEFT JOIN tf g ON CAST(g.tech_id AS DOUBLE) = TRY_CAST(b.k AS DOUBLE) WHERE b.k IS NOT NULL AND b.t = 'tech' AND (g.tech_id IS NULL OR g.since > b.own_at)
 ), named AS (SELECT tab, CASE WHEN own_at IS NULL THEN 'unknown' ELSE strftime(make_timestamp(own_at), '%Y-%m') END AS month_key, CAST(row_key AS BIGINT) AS row_key FROM found)
 """
 

@@ -121,7 +121,8 @@ def test_random_cohorts(spark, seed):
     for sf in filters:
         got = {tuple(r)[:4]: tuple(r)[4:] for r in measures(cohort, sf).select("chrom", "pos", "ref", "alt", *MEASURES).collect()}
         assert got == brute(calls, samples, capture, sf, quality)
-    grouped = {(r["grp"], *tuple(r)[:4]): tuple(r[m] for m in MEASURES) for r in measures_by_group(cohort, [SampleFilter(), SampleFilter(sex="male"), SampleFilter(phenotype_include=("A",))]).where("AN > 0").collect()}
+    rows = measures_by_group(cohort, [SampleFilter(), SampleFilter(sex="male"), SampleFilter(phenotype_include=("A",))]).collect()
+    grouped = {(k, *tuple(r)[:4]): tuple(g[m] for m in MEASURES) for r in rows for k, g in enumerate(r["g"]) if g["AN"]}
     for k, sf in enumerate([SampleFilter(), SampleFilter(sex="male"), SampleFilter(phenotype_include=("A",))]):
         assert {v[1:]: x for v, x in grouped.items() if v[0] == k} == brute(calls, samples, capture, sf, quality)
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from varicohort.functions.chrom import CHROMS
 from varicohort.functions.ploidy import PAR
-from varicohort.operators.coverage import merge_intervals
+from varicohort.operators.coverage import merge_intervals, segments
 from varicohort.operators.filters import SampleFilter
 from varicohort.operators.measures import measures
 from varicohort.plans import export, queries as Q
@@ -33,6 +33,7 @@ DIMS = {
     "sample_phenotype": "sample_id int, phenotype_code string",
     "technologies": "tech_id int, tech_name string, bed_path string, always_covered boolean",
     "capture": "tech_id int, chrom string, start0 int, end0 int",
+    "stretches": "chrom string, start0 int, end0 int, kits array<int>",
     "changelog": "event_id bigint, event_type string, event_time string, sample_names array<string>, notes string",
 }
 CALLS = "chrom string, pos int, ref string, alt string, sample_id int, is_het boolean, is_hom boolean, is_fail boolean, is_qp boolean, bucket bigint"
@@ -94,7 +95,7 @@ class Database:
         for g in gens[1:]:
             calls = calls.unionByName(g)
         # merge of generations: samples are added once and ids are never used again, so rows stay unique
-        self.cohort = Cohort(calls, dims["samples"], dims["sample_phenotype"], dims["technologies"], dims["capture"], m["genome_build"], Quality(**m["coverage_filter"]), True)
+        self.cohort = Cohort(calls, dims["samples"], dims["sample_phenotype"], dims["technologies"], dims["capture"], m["genome_build"], Quality(**m["coverage_filter"]), True, dims["stretches"])
         self._known: tuple[set[str], set[str]] | None = None
 
     # --- creation
@@ -365,6 +366,7 @@ def _fit(df: DataFrame, dim: str) -> DataFrame:
 def _store_dims(spark: SparkSession, root: str, manifest: dict, dims: dict[str, DataFrame]) -> None:
     manifest["generation"] = manifest.get("generation", 0) + 1
     gen = f"gen-{manifest['generation']}"
+    dims = dims | {"stretches": segments(dims["capture"])}
     for t, df in dims.items():
         _fit(df, t).coalesce(1).write.parquet(f"{root}/dims/{gen}/{t}")
     manifest["dims"] = gen

@@ -32,6 +32,32 @@ def covering(positions: DataFrame, merged: DataFrame) -> DataFrame:
     return p.join(bins, ["chrom", "bin"]).where("start0 < pos AND pos <= end0").select("chrom", "pos", "tech_id")
 
 
+def segments(merged: DataFrame) -> DataFrame:
+    """(chrom, start0, end0, kits): disjoint stretches in which the same kits cover every position, kits sorted.
+
+    A position lies in one stretch at most, so joining with them never multiplies rows. There are at most twice as many
+    stretches as intervals.
+    """
+    cuts = merged.select("chrom", F.explode(F.array("start0", "end0")).alias("start0")).distinct()
+    pieces = cuts.withColumn("end0", F.lead("start0").over(Window.partitionBy("chrom").orderBy("start0"))).where("end0 IS NOT NULL")
+    kits = covering(pieces.select("chrom", F.col("end0").alias("pos")), merged).groupBy("chrom", F.col("pos").alias("end0")).agg(F.sort_array(F.collect_list("tech_id")).alias("kits"))
+    return pieces.join(kits, ["chrom", "end0"]).select("chrom", "start0", "end0", "kits")
+
+
+def with_segment(rows: DataFrame, stretches: DataFrame, basis: DataFrame) -> DataFrame:
+    """``rows`` (chrom, pos, ...) with the other columns of the stretch that each lies in, null where there is none.
+
+    ``basis`` is the table behind ``stretches``; if it is known to be small they are broadcast, else both sides meet by
+    (chrom, bin).
+    """
+    names = [c for c in stretches.columns if c not in ("chrom", "start0", "end0")]
+    bins = stretches.withColumn("__bin", F.explode(F.sequence(((F.col("start0") + 1) / BIN_BP).cast("bigint"), (F.col("end0") / BIN_BP).cast("bigint")))).withColumnRenamed("chrom", "__chrom")
+    if can_broadcast(basis, 8 << 20):
+        bins = F.broadcast(bins)
+    on = (F.col("chrom") == F.col("__chrom")) & ((F.col("pos") / BIN_BP).cast("bigint") == F.col("__bin")) & (F.col("start0") < F.col("pos")) & (F.col("pos") <= F.col("end0"))
+    return rows.join(bins, on, "left").select(*rows.columns, *names)
+
+
 def kit_patterns(positions: DataFrame, merged: DataFrame, technologies: DataFrame) -> DataFrame:
     """(chrom, pos, n_kits, kit_pattern): how many kits cover a position, and their names joined by +."""
     positions = positions.select("chrom", "pos").distinct()

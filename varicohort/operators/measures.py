@@ -1,23 +1,29 @@
-"""The nine measures of every variant over a sub-cohort: one plan for all query shapes.
+"""The nine measures of every variant over sub-cohorts: one plan for all query shapes.
 
-calls ─ broadcast samples ─ aggregate per (variant, technology)        the only shuffle of the facts, combined map-side
-positions ─ coverage ─ per position: males, females, kits               small
-both ─ join on position ─ aggregate per variant                         no further shuffle
+calls ─ broadcast samples ─ aggregate per (variant, technology)      one scan and one shuffle of facts, combined map-side
+      ─ broadcast capture stretches: which kits cover the position   at most one stretch a row
+      ─ aggregate per variant                                        a shuffle of a few rows per variant
 
-Kits without carriers need no rows: what they add is known per position, and kits with carriers correct it.
+How many males and females each technology has in a sub-cohort is known to the driver (one number per technology and
+group), so neither the samples nor kits without carriers need rows of their own: what kits without carriers add to
+N_NO_COVERAGE follows from the stretch, and kits with carriers correct it.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from varicohort.functions.ploidy import allele_number, ploidy
-from varicohort.operators.coverage import covering
+from varicohort.operators.coverage import with_segment
 from varicohort.operators.filters import SampleFilter, sample_attributes
 from varicohort.plans.cohort import VARIANT, Cohort
 from varicohort.session import can_broadcast
 
 MEASURES = ["AC", "AN", "AF", "n_eligible", "N_HET", "N_HOM_ALT", "N_HOM_REF", "N_FAIL", "N_NO_COVERAGE"]
+COUNTS = ["AC", "N_HET", "N_HOM_ALT", "N_FAIL", "pass", "obs", "qp"]
+WHOLE = -1  # number of the group that holds every sample
 
 
 def _small(df: DataFrame, basis: DataFrame) -> DataFrame:
@@ -33,31 +39,60 @@ def flagged_samples(cohort: Cohort, filters: list[SampleFilter]) -> DataFrame:
     return s.select("sample_id", "sex", "tech_id", member[0].alias("inside"), numbers.alias("groups"))
 
 
-def sample_counts(flagged: DataFrame, technologies: DataFrame) -> DataFrame:
-    """tech_id, always_covered, grp, males, females: one row per technology and group that has samples."""
-    n = flagged.select("tech_id", "sex", F.explode("groups").alias("grp")).groupBy("tech_id", "grp").agg(F.count_if(F.col("sex") == "male").alias("males"), F.count_if(F.col("sex") == "female").alias("females"))
-    return n.join(technologies.select("tech_id", "always_covered"), "tech_id")
+class Headcount:
+    """Males and females of every technology in every group: technologies times groups numbers, as literals."""
 
+    def __init__(self, cohort: Cohort, filters: list[SampleFilter], flagged: DataFrame):
+        self.n = len(filters)
+        rows = flagged.select("tech_id", "sex", F.explode("groups").alias("grp")).where("sex IN ('male', 'female')").groupBy("tech_id", "sex", "grp").count().collect()
+        self.always = sorted(r[0] for r in cohort.technologies.where("always_covered").select("tech_id").collect() if r[0] is not None)
+        self.per = {sex: {} for sex in ("male", "female")}
+        for r in rows:
+            if r["tech_id"] is not None:
+                self.per[r["sex"]].setdefault(r["tech_id"], [0] * self.n)[r["grp"]] += r["count"]
 
-def position_relation(cohort: Cohort, positions: DataFrame, counts: DataFrame, n_groups: int = 1) -> DataFrame:
-    """chrom, pos, grp, kits, AN, n_eligible, kit_samples: one row per position and group, AN 0 included.
+    def _map(self, table: dict) -> Column:
+        return F.from_json(F.lit(json.dumps({str(k): v for k, v in table.items()})), "map<string,array<bigint>>")
+
+    def samples_of(self, tech: Column, grp: Column | int) -> Column:
+        """Samples of a technology in a group."""
+        both = {t: [a + b for a, b in zip(self.per["male"].get(t, [0] * self.n), self.per["female"].get(t, [0] * self.n))] for t in {*self.per["male"], *self.per["female"]}}
+        return F.coalesce(F.get(F.try_element_at(self._map(both), tech.cast("string")), grp if isinstance(grp, Column) else F.lit(grp)), F.lit(0).cast("bigint"))
+
+    def everywhere(self, sex: str) -> list[int]:
+        """Samples of the technologies that cover every position, by group."""
+        return [sum(self.per[sex].get(t, [0] * self.n)[g] for t in self.always) for g in range(self.n)]
+
+    def is_always(self, tech: Column) -> Column:
+        return F.coalesce(tech.isin(self.always), F.lit(False)) if self.always else F.lit(False)
+
+    def of_kits(self, kits: Column, sex: str) -> Column:
+        """Array over the groups: samples of a list of kits."""
+        table, zero = self._map(self.per[sex]), F.lit(0).cast("bigint")
+        return F.transform(F.sequence(F.lit(0), F.lit(self.n - 1)), lambda g: F.aggregate(kits, zero, lambda a, t: a + F.coalesce(F.get(F.try_element_at(table, t.cast("string")), g), zero)))
+
+
+def headcount(cohort: Cohort, filters: list[SampleFilter], flagged: DataFrame) -> Headcount:
+    key = tuple(filters)
+    if key not in cohort.memo:
+        cohort.memo[key] = Headcount(cohort, filters, flagged)
+    return cohort.memo[key]
 
-    Technologies that cover everything count everywhere; their numbers are one row a group. kits are those that cover
-    the position, kit_samples the eligible samples of kits.
-    """
-    kits = covering(positions, cohort.capture)
-    of_kits = counts.where("NOT always_covered")
-    per_group = kits.join(F.broadcast(of_kits.groupBy("tech_id").agg(F.collect_list(F.struct("grp", "males", "females")).alias("c"))), "tech_id", "left")
-    per = per_group.groupBy("chrom", "pos").agg(F.collect_list("tech_id").alias("kits"), F.flatten(F.collect_list(F.coalesce("c", F.array().cast("array<struct<grp:int,males:bigint,females:bigint>>")))).alias("c"))
-    p = positions.join(per, ["chrom", "pos"], "left").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))) if n_groups > 1 else positions.join(per, ["chrom", "pos"], "left").withColumn("grp", F.lit(0))
-    always = F.broadcast(counts.where("always_covered").groupBy("grp").agg(F.sum("males").alias("am"), F.sum("females").alias("af")))
-    p = p.join(always, "grp", "left")
-    zero = F.lit(0).cast("bigint")
-    total = lambda f: F.aggregate(F.coalesce("c", F.array().cast("array<struct<grp:int,males:bigint,females:bigint>>")), zero, lambda a, x: a + F.when(x.grp == F.col("grp"), x[f]).otherwise(zero))
-    p = p.select("chrom", "pos", "grp", F.coalesce("kits", F.array().cast("array<int>")).alias("kits"), total("males").alias("km"), total("females").alias("kf"), F.coalesce("am", zero).alias("am"), F.coalesce("af", zero).alias("af"))
-    males, females = F.col("km") + F.col("am"), F.col("kf") + F.col("af")
-    an = allele_number(F.col("chrom"), F.col("pos"), males, females, cohort.build)
-    return p.select("chrom", "pos", "grp", "kits", an.alias("AN"), (males + females).alias("n_eligible"), (F.col("km") + F.col("kf")).alias("kit_samples"))
+
+def with_position_facts(rows: DataFrame, cohort: Cohort, heads: Headcount) -> DataFrame:
+    """``rows`` with kits (that cover the position) and __males, __females, __kit_samples: arrays over the groups."""
+    zeros = F.array(*[F.lit(0).cast("bigint")] * heads.n) if heads.n < 64 else F.array_repeat(F.lit(0).cast("bigint"), heads.n)
+    s = cohort.coverage()
+    s = s.select("chrom", "start0", "end0", "kits", heads.of_kits(F.col("kits"), "male").alias("__km"), heads.of_kits(F.col("kits"), "female").alias("__kf"))
+    j = with_segment(rows, s, cohort.stretches if cohort.stretches is not None else cohort.capture)
+    km, kf = F.coalesce("__km", zeros), F.coalesce("__kf", zeros)
+    everywhere = lambda sex: F.from_json(F.lit(json.dumps(heads.everywhere(sex))), "array<bigint>")
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    return j.select(*rows.columns, F.coalesce("kits", F.array().cast("array<int>")).alias("kits"), add(km, everywhere("male")).alias("__males"), add(kf, everywhere("female")).alias("__females"), add(km, kf).alias("__kit_samples"))
+
+
+def an_of(cohort: Cohort, males: Column, females: Column) -> Column:
+    return allele_number(F.col("chrom"), F.col("pos"), males, females, cohort.build)
 
 
 def kit_gate(sf: SampleFilter, min_covered: int) -> tuple[bool, Column]:
@@ -77,9 +112,6 @@ def check_gates(cohort: Cohort, sf: SampleFilter) -> None:
         raise ValueError("min_quality_evidence needs a cohort that was built with quality thresholds")
 
 
-COUNTS = ["AC", "N_HET", "N_HOM_ALT", "N_FAIL", "pass", "obs", "qp"]
-
-
 def _counts(inside: Column) -> list[Column]:
     """The counts of COUNTS over the rows for which ``inside`` holds; p is the ploidy."""
     het, hom = F.col("is_het"), F.col("is_hom")
@@ -96,49 +128,40 @@ def _counts(inside: Column) -> list[Column]:
     ]
 
 
-def per_technology(cohort: Cohort, calls: DataFrame, flagged: DataFrame, n_groups: int = 1) -> DataFrame:
-    """VARIANT, tech_id, grp, COUNTS, has_class and qp_all, the last two over the whole cohort.
-
-    One aggregation of the calls for a single group. With several, the calls are aggregated once for the whole cohort
-    and once by group; a call takes part in as many groups as its sample belongs to.
-    """
+def _with_samples(cohort: Cohort, calls: DataFrame, flagged: DataFrame) -> DataFrame:
     c = calls.where("is_het OR is_hom OR is_fail OR is_qp").join(_small(flagged, cohort.samples), "sample_id", "left")
-    c = c.withColumn("p", ploidy(F.col("chrom"), F.col("pos"), F.col("sex"), cohort.build))
-    whole = [F.bool_or(F.col("is_het") | F.col("is_hom") | F.col("is_fail")).alias("has_class"), F.count_if(F.col("is_qp") & F.col("sex").isNotNull()).alias("qp_all")]
-    if n_groups == 1:
-        return c.groupBy(*VARIANT, "tech_id").agg(*whole, *_counts(F.col("inside"))).withColumn("grp", F.lit(0))
-    every = c.groupBy(*VARIANT, "tech_id").agg(*whole).withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    grouped = c.withColumn("grp", F.explode("groups")).groupBy(*VARIANT, "tech_id", "grp").agg(*_counts(F.lit(True)))
-    return every.join(grouped, [*VARIANT, "tech_id", "grp"], "left").fillna(0, COUNTS)
+    return c.withColumn("p", ploidy(F.col("chrom"), F.col("pos"), F.col("sex"), cohort.build))
 
 
-def measures_by_group(cohort: Cohort, filters: list[SampleFilter], calls: DataFrame | None = None) -> DataFrame:
-    """VARIANT, grp (number of the filter) and MEASURES for every stored variant and filter, AN 0 included (AF is null then).
+def _whole() -> list[Column]:
+    """Facts over all samples, inside or not: whether the variant is stored, and quality-passing calls."""
+    return [F.bool_or(F.col("is_het") | F.col("is_hom") | F.col("is_fail")).alias("has_class"), F.count_if(F.col("is_qp") & F.col("sex").isNotNull()).alias("qp_all")]
 
-    The evidence gates are those of the first filter.
-    """
-    sf = filters[0]
-    check_gates(cohort, sf)
-    calls = cohort.calls if calls is None else calls
-    n = len(filters)
-    flagged = flagged_samples(cohort, filters)
-    counts = sample_counts(flagged, cohort.technologies)
-    tech = per_technology(cohort, calls, flagged, n)
-    where = position_relation(cohort, tech.select("chrom", "pos").distinct(), counts, n)
-    always = cohort.technologies.where("always_covered").select("tech_id", F.lit(True).alias("__always"))
-    tech = tech.join(F.broadcast(always), "tech_id", "left").join(F.broadcast(counts.select("tech_id", "grp", (F.col("males") + F.col("females")).alias("n_tech"))), ["tech_id", "grp"], "left")
-    j = tech.join(where, ["chrom", "pos", "grp"])
-    on, fails = kit_gate(sf, cohort.quality.min_covered)
-    always_ = F.coalesce("__always", F.lit(False))
-    covered = always_ | F.array_contains("kits", F.col("tech_id").cast("int"))
-    size = F.coalesce("n_tech", F.lit(0))
+
+def per_technology(cohort: Cohort, calls: DataFrame, flagged: DataFrame) -> DataFrame:
+    """VARIANT, tech_id, COUNTS of the first group, has_class and qp_all; calls of unknown samples have a null tech_id."""
+    return _with_samples(cohort, calls, flagged).groupBy(*VARIANT, "tech_id").agg(*_whole(), *_counts(F.col("inside")))
+
+
+def _per_variant(cohort: Cohort, tech: DataFrame, heads: Headcount, sf: SampleFilter, by: list[str], grp: Column | int) -> DataFrame:
+    """Sum the technologies of a variant (and group): the counts, and spared, by which kits with carriers lower N_NO_COVERAGE."""
+    _, fails = kit_gate(sf, cohort.quality.min_covered)
+    t = F.col("tech_id").cast("int")
+    always = heads.is_always(t)
+    covered = F.coalesce(always | F.array_contains("kits", t), F.lit(False))
+    size = heads.samples_of(t, grp)
     # a kit without carriers fails every gate that is on: all its samples count, unless its carriers' row says less
-    spared = F.when(covered & ~always_, size - F.when(fails, size - F.col("obs")).otherwise(0)).otherwise(0)
-    add = lambda c: F.sum(F.when(covered, F.col(c)).otherwise(0)).alias(c)
-    no_cov = (F.first("kit_samples") - F.sum(spared)) if on else F.lit(0).cast("bigint")
-    g = j.groupBy(*VARIANT, "grp").agg(F.bool_or("has_class").alias("has_class"), add("AC"), F.first("AN").alias("AN"), F.first("n_eligible").alias("n_eligible"), add("N_HET"), add("N_HOM_ALT"), add("N_FAIL"), no_cov.alias("N_NO_COVERAGE")).where("has_class")
-    rest = F.col("n_eligible") - F.col("N_HET") - F.col("N_HOM_ALT") - F.col("N_FAIL") - F.col("N_NO_COVERAGE")
-    return g.withColumn("AF", F.try_divide("AC", "AN")).withColumn("N_HOM_REF", rest).select(*VARIANT, "grp", *MEASURES)
+    spared = F.when(covered & ~always, size - F.when(fails, size - F.col("obs")).otherwise(0)).otherwise(0)
+    flat = tech.withColumn("__covered", covered).withColumn("__spared", spared)
+    add = lambda c: F.sum(F.when(F.col("__covered"), F.col(c)).otherwise(0)).alias(c)
+    return flat.groupBy(*by).agg(F.bool_or("has_class").alias("has_class"), *(add(c) for c in ("AC", "N_HET", "N_HOM_ALT", "N_FAIL")), F.sum("__spared").alias("spared"), *(F.first(c).alias(c) for c in ("__males", "__females", "__kit_samples")))
+
+
+def _finish(cohort: Cohort, on: bool, count, males: Column, females: Column, kit_samples: Column) -> dict[str, Column]:
+    """MEASURES from counts and headcounts; ``count`` gives a column by name."""
+    an, n = an_of(cohort, males, females), males + females
+    no = kit_samples - count("spared") if on else F.lit(0).cast("bigint")
+    return {"AC": count("AC"), "AN": an, "AF": F.try_divide(count("AC"), an), "n_eligible": n, "N_HET": count("N_HET"), "N_HOM_ALT": count("N_HOM_ALT"), "N_HOM_REF": n - count("N_HET") - count("N_HOM_ALT") - count("N_FAIL") - no, "N_FAIL": count("N_FAIL"), "N_NO_COVERAGE": no}
 
 
 def measures(cohort: Cohort, sf: SampleFilter, calls: DataFrame | None = None) -> DataFrame:
@@ -147,4 +170,44 @@ def measures(cohort: Cohort, sf: SampleFilter, calls: DataFrame | None = None) -
     Variants that no sample of the sub-cohort carries are there with AC 0, also those whose carriers have left the
     cohort (until it is compacted). An empty sub-cohort gives no rows.
     """
-    return measures_by_group(cohort, [sf], calls).where("AN > 0").drop("grp")
+    check_gates(cohort, sf)
+    flagged = flagged_samples(cohort, [sf])
+    heads = headcount(cohort, [sf], flagged)
+    tech = with_position_facts(per_technology(cohort, cohort.calls if calls is None else calls, flagged), cohort, heads)
+    first = [F.col(c)[0].alias(c) for c in ("__males", "__females", "__kit_samples")]
+    tech = tech.select(*(c for c in tech.columns if not c.startswith("__")), *first)
+    v = _per_variant(cohort, tech, heads, sf, VARIANT, 0).where("has_class")
+    on, _ = kit_gate(sf, cohort.quality.min_covered)
+    m = _finish(cohort, on, F.col, F.col("__males"), F.col("__females"), F.col("__kit_samples"))
+    return v.select(*VARIANT, *(c.alias(k) for k, c in m.items())).where("AN > 0")
+
+
+def measures_by_group(cohort: Cohort, filters: list[SampleFilter], calls: DataFrame | None = None) -> DataFrame:
+    """VARIANT and ``g``, an array with a struct of MEASURES for each filter, for every stored variant.
+
+    AN may be 0 there, with AF null. The evidence gates are those of the first filter. The calls are read and shuffled
+    once: a call takes part in every group of its sample, and in the group of all samples.
+    """
+    sf, n = filters[0], len(filters)
+    check_gates(cohort, sf)
+    flagged = flagged_samples(cohort, filters)
+    heads = headcount(cohort, filters, flagged)
+    c = _with_samples(cohort, cohort.calls if calls is None else calls, flagged)
+    c = c.withColumn("grp", F.explode(F.concat(F.coalesce("groups", F.array().cast("array<int>")), F.array(F.lit(WHOLE)))))
+    tech = c.groupBy(*VARIANT, "tech_id", "grp").agg(*_whole(), *_counts(F.lit(True)))
+    if cohort.quality.min_covered > 0:  # the build gate looks at the whole cohort: a number that the other groups need too
+        from pyspark.sql import Window
+
+        tech = tech.withColumn("qp_all", F.max(F.when(F.col("grp") == WHOLE, F.col("qp_all"))).over(Window.partitionBy(*VARIANT, "tech_id")))
+    tech = with_position_facts(tech, cohort, heads)
+    per = _per_variant(cohort, tech, heads, sf, [*VARIANT, "grp"], F.col("grp"))
+    names = ["AC", "N_HET", "N_HOM_ALT", "N_FAIL", "spared"]
+    v = per.groupBy(*VARIANT).agg(F.bool_or("has_class").alias("has_class"), F.map_from_entries(F.collect_list(F.struct("grp", F.struct(*names)))).alias("c"), *(F.first(x).alias(x) for x in ("__males", "__females", "__kit_samples"))).where("has_class")
+    on, _ = kit_gate(sf, cohort.quality.min_covered)
+
+    def one(g: Column) -> Column:
+        count = lambda k: F.coalesce(F.try_element_at("c", g).getField(k), F.lit(0).cast("bigint"))
+        m = _finish(cohort, on, count, F.get("__males", g), F.get("__females", g), F.get("__kit_samples", g))
+        return F.struct(*(x.alias(k) for k, x in m.items()))
+
+    return v.select(*VARIANT, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one).alias("g"))

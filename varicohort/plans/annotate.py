@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from varicohort.functions.chrom import normalize_chrom
 from varicohort.operators.filters import SampleFilter
-from varicohort.operators.measures import check_gates, flagged_samples, measures_by_group, position_relation, sample_counts
+from varicohort.operators.measures import an_of, check_gates, flagged_samples, headcount, measures, with_position_facts
 from varicohort.plans.cohort import VARIANT, Cohort
+from varicohort.session import can_broadcast
 
 INFO_FIELDS = {
     "AC": ("A", "Integer", "Allele count in the cohort"),
@@ -38,11 +39,11 @@ def annotate(cohort: Cohort, records: DataFrame, sf: SampleFilter = SampleFilter
     check_gates(cohort, sf)
     r = records.select("line_no", normalize_chrom(F.col("chrom")).alias("chrom"), F.col("pos").cast("int").alias("pos"), "ref", F.posexplode_outer("alts").alias("alt_no", "alt"))
     wanted = r.where("alt IS NOT NULL").select(*VARIANT).distinct()
-    calls = cohort.calls.join(wanted, VARIANT, "left_semi")
-    m = measures_by_group(cohort, [sf], calls).drop("grp", "AN", "n_eligible").withColumn("stored", F.lit(True))
-    counts = sample_counts(flagged_samples(cohort, [sf]), cohort.technologies)
-    where = position_relation(cohort, r.where("alt IS NOT NULL").select("chrom", "pos").distinct(), counts).select("chrom", "pos", "AN", "n_eligible")
-    j = r.join(where, ["chrom", "pos"], "left").join(m, VARIANT, "left")
+    small = F.broadcast(wanted) if can_broadcast(records) else wanted
+    m = measures(cohort, sf, cohort.calls.join(small, VARIANT, "left_semi")).drop("AN", "n_eligible").withColumn("stored", F.lit(True))
+    heads = headcount(cohort, [sf], flagged_samples(cohort, [sf]))
+    j = with_position_facts(r, cohort, heads).withColumn("n_eligible", F.col("__males")[0] + F.col("__females")[0]).withColumn("AN", an_of(cohort, F.col("__males")[0], F.col("__females")[0]))
+    j = j.join(m, VARIANT, "left")
     covered = F.coalesce(F.col("AN"), F.lit(0)) > 0
     zero = lambda c: F.when(covered, F.coalesce(c, F.lit(0).cast("bigint"))).alias(c)
     return j.select(

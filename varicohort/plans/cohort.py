@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from varicohort.functions.chrom import bucket, is_known, normalize_chrom
-from varicohort.operators.coverage import merge_intervals
+from varicohort.operators.coverage import merge_intervals, segments
 
 VARIANT = ["chrom", "pos", "ref", "alt"]
 
@@ -50,13 +50,21 @@ class Cohort:
     build: str = "GRCh37"
     quality: Quality = Quality()
     partitioned: bool = False  # calls have a column bucket that prunes files
+    stretches: DataFrame | None = None  # capture as disjoint stretches with their kits, if stored
+    memo: dict = field(default_factory=dict, compare=False, repr=False)  # small facts about the dimensions
+
+    def coverage(self) -> DataFrame:
+        """chrom, start0, end0, kits"""
+        return self.stretches if self.stretches is not None else segments(self.capture)
 
     @property
     def spark(self) -> SparkSession:
         return self.calls.sparkSession
 
     def with_(self, **changes) -> "Cohort":
-        return replace(self, **changes)
+        if "capture" in changes:
+            changes.setdefault("stretches", None)
+        return replace(self, memo={}, **changes)
 
 
 def classify(ingested: DataFrame, quality: Quality = Quality()) -> DataFrame:

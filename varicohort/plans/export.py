@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from varicohort.functions.chrom import BUCKET_BP, CHROMS, normalize_chrom_text
 from varicohort.operators.filters import SampleFilter
-from varicohort.operators.measures import measures_by_group
+from varicohort.operators.measures import measures, measures_by_group
 from varicohort.plans.cohort import VARIANT, Cohort
 from varicohort.plans.queries import genomic_order
 
@@ -51,14 +51,12 @@ def dump(cohort: Cohort, base: SampleFilter = SampleFilter(), groups: dict[str,
                     calls = calls.where(getattr(F.col("bucket"), op)(bound // BUCKET_BP))
     elif start is not None or end is not None:
         raise ValueError("start and end need chrom")
-    labels = ["", *(groups or {})]
-    m = measures_by_group(cohort, [base, *(groups or {}).values()], calls)
     if not groups:
-        out = m.where("AN > 0").select(*VARIANT, *BASE)
+        out = measures(cohort, base, calls).select(*VARIANT, *BASE)
     else:
-        wide = [F.first(F.when(F.col("grp") == i, F.struct(*(F.coalesce(c, F.lit(0.0)).alias(c) if c == "AF" else F.col(c) for c in BASE))), ignorenulls=True).alias(f"__g{i}") for i in range(len(labels))]
-        g = m.groupBy(*VARIANT).agg(*wide).where("__g0.AN > 0")
-        out = g.select(*VARIANT, *(F.col(f"__g{i}.{c}").alias(f"{c}_{label}" if label else c) for i, label in enumerate(labels) for c in BASE))
+        m = measures_by_group(cohort, [base, *groups.values()], calls).where("g[0].AN > 0")
+        field = lambda i, c: F.coalesce(F.col("g")[i][c], F.lit(0.0)) if c == "AF" else F.col("g")[i][c]
+        out = m.select(*VARIANT, *(field(i, c).alias(f"{c}_{label}" if label else c) for i, label in enumerate(["", *groups]) for c in BASE))
     return out if include_ac_zero else out.where("AC > 0")
 
 

@@ -80,8 +80,8 @@ def batch_frame(cohort: Cohort, requests: DataFrame, sf: SampleFilter = SampleFi
     at = (F.col("chrom") == F.col("q_chrom")) & (F.col("pos") == F.col("q_pos"))
     key = at & (F.col("q_ref").isNull() | (F.col("ref") == F.col("q_ref"))) & (F.col("q_alt").isNull() | (F.col("alt") == F.col("q_alt")))
     m = measures(cohort, sf, cohort.calls.join(small, key, "left_semi"))
-    first = m.select(*VARIANT).join(small, key).groupBy(*VARIANT).agg(F.min("idx").alias("idx"))
-    return m.join(first, VARIANT)
+    # the measures are constant within a variant: grouping by them keeps them without another join
+    return m.join(small, key).groupBy(*m.columns).agg(F.min("idx").alias("idx"))
 
 
 def batch(cohort: Cohort, chrom: str, keys: Iterable[Key], sf: SampleFilter = SampleFilter()) -> DataFrame:

@@ -66,13 +66,13 @@ def test_salting_changes_nothing(spark):
 
 
 def test_packed_values(spark):
-    cells = {1: "KD10, \"Velar lesion, late\" ;'OX-1''s'", 2: None, 3: " ,; | ", 4: '"anemia ""wicker"""', 5: "Sable's ataxia|KD1O1", 6: "KD10 ZR200 Gravel tremor KD11", 7: '""', 8: "'a\"b'", 9: 'x"y', 10: '"never closed, KD10', 11: "KD10," * 20_000}
+    cells = {1: "KD10, \"Velar lesion, late\" ;'OX-1''s'", 2: None, 3: " ,; | ", 4: '"anemia ""wicker"""', 5: "Sable's ataxia|KD1O1", 6: "KD10 ZR200 Gravel tremor KD11", 7: '""', 8: "'a\"b'", 9: 'x"y', 10: '"never closed, KD10', 11: "KD10," * 20_000, 12: '"' + 'x""' * 100_000 + '"', 13: '"a""b",' * 10_000}
     df = rows_table(spark, list(cells.items()), "id bigint, cell string")
     got: dict = {}
     for r in split_packed(df, "cell", ["id"]).orderBy("id", "item_no").collect():
         assert r.item_no == len(got.setdefault(r.id, [])) + 1
         got[r.id].append(r.item)
-    assert got.pop(11) == ["KD10"] * 20_000
+    assert got.pop(11) == ["KD10"] * 20_000 and got.pop(12) == ['x"' * 100_000] and got.pop(13) == ['a"b'] * 10_000
     assert got == {1: ["KD10", "Velar lesion, late", "OX-1's"], 4: ['anemia "wicker"'], 5: ["Sable's ataxia", "KD1O1"], 6: ["KD10", "ZR200", "Gravel tremor", "KD11"], 8: ['a"b'], 9: ['x"y'], 10: ['"never closed', "KD10"]}
 
 

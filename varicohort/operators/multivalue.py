@@ -1,8 +1,8 @@
 """Several values packed in one field: one row per value, with its place.
 
 A cell is split on its quote characters. Odd pieces are literals, in which delimiters mean nothing; even pieces are split
-on delimiters. A fold over the pieces puts the values together again: an empty even piece between two literals is a
-doubled quote inside a value.
+on delimiters. Folds over the array of pieces put the values together again, a doubled quote inside a
+literal as a single one.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def _unify_quotes(cell: Column) -> Column:
     A quote opens only at the cell's start or after a delimiter or blank, and closes only before one or at the end: an
     apostrophe within a word is an ordinary character.
     """
-    both = rf"(?:(?<=^)|(?<=[{_STOP}]))(?:(\")((?:[^\"]|\"\")*)\"|(')((?:[^']|'')*)')(?=[{_STOP}]|$)"
+    both = rf"(?:(?<=^)|(?<=[{_STOP}]))(?:(\")([^\"]*+(?:\"\"[^\"]*+)*+)\"|(')([^']*+(?:''[^']*+)*+)')(?=[{_STOP}]|$)"
     return F.regexp_replace(F.translate(cell, _MARK + _CUT, ""), both, f"{_MARK}$1$2$3$4{_MARK}")
 
 
@@ -49,7 +49,7 @@ def packed_values(cell: Column) -> Column:
     pieces = F.split(_unify_quotes(cell), _MARK)
     # even places are plain, odd ones literal; a literal is fenced by cuts so that it never joins its neighbours
     rebuilt = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit(_CUT + _MARK), F.translate(_literal(p), _CUT, ""), F.lit(_CUT))).otherwise(_split_plain(p)))
-    whole = F.aggregate(rebuilt, F.lit(""), lambda acc, p: F.concat(acc, p))
+    whole = F.array_join(rebuilt, "")
     values = F.transform(F.split(whole, _CUT), lambda v: F.regexp_replace(F.ltrim(F.replace(v, F.lit(_MARK), F.lit(""))), r"^\s+|\s+$", ""))
     return F.filter(values, lambda v: v != "")
 

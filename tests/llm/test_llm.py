@@ -51,14 +51,11 @@ def made_up(seed, n=120):
     return docs
 
 
-@pytest.mark.parametrize("least, block, shard", [(40, 10**6, 10**6), (41, 300, 200), (200, 10**6, 10**6)])
-def test_shared_spans(spark, monkeypatch, least, block, shard):
+@pytest.mark.parametrize("least, block, shard, chunk, per_range", [(40, 10**6, 10**6, 2 * 10**6, 10**6), (41, 300, 200, 9000, 500), (40, 1000, 5000, 2000, 50), (200, 10**6, 10**6, 9000, 10**6)])
+def test_shared_spans(spark, least, block, shard, chunk, per_range):
     docs = made_up(least)
     df = rows_table(spark, [(i, t, "x") for i, t in docs], "doc_id bigint, text string, chunk string").repartition(3)
-    monkeypatch.setattr(spans, "CHUNK_CHARS", 9_000)
-    monkeypatch.setattr(spans, "BLOCK", block)
-    monkeypatch.setattr(spans, "SHARD_CHARS", shard)
-    got = {tuple(r) for r in spans.shared_spans(df, least).distinct().collect()}
+    got = {tuple(r) for r in spans.shared_spans(df, least, chunk_chars=chunk, block=block, shard_chars=shard, windows_per_range=per_range).distinct().collect()}
     assert got == brute_spans(docs, least)
 
 

@@ -17,8 +17,8 @@ recurring part, and a passage that is in very many documents travels once per ch
 from __future__ import annotations
 
 import io
-from bisect import bisect_right
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,7 @@ from varicohort.session import fresh_path, parallelism, written
 CHUNK_CHARS = 2_000_000
 BLOCK = 1_000_000
 SHARD_CHARS = 1_000_000
+WINDOWS_PER_RANGE = 2_000_000
 TARGETS_PER_SALT = 256
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
@@ -87,7 +88,7 @@ def _least_in(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(codes: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(codes: np.ndarray, ends: np.ndarray, least: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with the same anchor: (hash of the anchor, first window start, number of windows).
 
     codes: texts one after the other; ends: where each ends. Windows do not cross the end of a text. Among equal
@@ -96,8 +97,8 @@ def anchors(codes: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray
     k = least // 2
     mask = _U((1 << 24) - 1)
     found: list[tuple[np.ndarray, ...]] = []
-    for at in range(0, max(0, len(codes) - least + 1), BLOCK):
-        part = codes[at : at + BLOCK + least - 1]
+    for at in range(0, max(0, len(codes) - least + 1), block):
+        part = codes[at : at + block + least - 1]
         if len(part) < least:
             break
         h = Rolling(part).of(k)
@@ -117,9 +118,12 @@ def anchors(codes: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+_ZSTD = zstandard.ZstdCompressor(3)
+
+
 def _squeeze(a: np.ndarray) -> bytes:
     """Sorted numbers as differences, compressed."""
-    return zstandard.ZstdCompressor(3).compress(np.diff(a, prepend=a.dtype.type(0)).tobytes())
+    return _ZSTD.compress(np.diff(a, prepend=a.dtype.type(0)).tobytes())
 
 
 def _expand(b: bytes, dtype) -> np.ndarray:
@@ -150,11 +154,11 @@ class _Chunks:
         return t["doc_id"].to_numpy(), texts, np.cumsum([len(x) for x in texts])
 
 
-def _fingerprint(folder: str, least: int):
+def _fingerprint(folder: str, least: int, chunk_chars: int, block: int):
     def emit(store: _Chunks, chunk: int, ids: list[int], texts: list[str]) -> pa.RecordBatch | None:
         store.write(chunk, ids, texts)
         ends = np.cumsum([len(t) for t in texts])
-        h, start, n = anchors(_codes("".join(texts)), ends, least)
+        h, start, n = anchors(_codes("".join(texts)), ends, least, block)
         if not len(h):
             return None
         doc = np.asarray(ids, np.int64)[np.searchsorted(ends, start, "right")]
@@ -166,8 +170,8 @@ def _fingerprint(folder: str, least: int):
         flat = runs.tobytes()
         blobs = [flat[8 * a : 8 * b] for a, b in zip(edge[:-1], edge[1:])]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(cut), chunk, np.int64)), pa.array(h[cut].view(np.int64)), pa.array(np.minimum.reduceat(doc, cut)), pa.array(np.maximum.reduceat(doc, cut)), pa.array(blobs, pa.binary())],
-            names=["chunk", "anchor", "lo", "hi", "runs"],
+            [pa.array(np.full(len(cut), chunk, np.int64)), pa.array(h[cut].view(np.int64)), pa.array(np.minimum.reduceat(doc, cut)), pa.array(np.maximum.reduceat(doc, cut)), pa.array(np.add.reduceat(n, cut)), pa.array(blobs, pa.binary())],
+            names=["chunk", "anchor", "lo", "hi", "windows", "runs"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +188,7 @@ def _fingerprint(folder: str, least: int):
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
-                if size >= CHUNK_CHARS:
+                if size >= chunk_chars:
                     out = emit(store, (part << 24) | made, ids, texts)
                     ids, texts, size, made = [], [], 0, made + 1
                     if out is not None:
@@ -195,7 +199,7 @@ def _fingerprint(folder: str, least: int):
     return run
 
 
-def _window_hashes(folder: str, least: int, buckets: int):
+def _window_hashes(folder: str, least: int, buckets: int, block: int):
     """Recurring anchors of a chunk to the whole hashes of their windows, one row per range of the hash."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -212,7 +216,7 @@ def _window_hashes(folder: str, least: int, buckets: int):
         edges = np.append(np.flatnonzero(np.concatenate([[True], np.diff(doc) != 0])), len(doc))
         while at < len(edges) - 1:  # some documents at a time
             to, size = at, 0
-            while to < len(edges) - 1 and (to == at or size < BLOCK):
+            while to < len(edges) - 1 and (to == at or size < block):
                 size += len(texts[doc[edges[to]]])
                 to += 1
             some = [doc[edges[j]] for j in range(at, to)]
@@ -221,10 +225,10 @@ def _window_hashes(folder: str, least: int, buckets: int):
             sl = slice(edges[at], edges[to])
             where = pos[sl] + moved
             codes = _codes("".join(texts[d] for d in some))
-            for b in range(0, len(codes), BLOCK):
-                inside = (where >= b) & (where < b + BLOCK)
+            for b in range(0, len(codes), block):
+                inside = (where >= b) & (where < b + block)
                 if inside.any():
-                    hashes[sl.start + np.flatnonzero(inside)] = Rolling(codes[b : b + BLOCK + least - 1]).of(least)[where[inside] - b]
+                    hashes[sl.start + np.flatnonzero(inside)] = Rolling(codes[b : b + block + least - 1]).of(least)[where[inside] - b]
             at = to
         owner = ids[doc]
         order = np.lexsort((pos, owner, hashes))
@@ -318,7 +322,7 @@ def _same_behind(a: str, i: int, b: str, j: int) -> int:
     return n
 
 
-def locate(passages: list[str], texts: list[str], least: int) -> list[list[tuple[int, int]]]:
+def locate(passages: list[str], texts: list[str], least: int, shard_chars: int = SHARD_CHARS) -> list[list[tuple[int, int]]]:
     """For each text the runs of code points that lie in stretches of at least ``least`` found in some passage."""
     import ahocorasick
 
@@ -330,7 +334,7 @@ def locate(passages: list[str], texts: list[str], least: int) -> list[list[tuple
     for n, p in enumerate(queue):
         shard.append(p)
         size += len(p)
-        if size < SHARD_CHARS and n + 1 < len(queue):
+        if size < shard_chars and n + 1 < len(queue):
             continue
         automaton, at = ahocorasick.Automaton(), {}
         for k, q in enumerate(shard):
@@ -367,35 +371,40 @@ def merge_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _locate(folder: str, least: int):
+def _locate(folder: str, least: int, shard_chars: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, texts, _ = _Chunks(folder).read(int(pdf["target"].iloc[0]))
-        rows = [(int(i), a, b) for i, spans in zip(ids, locate(pdf["passage"].tolist(), texts, least)) for a, b in spans]
+        rows = [(int(i), a, b) for i, spans in zip(ids, locate(pdf["passage"].tolist(), texts, least, shard_chars)) for a, b in spans]
         return pd.DataFrame(rows, columns=["doc_id", "span_start", "span_end"]).astype({"doc_id": "int64", "span_start": "int32", "span_end": "int32"})
 
     return run
 
 
-def shared_spans(documents: DataFrame, least: int = 200, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def shared_spans(documents: DataFrame, least: int = 200, id_col: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, block: int = BLOCK, shard_chars: int = SHARD_CHARS, windows_per_range: int = WINDOWS_PER_RANGE) -> DataFrame:
     """(doc_id, span_start, span_end): the longest runs in which every code point lies in a shared stretch.
 
     A stretch of ``least`` code points is shared if it occurs in the text of a document with another id. Rows without
     id or text, and texts shorter than ``least``, have no spans; rows repeated under one id are one document. Positions
     are code points from 0, the end is exclusive. Windows are compared by 64-bit hashes before the automata compare
     letters, so a chance agreement can only add a stretch to its own document, never lose one.
+
+    chunk_chars, block, shard_chars and windows_per_range bound what a task holds at once; the result is the same for
+    all of them.
     """
     spark = documents.sparkSession
     folder = fresh_path(spark, "chunks")
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    prints = written(docs.mapInArrow(_fingerprint(folder, least), "chunk bigint, anchor bigint, lo bigint, hi bigint, runs binary"), "fingerprints")
+    prints = written(docs.mapInArrow(_fingerprint(folder, least, chunk_chars, block), "chunk bigint, anchor bigint, lo bigint, hi bigint, windows bigint, runs binary"), "fingerprints")
     n = max(parallelism(spark), prints.select("chunk").distinct().count())
     recurring = prints.groupBy("anchor").agg(F.min("lo").alias("least_id"), F.max("hi").alias("most_id")).where("least_id != most_id").select("anchor")
-    candidates = prints.select("chunk", "anchor", "runs").join(recurring, "anchor").select("chunk", "runs")
-    windows = candidates.repartition(2 * n, "chunk").groupBy("chunk").applyInPandas(_window_hashes(folder, least, n), "bucket bigint, chunk bigint, hashes binary, pos binary, docs binary")
-    wanted = windows.repartition(2 * n, "bucket").groupBy("bucket").applyInPandas(_recurring, "owner bigint, target bigint, starts binary")
+    candidates = written(prints.select("chunk", "anchor", "windows", "runs").join(recurring, "anchor").select("chunk", "windows", "runs"), "candidates")
+    # as many ranges of the hash as the candidates ask for, so that a chunk has many windows for each
+    ranges = max(parallelism(spark), ceil((candidates.agg(F.sum("windows")).first()[0] or 0) / windows_per_range))
+    windows = candidates.drop("windows").repartition(2 * n, "chunk").groupBy("chunk").applyInPandas(_window_hashes(folder, least, ranges, block), "bucket bigint, chunk bigint, hashes binary, pos binary, docs binary")
+    wanted = windows.repartition(2 * ranges, "bucket").groupBy("bucket").applyInPandas(_recurring, "owner bigint, target bigint, starts binary")
     salt = F.floor(F.xxhash64("target") / F.lit(1 << 62)) if n > TARGETS_PER_SALT else F.lit(0)
     sent = wanted.withColumn("salt", salt.cast("int")).repartition(2 * n, "owner", "salt").groupBy("owner", "salt").applyInPandas(_passages(folder, least), "target bigint, passage string")
-    return sent.repartition(2 * n, "target").groupBy("target").applyInPandas(_locate(folder, least), "doc_id bigint, span_start int, span_end int")
+    return sent.repartition(2 * n, "target").groupBy("target").applyInPandas(_locate(folder, least, shard_chars), "doc_id bigint, span_start int, span_end int")
 
 
 def shared_part(documents: DataFrame, spans: DataFrame) -> DataFrame:

@@ -10,15 +10,17 @@ state before or after, and a failed change leaves nothing but unnamed files.
 from __future__ import annotations
 
 import json
+import os
+import warnings
 from datetime import datetime, timezone
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from varicohort.functions.chrom import CHROMS
+from varicohort.functions.chrom import CHROMS, normalize_chrom, normalize_chrom_text
 from varicohort.functions.ploidy import PAR
 from varicohort.operators.coverage import merge_intervals, segments
-from varicohort.operators.filters import SampleFilter
+from varicohort.operators.filters import CohortWarning, SampleFilter
 from varicohort.operators.measures import measures
 from varicohort.plans import export, queries as Q
 from varicohort.plans.annotate import annotate, annotate_stats
@@ -44,8 +46,6 @@ class UpdateError(ValueError):
 
 
 def _uri(path: str) -> str:
-    import os
-
     return path.rstrip("/") if "://" in path else "file://" + os.path.abspath(path)
 
 
@@ -97,6 +97,7 @@ class Database:
         # merge of generations: samples are added once and ids are never used again, so rows stay unique
         self.cohort = Cohort(calls, dims["samples"], dims["sample_phenotype"], dims["technologies"], dims["capture"], m["genome_build"], Quality(**m["coverage_filter"]), True, dims["stretches"])
         self._known: tuple[set[str], set[str]] | None = None
+        self._chroms: set[str] | None = None
 
     # --- creation
 
@@ -141,33 +142,49 @@ class Database:
         sf.check(*self._known)
         return sf
 
+    def known_chroms(self) -> set[str]:
+        """Chromosomes with calls, from the names of the folders."""
+        if self._chroms is None:
+            where, base = pafs.FileSystem.from_uri(self.root)
+            names = (f.base_name for g in self.manifest["calls"] for f in where.get_file_info(pafs.FileSelector(f"{base}/calls/{g}")))
+            self._chroms = {n.removeprefix("chrom=") for n in names if n.startswith("chrom=")}
+        return self._chroms
+
+    def _warn(self, *chroms: str) -> None:
+        for c in sorted({normalize_chrom_text(c) for c in chroms} - self.known_chroms()):
+            warnings.warn(f"Chromosome {c!r} has no data in this cohort. Available: {sorted(self.known_chroms())!r}", CohortWarning, stacklevel=3)
+
     def query(self, chrom: str, pos: int, ref: str | None = None, alt: str | None = None, **sf) -> DataFrame:
         """All alleles stored at a position, by (pos, alt, ref)."""
+        self._warn(chrom)
         return Q.point(self.cohort, chrom, pos, self.filter(**sf), ref, alt).orderBy("pos", "alt", "ref")
 
     def query_batch(self, chrom: str, variants, **sf) -> DataFrame:
+        self._warn(chrom)
         return Q.batch(self.cohort, chrom, variants, self.filter(**sf)).orderBy("pos", "alt", "ref")
 
     def query_batch_multi(self, variants, **sf) -> DataFrame:
         """In the order of first requests."""
+        variants = list(variants)
+        self._warn(*(v[0] for v in variants))
         return Q.batch_multi(self.cohort, variants, self.filter(**sf)).orderBy("idx", "alt", "ref").drop("idx")
 
     def query_region(self, chrom: str, start: int, end: int, **sf) -> DataFrame:
+        self._warn(chrom)
         return Q.region(self.cohort, chrom, start, end, self.filter(**sf)).orderBy("pos", "alt", "ref")
 
     def query_region_multi(self, regions, **sf) -> DataFrame:
+        regions = list(regions)
+        self._warn(*(r[0] for r in regions))
         return Q.genomic_order(Q.region_multi(self.cohort, regions, self.filter(**sf)))
 
     def variant_info(self, chrom: str, pos: int, ref: str | None = None, alt: str | None = None, **sf) -> DataFrame:
         """Carriers by sample id; warns if several alleles are there and none was asked for."""
+        self._warn(chrom)
         out = Q.variant_info(self.cohort, chrom, pos, self.filter(**sf), ref, alt).orderBy("sample_id", "alt", "ref")
         if ref is None and alt is None:
             alts = [r[0] for r in Q.slice_calls(self.cohort, chrom, pos, pos).where("is_het OR is_hom OR is_fail").select("alt", "ref").distinct().orderBy("alt").collect()]
             if len(alts) > 1:
-                import warnings
-
-                from varicohort.operators.filters import CohortWarning
-
                 warnings.warn(f"Multiple alleles found at {chrom}:{pos} ({', '.join(alts)}): give ref and alt to choose one.", CohortWarning, stacklevel=2)
         return out
 
@@ -383,8 +400,6 @@ def _from_manifest(spark: SparkSession, samples, techs, first_id: int, known: di
     rows = [(first_id + k, s.sample_name, s.sex, ids[s.tech_name], s.vcf_path, _now()) for k, s in enumerate(samples)]
     codes = [(first_id + k, c) for k, s in enumerate(samples) for c in dict.fromkeys(s.phenotype_codes)]
     capture = read_bed(spark, {i: bed for i, _, bed, _ in fresh if bed})
-    from varicohort.functions.chrom import normalize_chrom
-
     capture = capture.withColumn("chrom", normalize_chrom(F.col("chrom")))
     calls = read_calls(spark, {s.vcf_path: first_id + k for k, s in enumerate(samples)})
     return rows_table(spark, rows, DIMS["samples"]), rows_table(spark, codes, DIMS["sample_phenotype"]), rows_table(spark, fresh, DIMS["technologies"]), capture, calls

@@ -13,7 +13,7 @@ from varicohort.operators.filters import SampleFilter
 from varicohort.operators.measures import measures
 from varicohort.plans import derived, queries as Q
 from varicohort.plans.annotate import annotate, annotate_stats
-from varicohort.plans.cohort import VARIANT
+from varicohort.plans.cohort import VARIANT, Quality
 from varicohort.plans.export import BASE, build_groups, dump
 from varicohort.plans.star import QUALITY, TECHS, measures_sql, sql, star_cohort, star_ingested
 from varicohort.session import table
@@ -33,7 +33,7 @@ def _code(*codes: str) -> str:
 
 
 def _measured(name: str, sf: SampleFilter = ALL, where: str = "true", variants: str = "true", run=None, build: str = "GRCh37", quality=None, **gates) -> None:
-    q = quality or QUALITY.__class__()
+    q = quality or Quality()
     run = run or (lambda c: measures(c, sf))
     _add(name, lambda spark, d: run(star_cohort(spark, d, build, q)), sql(measures_sql(where, variants, build, q, **gates), "SELECT * FROM result"))
 

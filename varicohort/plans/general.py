@@ -28,6 +28,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_calls(spark, sf_dir).repeats.select("call_id").distinct()
 
 
+def p1_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the listing of small files says against what they hold: number of files, claimed and actual rows by status."""
+    held = table(spark, sf_dir, "calls").groupBy("file_id").agg(F.count("*").alias("held"))
+    listed = table(spark, sf_dir, "call_files").select("file_id", F.col("n_rows").alias("claim"), F.lit(True).alias("listed"))
+    j = listed.join(held, "file_id", "full_outer")
+    rows, claim = F.coalesce("held", F.lit(0)), F.col("claim")
+    status = F.when(F.col("listed").isNull(), "not listed").when(claim.isNull(), "no claim").when(claim == rows, "as claimed").when(rows == 0, "empty").otherwise("wrong claim")
+    return j.groupBy(status.alias("status")).agg(F.count("*").alias("n_files"), F.sum(claim.cast("bigint")).alias("claimed"), F.sum(rows).alias("held"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_packed(table(spark, sf_dir, "manifest"), "phenotype_codes", ["row_id"]).distinct()
 
@@ -145,7 +155,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CANON = "CASE WHEN upper(trim(chrom)) = 'MT' THEN 'chrM' WHEN trim(chrom) LIKE 'chr%' THEN trim(chrom) ELSE 'chr' || trim(chrom) END"
 _EPOCH = "CASE WHEN regexp_full_match(trim({c}), '[0-9]+') THEN CAST(trim({c}) AS BIGINT) * 1000000 ELSE epoch_us(CAST(CASE WHEN regexp_matches(trim({c}), '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN trim({c}) ELSE trim({c}) || '+00:00' END AS TIMESTAMPTZ)) END"
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_measures, p4_samples, p5_found, p5_loaded, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_claims, p2_found, p3_found, p4_found, p4_measures, p4_samples, p5_found, p5_loaded, p6_found, p6_report)}
 
 _ORPHANS = f"""
 WITH s AS (SELECT sample_id, CAST(tech_id AS BIGINT) AS tech_id, {_EPOCH.format(c="ingested_at")} AS own_at FROM samples),
@@ -169,6 +179,12 @@ SQL = {
     "p1_found": f"""
 WITH c AS (SELECT call_id, file_id, {_CANON} AS chrom, pos, ref, alt, gt_ac, sample_id, filter_pass, dp, gq, qual FROM calls)
 SELECT call_id FROM (SELECT call_id, file_id, min(file_id) OVER (PARTITION BY chrom, pos, ref, alt, gt_ac, sample_id, filter_pass, dp, gq, qual) AS first_file FROM c) WHERE file_id > first_file
+""",
+    "p1_claims": """
+WITH h AS (SELECT file_id, count(*) AS held FROM calls GROUP BY file_id), f AS (SELECT file_id, n_rows AS claim, true AS listed FROM call_files),
+j AS (SELECT claim, listed, coalesce(held, 0) AS held FROM f FULL OUTER JOIN h ON h.file_id = f.file_id)
+SELECT CASE WHEN listed IS NULL THEN 'not listed' WHEN claim IS NULL THEN 'no claim' WHEN claim = held THEN 'as claimed' WHEN held = 0 THEN 'empty' ELSE 'wrong claim' END AS status,
+  count(*) AS n_files, CAST(sum(claim) AS BIGINT) AS claimed, CAST(sum(held) AS BIGINT) AS held FROM j GROUP BY ALL
 """,
     "p4_found": f"SELECT chrom, pos, alt FROM (SELECT {_CANON} AS chrom, pos, alt FROM calls) GROUP BY chrom, pos, alt HAVING count(*) > 0.01 * (SELECT count(*) FROM calls)",
     "p4_measures": f"""
@@ -180,3 +196,52 @@ FROM (SELECT {_CANON} AS chrom, pos, alt, filter_pass, gt_ac, dp, qual FROM call
     "p6_found": _ORPHANS + "SELECT DISTINCT tab, month_key, row_key FROM named",
     "p6_report": _ORPHANS + "SELECT tab, month_key, count(*) AS n_rows FROM named GROUP BY tab, month_key",
 }
+
+
+# The next three say the same as the operators in other words: tokens by regular expression instead of quote pieces,
+# replay by windows instead of snapshot differences, full matches instead of the least-cost parse.
+SQL["p2_found"] = r"""
+WITH m AS (SELECT row_number() OVER () AS rid, row_id, phenotype_codes FROM manifest),
+t AS (SELECT rid, row_id, unnest(regexp_extract_all(phenotype_codes, '"(?:[^"]|"")*"|''(?:[^'']|'''')*''|[^,;|/\s]+|[,;|/\t\r\n]')) AS tok, generate_subscripts(regexp_extract_all(phenotype_codes, '"(?:[^"]|"")*"|''(?:[^'']|'''')*''|[^,;|/\s]+|[,;|/\t\r\n]'), 1) AS ord FROM m),
+k AS (SELECT *, CASE WHEN regexp_full_match(tok, '[,;|/\t\r\n]') THEN 'cut' WHEN regexp_full_match(tok, '"(?:[^"]|"")*"') THEN 'double' WHEN regexp_full_match(tok, '''(?:[^'']|'''')*''') THEN 'single' WHEN regexp_full_match(tok, '[A-Z]{2}-?[0-9]{2,3}(\.[0-9])?') THEN 'code' ELSE 'word' END AS kind FROM t),
+q AS (SELECT *, lag(kind) OVER (PARTITION BY rid ORDER BY ord) AS before FROM k),
+g AS (SELECT *, sum(CASE WHEN kind = 'word' AND before = 'word' THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY ord) AS grp FROM q),
+v AS (SELECT rid, row_id, grp, trim(CASE any_value(kind) WHEN 'double' THEN replace(substr(any_value(tok), 2, length(any_value(tok)) - 2), '""', '"') WHEN 'single' THEN replace(substr(any_value(tok), 2, length(any_value(tok)) - 2), '''''', '''') ELSE string_agg(tok, ' ' ORDER BY ord) END) AS item FROM g WHERE kind <> 'cut' GROUP BY rid, row_id, grp)
+SELECT DISTINCT row_id, CAST(row_number() OVER (PARTITION BY rid ORDER BY grp) AS INT) AS item_no, item FROM v WHERE item <> ''
+"""
+_UNWRAP = "CASE WHEN json_valid({x}) AND json_type({x}) = 'VARCHAR' THEN json_extract_string({x}, '$') ELSE {x} END"
+SQL["p3_found"] = f"""
+WITH l AS (SELECT event_id, event_type, sample_names, notes, {_EPOCH.format(c="event_time")} AS t FROM changelog),
+n1 AS (SELECT event_id, t, {_UNWRAP.format(x="notes")} AS n FROM l WHERE t IS NOT NULL), n2 AS (SELECT event_id, t, {_UNWRAP.format(x="n")} AS n FROM n1), n3 AS (SELECT event_id, t, {_UNWRAP.format(x="n")} AS n FROM n2 WHERE json_valid(n)),
+e0 AS (SELECT event_id, t, CASE json_type(n) WHEN 'ARRAY' THEN CAST(json_extract(n, '$[*]') AS VARCHAR[]) WHEN 'OBJECT' THEN [n] END AS es FROM n3),
+e1 AS (SELECT event_id, t, unnest(es) AS e, generate_subscripts(es, 1) AS no FROM e0),
+e2 AS (SELECT event_id, t, no, {_UNWRAP.format(x="e")} AS e FROM e1),
+e AS (SELECT event_id, t, no, json_extract_string(e, '$.sample') AS s, lower(trim(json_extract_string(e, '$.old'))) AS old, lower(trim(json_extract_string(e, '$.new'))) AS new FROM e2 WHERE json_extract_string(e, '$.field') = 'sex'),
+c AS (SELECT * FROM e WHERE new IN ('male', 'female') AND s IS NOT NULL),
+b AS (SELECT s, min(t) AS t FROM (SELECT t, unnest(CAST(json_extract_string(sample_names, '$[*]') AS VARCHAR[])) AS s FROM l WHERE event_type IN ('preprocess', 'add_samples') AND sample_names IS NOT NULL) GROUP BY s),
+i AS (SELECT s, t, arg_max(new, (event_id, no)) AS v FROM c GROUP BY s, t),
+f AS (SELECT s, old AS v FROM c QUALIFY row_number() OVER (PARTITION BY s ORDER BY t, event_id, no) = 1),
+st AS (SELECT f.s, -1 AS k, b.t, f.v FROM f LEFT JOIN b ON b.s = f.s UNION ALL SELECT s, row_number() OVER (PARTITION BY s ORDER BY t), t, v FROM i),
+ch AS (SELECT *, lag(v) OVER (PARTITION BY s ORDER BY k) AS pv FROM st),
+ve AS (SELECT s, t, v, count(*) OVER (PARTITION BY s) AS n FROM ch WHERE k = -1 OR v IS DISTINCT FROM pv)
+SELECT DISTINCT s AS sample_name, v AS sex, t AS valid_from_us FROM ve WHERE n >= 2
+"""
+SQL["p5_found"] = r"""
+WITH raw AS (SELECT line_id, batch_id, line_no, regexp_replace(line_text, '\r$', '') AS x FROM manifest_lines),
+h AS (SELECT batch_id, string_split(regexp_replace(min(x), '[^a-z_\t]', '', 'g'), chr(9)) AS h FROM raw WHERE line_no = 1 GROUP BY batch_id),
+r AS (SELECT line_id, batch_id, line_no, h, regexp_full_match(x, '("([^"]|"")*"|[^"\t]*)(\t("([^"]|"")*"|[^"\t]*))*') AS ok, regexp_extract_all(x, '(?:^|\t)("(?:[^"]|"")*"|[^"\t]*)', 1) AS c FROM raw JOIN h USING (batch_id) WHERE line_no > 1 AND trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) <> ''),
+s AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN len(c) <> len(h) THEN 'columns' END AS bad, list_transform(['sample_name', 'sex', 'vcf_path'], lambda n: coalesce(c[list_position(h, n)], '')) AS q FROM r),
+u AS (SELECT *, list_transform(q, lambda v: trim(CASE WHEN v LIKE '"%' THEN replace(substr(v, 2, length(v) - 2), '""', '"') ELSE v END)) AS v FROM s WHERE bad IS NULL),
+w AS (SELECT *, min(line_no) OVER (PARTITION BY batch_id, v[1]) AS first_no FROM u)
+SELECT DISTINCT line_id, reason FROM (
+  SELECT line_id, bad AS reason FROM s WHERE bad IS NOT NULL
+  UNION ALL SELECT line_id, 'sex' FROM w WHERE v[2] NOT IN ('male', 'female')
+  UNION ALL SELECT line_id, 'vcf_path' FROM w WHERE v[3] = '' OR contains(v[3], ' ') OR NOT regexp_matches(v[3], '\.vcf(\.gz)?$')
+  UNION ALL SELECT line_id, 'sample_name' FROM w WHERE v[1] = '' OR line_no > first_no)
+"""
+SQL["p5_loaded"] = SQL["p5_found"].rpartition("SELECT DISTINCT")[0].replace("['sample_name', 'sex', 'vcf_path']", "['sample_name', 'sex', 'vcf_path', 'tech_name', 'phenotype_codes']") + r"""
+SELECT line_id, v[1] AS sample_name, v[2] AS sex, v[4] AS tech_name, v[3] AS vcf_path, v[5] AS phenotype_codes FROM w
+WHERE v[2] IN ('male', 'female') AND v[3] <> '' AND NOT contains(v[3], ' ') AND regexp_matches(v[3], '\.vcf(\.gz)?$') AND v[1] <> '' AND line_no <= first_no
+"""
+
+

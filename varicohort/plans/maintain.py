@@ -13,8 +13,10 @@ def merge_counts(existing: DataFrame, added: DataFrame) -> DataFrame:
 
     Merging is an append; the union of classes per variant and sample is what the calls are.
     """
-    new = stored(added).select(*VARIANT).distinct()
-    old = stored(existing).join(new, VARIANT, "left_semi").select(*VARIANT).distinct().withColumn("__old", F.lit(True))
+    # with the bucket among the keys, a small addition prunes the files of the calls that are there
+    keys = [*VARIANT, *(["bucket"] if "bucket" in existing.columns and "bucket" in added.columns else [])]
+    new = stored(added).select(*keys).distinct()
+    old = stored(existing).join(new, keys, "left_semi").select(*VARIANT).distinct().withColumn("__old", F.lit(True))
     return new.join(old, VARIANT, "left").groupBy("chrom").agg(F.count_if(F.col("__old").isNull()).alias("n_new"), F.count_if(F.col("__old").isNotNull()).alias("n_updated"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
 from varicohort.functions.chrom import BUCKET_BP, chrom_rank, normalize_chrom_text
 from varicohort.operators.coverage import covering
-from varicohort.operators.filters import CohortWarning, SampleFilter
+from varicohort.operators.filters import SampleFilter
 from varicohort.operators.measures import check_gates, flagged_samples, kit_gate, measures, per_technology
 from varicohort.plans.cohort import VARIANT, Cohort
 from varicohort.session import can_broadcast, rows_table
@@ -17,17 +16,6 @@ from varicohort.session import can_broadcast, rows_table
 Key = tuple[int, str | None, str | None]
 
 
-def known_chroms(cohort: Cohort) -> set[str]:
-    """Chromosomes with calls: directory names of a partitioned cohort, at most 25."""
-    return {r[0] for r in cohort.calls.select("chrom").distinct().collect()}
-
-
-def warn_if_unknown(cohort: Cohort, chrom: str) -> None:
-    have = known_chroms(cohort)
-    if chrom not in have:
-        warnings.warn(f"Chromosome {chrom!r} has no data in this cohort. Available: {sorted(have)!r}", CohortWarning, stacklevel=3)
-
-
 def slice_calls(cohort: Cohort, chrom: str, start: int, end: int) -> DataFrame:
     """Calls in an inclusive range; the bucket follows from the position, so that only its files are read."""
     c = cohort.calls.where((F.col("chrom") == normalize_chrom_text(chrom)) & F.col("pos").between(start, end))
@@ -66,12 +54,24 @@ def region_multi(cohort: Cohort, regions: Iterable[tuple[str, int, int]], sf: Sa
     return measures(cohort, sf, calls.join(F.broadcast(r) if can_broadcast(r) else r, inside, "left_semi"))
 
 
+def _near(cohort: Cohort, keys: list[tuple[str, int, str | None, str | None]]) -> DataFrame:
+    """Calls in the chromosomes and buckets of the keys: at most one list of buckets per chromosome, for pruning only."""
+    where: dict[str, set[int]] = {}
+    for c, p, *_ in keys:
+        where.setdefault(normalize_chrom_text(c), set()).add(int(p) // BUCKET_BP)
+    cond = F.lit(False)
+    for c, buckets in sorted(where.items()):
+        one = F.col("chrom") == c
+        cond = cond | (one & F.col("bucket").isin(*sorted(buckets)) if cohort.partitioned else one)
+    return cohort.calls.where(cond)
+
+
 def _requests(cohort: Cohort, keys: list[tuple[str, int, str | None, str | None]]) -> DataFrame:
     rows = [(i, normalize_chrom_text(c), int(p), r or None, a or None) for i, (c, p, r, a) in enumerate(keys)]
     return rows_table(cohort.spark, rows, "idx bigint, q_chrom string, q_pos int, q_ref string, q_alt string")
 
 
-def batch_frame(cohort: Cohort, requests: DataFrame, sf: SampleFilter = SampleFilter()) -> DataFrame:
+def batch_frame(cohort: Cohort, requests: DataFrame, sf: SampleFilter = SampleFilter(), calls: DataFrame | None = None) -> DataFrame:
     """Measures and ``idx`` for requested keys (idx, q_chrom, q_pos, q_ref, q_alt), each variant once with its least idx.
 
     A null allele asks for any. Keys without a stored variant, or with AN 0, give no row.
@@ -79,19 +79,20 @@ def batch_frame(cohort: Cohort, requests: DataFrame, sf: SampleFilter = SampleFi
     small = F.broadcast(requests) if can_broadcast(requests) else requests
     at = (F.col("chrom") == F.col("q_chrom")) & (F.col("pos") == F.col("q_pos"))
     key = at & (F.col("q_ref").isNull() | (F.col("ref") == F.col("q_ref"))) & (F.col("q_alt").isNull() | (F.col("alt") == F.col("q_alt")))
-    m = measures(cohort, sf, cohort.calls.join(small, key, "left_semi"))
+    m = measures(cohort, sf, (cohort.calls if calls is None else calls).join(small, key, "left_semi"))
     # the measures are constant within a variant: grouping by them keeps them without another join
     return m.join(small, key).groupBy(*m.columns).agg(F.min("idx").alias("idx"))
 
 
 def batch(cohort: Cohort, chrom: str, keys: Iterable[Key], sf: SampleFilter = SampleFilter()) -> DataFrame:
     """Variants of one chromosome by exact key; repeated keys give one row."""
-    return batch_frame(cohort, _requests(cohort, [(chrom, *k) for k in keys]), sf).drop("idx")
+    return batch_multi(cohort, [(chrom, *k) for k in keys], sf).drop("idx")
 
 
 def batch_multi(cohort: Cohort, keys: Iterable[tuple[str, int, str | None, str | None]], sf: SampleFilter = SampleFilter()) -> DataFrame:
     """Variants of several chromosomes with ``idx``, the place of the first request for it; spellings of a chromosome are one."""
-    return batch_frame(cohort, _requests(cohort, list(keys)), sf)
+    keys = list(keys)
+    return batch_frame(cohort, _requests(cohort, keys), sf, _near(cohort, keys))
 
 
 def variant_info(cohort: Cohort, chrom: str, pos: int, sf: SampleFilter = SampleFilter(), ref: str | None = None, alt: str | None = None) -> DataFrame:

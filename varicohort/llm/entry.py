@@ -56,4 +56,18 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p7_packed, p7_fill, p8_mix, p8_shares, p9_found, p9_shared)}
-SQL: dict[str, str] = {}
+_SPANS = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 200),
+w AS (SELECT rid, doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT rid, doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d)),
+r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+m AS (SELECT rid, doc_id, i - 1 AS i FROM w WHERE h IN (SELECT h FROM r)),
+n AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM m),
+g AS (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY i) AS run FROM n),
+s AS (SELECT rid, doc_id, CAST(min(i) AS INT) AS span_start, CAST(max(i) + 200 AS INT) AS span_end FROM g GROUP BY rid, doc_id, run)
+"""
+SQL: dict[str, str] = {
+    "p9_found": _SPANS + "SELECT DISTINCT doc_id, span_start, span_end FROM s",
+    "p9_shared": _SPANS + """
+SELECT o.doc_id, CAST(coalesce(length(o.text), 0) AS BIGINT) AS n_chars, coalesce(p.n, 0) AS n_spans, CAST(coalesce(p.c, 0) AS BIGINT) AS shared_chars, CASE WHEN length(o.text) > 0 THEN coalesce(p.c, 0) / length(o.text) ELSE 0.0 END AS shared_share
+FROM documents o LEFT JOIN (SELECT doc_id, count(*) AS n, sum(span_end - span_start) AS c FROM s GROUP BY doc_id) p ON p.doc_id = o.doc_id WHERE o.doc_id IS NOT NULL""",
+}

@@ -67,6 +67,17 @@ def test_ingest_rules(db):
     }
 
 
+def test_malformed_lines(spark, tmp_path):
+    from varicohort.sources.vcf import explode_calls, malformed, read_lines
+
+    (tmp_path / "x y+z.vcf").write_text(VCF.format("X") + "\n".join([ROWS["A"][0], "chr1\tten\t.\tA\tT\t.\t.\t.\tGT\t0/1", "chr1\t5\t.\tA", ""]))
+    lines = read_lines(spark, {str(tmp_path / "x y+z.vcf"): 3})
+    assert {(r.sample_id, r.reason) for r in malformed(lines).collect()} == {(3, "position"), (3, "columns")}
+    assert explode_calls(lines, strict=False).count() == 1
+    with pytest.raises(Exception, match="malformed VCF line"):
+        explode_calls(lines).collect()
+
+
 def test_queries(db):
     r = one(db.query("1", 1500, alt="T"))
     assert (r["AC"], r["AN"], r["N_HET"], r["N_FAIL"], r["N_HOM_REF"], r["n_eligible"]) == (2, 6, 2, 1, 0, 3)
@@ -135,6 +146,24 @@ def test_changes(db, files):
     assert [e["event_type"] for e in db.changelog()] == ["version_set", "compact", "remove_samples", "UPDATE_SAMPLE", "UPDATE_SAMPLE", "add_samples", "preprocess"]
 
 
+def test_check_of_damaged_folders(spark, db, tmp_path):
+    import shutil
+
+    from varicohort.database import check_database
+
+    where = db.root.removeprefix("file://")
+    assert check_database(spark, str(tmp_path / "none")) == [("error", "manifest.json is missing")]
+    assert {s for s, _ in check_database(spark, where)} == {"info"}
+    shutil.rmtree(f"{where}/dims/{db.manifest['dims']}/capture")
+    assert check_database(spark, where) == [("error", f"dims/{db.manifest['dims']}/capture is missing")]
+    with open(f"{where}/manifest.json", "w") as f:
+        f.write("{}")
+    assert ("error", "manifest lacks genome_build") in check_database(spark, where)
+    with open(f"{where}/manifest.json", "w") as f:
+        f.write("{")
+    assert "cannot be parsed" in check_database(spark, where)[0][1]
+
+
 def test_quality_build(spark, files, tmp_path):
     db = Database.create_from_manifest(spark, str(tmp_path / "q"), str(files / "m.tsv"), "GRCh37", str(files), quality=Quality(min_dp=20, min_covered=1))
     assert db.manifest["schema_version"] == "3.0"

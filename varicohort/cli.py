@@ -8,7 +8,7 @@ import sys
 import warnings
 
 from varicohort import printers
-from varicohort.database import Database
+from varicohort.database import Database, check_database
 from varicohort.operators.filters import CohortWarning
 from varicohort.plans.cohort import Quality
 from varicohort.session import build_session
@@ -141,6 +141,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         with open(a.output, "w") as f:
             json.dump(report, f, indent=2)
         return 0
+    if a.command == "check":
+        found = check_database(spark, a.db)
+        say("\n".join(f"[{s}] {m}" for s, m in found))
+        return int(any(s == "error" for s, _ in found))
     db = Database(spark, a.db)
     if a.command == "query":
         if a.locus:
@@ -166,10 +170,6 @@ def main(argv: list[str] | None = None, spark=None) -> int:
                 top.error("version set needs a version")
             db.set_db_version(a.new_version)
         say(db.manifest["db_version"])
-    elif a.command == "check":
-        found = db.check()
-        say("\n".join(f"[{s}] {m}" for s, m in found))
-        return int(any(s == "error" for s, _ in found))
     elif a.command == "update-db":
         updates = read_updates(a.update_samples_file) if a.update_samples_file else []
         if a.update_sample:

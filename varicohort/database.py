@@ -14,6 +14,7 @@ import os
 import warnings
 from datetime import datetime, timezone
 
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -356,14 +357,14 @@ class Database:
     def check(self) -> list[tuple[str, str]]:
         """(severity, message) of everything that is wrong or worth knowing."""
         out, m, c = [], self.manifest, self.cohort
-        for key in ("genome_build", "db_version", "sample_count", "schema_version"):
-            if key not in m:
-                out.append(("error", f"manifest lacks {key}"))
         if m.get("genome_build") not in PAR:
             out.append(("error", f"unknown genome build {m.get('genome_build')!r}"))
         n = c.samples.count()
         if n != m.get("sample_count"):
             out.append(("warning", f"manifest says {m.get('sample_count')} samples, there are {n}"))
+        top = c.samples.agg(F.max("sample_id")).first()[0]
+        if top is not None and top >= m["next_sample_id"]:
+            out.append(("error", f"sample id {top} is not below next_sample_id {m['next_sample_id']}"))
         kits = {r[0] for r in c.technologies.where("NOT always_covered").select("tech_id").collect()} - {r[0] for r in c.capture.select("tech_id").distinct().collect()}
         out += [("warning", f"technology {k} has no capture region") for k in sorted(kits)]
         if twice := c.samples.groupBy("sample_id").count().where("count > 1").count():
@@ -374,6 +375,32 @@ class Database:
         return out
 
 
+def check_database(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(severity, message) for a folder that may not even be a cohort; stops at what makes the rest impossible."""
+    root = _uri(path)
+    where, base = pafs.FileSystem.from_uri(root)
+    try:
+        m = _read_manifest(root)
+    except FileNotFoundError:
+        return [("error", "manifest.json is missing")]
+    except ValueError as e:
+        return [("error", f"manifest.json cannot be parsed: {e}")]
+    out = [("error", f"manifest lacks {k}") for k in ("genome_build", "db_version", "schema_version", "sample_count", "next_sample_id", "coverage_filter", "calls", "dims") if k not in m]
+    if out:
+        return out
+    parts = [*(f"calls/{g}" for g in m["calls"]), *(f"dims/{m['dims']}/{t}" for t in DIMS)]
+    out = [("error", f"{p} is missing") for p in parts if where.get_file_info(f"{base}/{p}").type != pafs.FileType.Directory]
+    for p in parts:
+        files = [f.path for f in where.get_file_info(pafs.FileSelector(f"{base}/{p}", recursive=True, allow_not_found=True)) if f.path.endswith(".parquet")]
+        if not files:
+            continue
+        want = CALLS if p.startswith("calls") else DIMS[p.rpartition("/")[2]]
+        have = set(pq.read_schema(files[0], filesystem=where).names) | {"chrom", "bucket"}
+        if lost := [f.name for f in spark.createDataFrame([], want).schema if f.name not in have]:
+            out.append(("error", f"{p} lacks columns {', '.join(lost)}"))
+    return out or Database(spark, path).check()
+
+
 def _fit(df: DataFrame, dim: str) -> DataFrame:
     """The columns of a dimension in order and type; those that are missing are null."""
     schema = df.sparkSession.createDataFrame([], DIMS[dim]).schema

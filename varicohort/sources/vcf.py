@@ -23,15 +23,26 @@ def _format_int(fields: Column, sample: Column, name: str) -> Column:
     return F.when(v >= 0, v)
 
 
-def explode_calls(lines: DataFrame) -> DataFrame:
+def malformed(lines: DataFrame) -> DataFrame:
+    """Body lines that are no single-sample records, with the reason: too few columns, or a position that is no number."""
+    f = F.split("value", "\t")
+    why = F.when(F.size(f) < 10, "columns").when(f[1].try_cast("int").isNull(), "position")
+    return lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("reason", why).where("reason IS NOT NULL")
+
+
+def explode_calls(lines: DataFrame, strict: bool = True) -> DataFrame:
     """Ingested records of VCF body lines (sample_id, value): one per record and carried ALT.
 
+    A malformed line (see ``malformed``) ends the job with its text, or is skipped if not ``strict``.
+
     Symbolic alleles and breakends are left out, ``*`` is skipped. Without a called allele a record that failed its
-    filter gives one row per ALT with gt_ac 0, one that passed gives none. FILTER PASS or missing passes. A record
-    without sample column gives nothing.
+    filter gives one row per ALT with gt_ac 0, one that passed gives none. FILTER PASS or missing passes.
     """
     f = F.split("value", "\t")
-    r = lines.where(~F.col("value").startswith("#")).withColumn("f", f).where(F.size("f") >= 10)
+    sound = (F.size("f") >= 10) & F.try_element_at("f", F.lit(2)).try_cast("int").isNotNull()
+    if strict:
+        sound = F.when(sound, True).otherwise(F.raise_error(F.concat(F.lit("malformed VCF line: "), F.substring("value", 1, 200))).cast("boolean"))
+    r = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("f", f).where(sound)
     r = r.select("sample_id", F.col("f")[0].alias("chrom"), F.col("f")[1].try_cast("int").alias("pos"), F.col("f")[3].alias("ref"), F.split(F.col("f")[4], ",").alias("alts"), F.col("f")[5].try_cast("float").alias("qual"), F.col("f")[6].isin("PASS", ".").alias("filter_pass"), F.split(F.col("f")[8], ":").alias("fmt"), F.split(F.col("f")[9], ":").alias("smp"))
     gt = F.try_element_at(F.col("smp"), F.nullif(F.array_position("fmt", "GT"), F.lit(0)).cast("int"))
     r = r.where(F.col("ref").rlike(_BASES) & F.col("pos").isNotNull()).withColumn("called", F.filter(F.split(F.coalesce(gt, F.lit(".")), r"[/|]"), lambda a: a.rlike(r"^\d+$")))
@@ -42,13 +53,18 @@ def explode_calls(lines: DataFrame) -> DataFrame:
     return r.where(kept).select(normalize_chrom(F.col("chrom")).alias("chrom"), "pos", "ref", "alt", "gt_ac", "sample_id", "filter_pass", "dp", "gq", "qual")
 
 
+def read_lines(spark: SparkSession, paths: dict[str, int]) -> DataFrame:
+    """Lines of single-sample VCF files (path to sample id) with sample_id; files are read in parallel."""
+    lines = spark.read.text(list(paths)).select("value", _plain_path(F.col("_metadata.file_path")).alias("path"))
+    files = rows_table(spark, [(p, i) for p, i in paths.items()], "path string, sample_id int")
+    return lines.join(F.broadcast(files) if can_broadcast(files) else files, "path")
+
+
 def read_calls(spark: SparkSession, paths: dict[str, int]) -> DataFrame:
-    """Ingested records of single-sample VCF files (path to sample id); files are read in parallel."""
+    """Ingested records of single-sample VCF files (path to sample id)."""
     if not paths:
         return spark.createDataFrame([], "chrom string, pos int, ref string, alt string, gt_ac tinyint, sample_id int, filter_pass boolean, dp int, gq int, qual float")
-    lines = spark.read.text(list(paths)).select("value", _plain_path(F.col("_metadata.file_path")).alias("path"))
-    files = rows_table(spark, [(p, i) for p, i in paths.items()], "path string, sample_id int")
-    return explode_calls(lines.join(F.broadcast(files) if can_broadcast(files) else files, "path"))
+    return explode_calls(read_lines(spark, paths))
 
 
 def _open(path: str, mode: str):

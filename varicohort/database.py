@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 import pyarrow.parquet as pq
@@ -411,8 +412,8 @@ def _store_dims(spark: SparkSession, root: str, manifest: dict, dims: dict[str,
     manifest["generation"] = manifest.get("generation", 0) + 1
     gen = f"gen-{manifest['generation']}"
     dims = dims | {"stretches": segments(dims["capture"])}
-    for t, df in dims.items():
-        _fit(df, t).coalesce(1).write.parquet(f"{root}/dims/{gen}/{t}")
+    with ThreadPoolExecutor(4) as pool:  # small independent jobs
+        list(pool.map(lambda kv: _fit(kv[1], kv[0]).coalesce(1).write.parquet(f"{root}/dims/{gen}/{kv[0]}"), dims.items()))
     manifest["dims"] = gen
     _write_manifest(root, manifest)
 

@@ -1,10 +1,10 @@
-"""Ploidy of a sample at a position, and the allele number that follows from it."""
+"""Ploidy of a sample at a position, and the allele number that follows from it.
 
-from __future__ import annotations
-
-from functools import reduce
+The functions take SQL texts (names of columns, literals) and give SQL text: a plan needs many of them, and a text is one
+call to the JVM where a tree of Columns is dozens.
+"""
 
-from pyspark.sql import Column, functions as F
+from __future__ import annotations
 
 # Pseudo-autosomal regions, 1-based with both ends.
 PAR = {
@@ -13,23 +13,17 @@ PAR = {
 }
 
 
-def is_par(chrom: Column, pos: Column, build: str) -> Column:
+def is_par(chrom: str, pos: str, build: str) -> str:
     """True inside a pseudo-autosomal region of chrX or chrY; chromosomes must be canonical."""
-    parts = [(chrom == c) & pos.between(a, b) for c, regions in PAR[build].items() for a, b in regions]
-    return reduce(lambda a, b: a | b, parts)
+    return "(" + " OR ".join(f"({chrom} = '{c}' AND {pos} BETWEEN {a} AND {b})" for c, regions in PAR[build].items() for a, b in regions) + ")"
 
 
-def ploidy(chrom: Column, pos: Column, sex: Column, build: str) -> Column:
+def ploidy(chrom: str, pos: str, sex: str, build: str) -> str:
     """Copies of the position that a sample has: 1 on chrM, on chrY 1 for males and 0 else, on chrX outside PAR 1 for males, else 2."""
-    male = sex == "male"
-    return (
-        F.when(chrom == "chrM", 1)
-        .when(chrom == "chrY", F.when(male, 1).otherwise(0))
-        .when((chrom == "chrX") & male & ~is_par(chrom, pos, build), 1)
-        .otherwise(2)
-    )
+    return f"CASE WHEN {chrom} = 'chrM' THEN 1 WHEN {chrom} = 'chrY' THEN CASE WHEN {sex} = 'male' THEN 1 ELSE 0 END WHEN {chrom} = 'chrX' AND {sex} = 'male' AND NOT {is_par(chrom, pos, build)} THEN 1 ELSE 2 END"
 
 
-def allele_number(chrom: Column, pos: Column, males: Column, females: Column, build: str) -> Column:
+def allele_number(chrom: str, pos: str, males: str, females: str, build: str) -> str:
     """AN of the given numbers of samples at a position."""
-    return males * ploidy(chrom, pos, F.lit("male"), build) + females * ploidy(chrom, pos, F.lit("female"), build)
+    male, female = (ploidy(chrom, pos, f"'{sex}'", build) for sex in ("male", "female"))
+    return f"({males} * ({male}) + {females} * ({female}))"

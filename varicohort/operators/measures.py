@@ -33,6 +33,13 @@ def _small(df: DataFrame, basis: DataFrame) -> DataFrame:
 
 def flagged_samples(cohort: Cohort, filters: list[SampleFilter]) -> DataFrame:
     """sample_id, sex, tech_id, inside (member of the first filter), groups (numbers of all filters it belongs to)."""
+    key = ("flagged", *filters)
+    if key not in cohort.memo:
+        cohort.memo[key] = _flagged_samples(cohort, filters)
+    return cohort.memo[key]
+
+
+def _flagged_samples(cohort: Cohort, filters: list[SampleFilter]) -> DataFrame:
     s = sample_attributes(cohort.samples, cohort.sample_phenotype, cohort.technologies)
     member = [f.member(F.col("codes"), F.col("tech_name"), F.col("sex")) for f in filters]
     numbers = F.filter(F.array(*(F.when(m, F.lit(i)) for i, m in enumerate(member))), lambda x: x.isNotNull())
@@ -40,36 +47,37 @@ def flagged_samples(cohort: Cohort, filters: list[SampleFilter]) -> DataFrame:
 
 
 class Headcount:
-    """Males and females of every technology in every group: technologies times groups numbers, as literals."""
+    """Males and females of every technology in every group: technologies times groups numbers, as SQL literals."""
 
     def __init__(self, cohort: Cohort, filters: list[SampleFilter], flagged: DataFrame):
         self.n = len(filters)
         rows = flagged.select("tech_id", "sex", F.explode("groups").alias("grp")).where("sex IN ('male', 'female')").groupBy("tech_id", "sex", "grp").count().collect()
         self.always = sorted(r[0] for r in cohort.technologies.where("always_covered").select("tech_id").collect() if r[0] is not None)
-        self.per = {sex: {} for sex in ("male", "female")}
+        self.per: dict[str, dict[int, list[int]]] = {"male": {}, "female": {}}
         for r in rows:
             if r["tech_id"] is not None:
                 self.per[r["sex"]].setdefault(r["tech_id"], [0] * self.n)[r["grp"]] += r["count"]
 
-    def _map(self, table: dict) -> Column:
-        return F.from_json(F.lit(json.dumps({str(k): v for k, v in table.items()})), "map<string,array<bigint>>")
+    def _of(self, table: dict[int, list[int]], tech: str, grp: str) -> str:
+        text = json.dumps({str(k): v for k, v in table.items()})
+        return f"coalesce(get(try_element_at(from_json('{text}', 'map<string,array<bigint>>'), CAST({tech} AS STRING)), {grp}), 0L)"
 
-    def samples_of(self, tech: Column, grp: Column | int) -> Column:
+    def samples_of(self, tech: str, grp: str) -> str:
         """Samples of a technology in a group."""
-        both = {t: [a + b for a, b in zip(self.per["male"].get(t, [0] * self.n), self.per["female"].get(t, [0] * self.n))] for t in {*self.per["male"], *self.per["female"]}}
-        return F.coalesce(F.get(F.try_element_at(self._map(both), tech.cast("string")), grp if isinstance(grp, Column) else F.lit(grp)), F.lit(0).cast("bigint"))
+        m, f, none = self.per["male"], self.per["female"], [0] * self.n
+        return self._of({t: [a + b for a, b in zip(m.get(t, none), f.get(t, none))] for t in {*m, *f}}, tech, grp)
 
-    def everywhere(self, sex: str) -> list[int]:
-        """Samples of the technologies that cover every position, by group."""
-        return [sum(self.per[sex].get(t, [0] * self.n)[g] for t in self.always) for g in range(self.n)]
+    def everywhere(self, sex: str) -> str:
+        """Array over the groups: samples of the technologies that cover every position."""
+        sums = [sum(self.per[sex].get(t, [0] * self.n)[g] for t in self.always) for g in range(self.n)]
+        return f"from_json('{json.dumps(sums)}', 'array<bigint>')"
 
-    def is_always(self, tech: Column) -> Column:
-        return F.coalesce(tech.isin(self.always), F.lit(False)) if self.always else F.lit(False)
+    def is_always(self, tech: str) -> str:
+        return f"coalesce({tech} IN ({', '.join(map(str, self.always))}), false)" if self.always else "false"
 
-    def of_kits(self, kits: Column, sex: str) -> Column:
+    def of_kits(self, kits: str, sex: str) -> str:
         """Array over the groups: samples of a list of kits."""
-        table, zero = self._map(self.per[sex]), F.lit(0).cast("bigint")
-        return F.transform(F.sequence(F.lit(0), F.lit(self.n - 1)), lambda g: F.aggregate(kits, zero, lambda a, t: a + F.coalesce(F.get(F.try_element_at(table, t.cast("string")), g), zero)))
+        return f"transform(sequence(0, {self.n - 1}), g -> aggregate({kits}, 0L, (a, t) -> a + {self._of(self.per[sex], 't', 'g')}))"
 
 
 def headcount(cohort: Cohort, filters: list[SampleFilter], flagged: DataFrame) -> Headcount:
@@ -81,30 +89,30 @@ def headcount(cohort: Cohort, filters: list[SampleFilter], flagged: DataFrame) -
 
 def with_position_facts(rows: DataFrame, cohort: Cohort, heads: Headcount) -> DataFrame:
     """``rows`` with kits (that cover the position) and __males, __females, __kit_samples: arrays over the groups."""
-    zeros = F.array(*[F.lit(0).cast("bigint")] * heads.n) if heads.n < 64 else F.array_repeat(F.lit(0).cast("bigint"), heads.n)
-    s = cohort.coverage()
-    s = s.select("chrom", "start0", "end0", "kits", heads.of_kits(F.col("kits"), "male").alias("__km"), heads.of_kits(F.col("kits"), "female").alias("__kf"))
-    j = with_segment(rows, s, cohort.stretches if cohort.stretches is not None else cohort.capture)
-    km, kf = F.coalesce("__km", zeros), F.coalesce("__kf", zeros)
-    everywhere = lambda sex: F.from_json(F.lit(json.dumps(heads.everywhere(sex))), "array<bigint>")
-    add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    return j.select(*rows.columns, F.coalesce("kits", F.array().cast("array<int>")).alias("kits"), add(km, everywhere("male")).alias("__males"), add(kf, everywhere("female")).alias("__females"), add(km, kf).alias("__kit_samples"))
+    key = ("stretches", json.dumps(heads.per))
+    if key not in cohort.memo:
+        cohort.memo[key] = cohort.coverage().selectExpr("chrom", "start0", "end0", "kits", f"{heads.of_kits('kits', 'male')} AS __km", f"{heads.of_kits('kits', 'female')} AS __kf")
+    j = with_segment(rows, cohort.memo[key], cohort.stretches if cohort.stretches is not None else cohort.capture)
+    km, kf = (f"coalesce({c}, array_repeat(0L, {heads.n}))" for c in ("__km", "__kf"))
+    add = lambda a, b: f"zip_with({a}, {b}, (x, y) -> x + y)"
+    facts = ["coalesce(kits, CAST(array() AS ARRAY<INT>)) AS kits", f"{add(km, heads.everywhere('male'))} AS __males", f"{add(kf, heads.everywhere('female'))} AS __females", f"{add(km, kf)} AS __kit_samples"]
+    return j.selectExpr(*(f"`{c}`" for c in rows.columns), *facts)
 
 
-def an_of(cohort: Cohort, males: Column, females: Column) -> Column:
-    return allele_number(F.col("chrom"), F.col("pos"), males, females, cohort.build)
+def an_of(cohort: Cohort, males: str, females: str) -> str:
+    return allele_number("chrom", "pos", males, females, cohort.build)
 
 
-def kit_gate(sf: SampleFilter, min_covered: int) -> tuple[bool, Column]:
+def kit_gate(sf: SampleFilter, min_covered: int) -> tuple[bool, str]:
     """Whether any evidence gate is on, and whether a kit with counts pass, obs, qp, qp_all fails one."""
-    fails = F.lit(False)
+    fails = []
     if sf.min_pass > 0 or sf.min_observed > 0:
-        fails = fails | (F.col("pass") < sf.min_pass) | (F.col("obs") < sf.min_observed)
+        fails.append(f"pass < {sf.min_pass} OR obs < {sf.min_observed}")
     if min_covered > 0:
-        fails = fails | (F.col("qp_all") < min_covered)
+        fails.append(f"qp_all < {min_covered}")
     if sf.min_quality_evidence > 0:
-        fails = fails | (F.col("qp") < sf.min_quality_evidence)
-    return max(sf.min_pass, sf.min_observed, min_covered, sf.min_quality_evidence) > 0, fails
+        fails.append(f"qp < {sf.min_quality_evidence}")
+    return bool(fails), " OR ".join(fails) or "false"
 
 
 def check_gates(cohort: Cohort, sf: SampleFilter) -> None:
@@ -112,56 +120,54 @@ def check_gates(cohort: Cohort, sf: SampleFilter) -> None:
         raise ValueError("min_quality_evidence needs a cohort that was built with quality thresholds")
 
 
-def _counts(inside: Column) -> list[Column]:
+def _counts(inside: str) -> list[Column]:
     """The counts of COUNTS over the rows for which ``inside`` holds; p is the ploidy."""
-    het, hom = F.col("is_het"), F.col("is_hom")
-    any_ = het | hom
-    ac = F.when(F.col("p") == 1, any_.cast("int")).when(F.col("p") == 2, het.cast("int") + 2 * hom.cast("int")).otherwise(0)
-    return [
-        F.coalesce(F.sum(F.when(inside, ac)), F.lit(0)).alias("AC"),
-        F.count_if(inside & het & (F.col("p") == 2)).alias("N_HET"),
-        (F.count_if(inside & hom & (F.col("p") == 2)) + F.count_if(inside & any_ & (F.col("p") == 1))).alias("N_HOM_ALT"),
-        F.count_if(inside & F.col("is_fail")).alias("N_FAIL"),
-        F.count_if(inside & any_).alias("pass"),
-        F.count_if(inside & (any_ | F.col("is_fail"))).alias("obs"),
-        F.count_if(inside & F.col("is_qp")).alias("qp"),
-    ]
+    any_ = "(is_het OR is_hom)"
+    texts = {
+        "AC": f"coalesce(sum(CASE WHEN {inside} THEN CASE p WHEN 1 THEN int({any_}) WHEN 2 THEN int(is_het) + 2 * int(is_hom) ELSE 0 END END), 0L)",
+        "N_HET": f"count_if({inside} AND is_het AND p = 2)",
+        "N_HOM_ALT": f"count_if({inside} AND is_hom AND p = 2) + count_if({inside} AND {any_} AND p = 1)",
+        "N_FAIL": f"count_if({inside} AND is_fail)",
+        "pass": f"count_if({inside} AND {any_})",
+        "obs": f"count_if({inside} AND ({any_} OR is_fail))",
+        "qp": f"count_if({inside} AND is_qp)",
+    }
+    return [F.expr(f"{t} AS {k}") for k, t in texts.items()]
 
 
 def _with_samples(cohort: Cohort, calls: DataFrame, flagged: DataFrame) -> DataFrame:
     c = calls.where("is_het OR is_hom OR is_fail OR is_qp").join(_small(flagged, cohort.samples), "sample_id", "left")
-    return c.withColumn("p", ploidy(F.col("chrom"), F.col("pos"), F.col("sex"), cohort.build))
+    return c.withColumn("p", F.expr(ploidy("chrom", "pos", "sex", cohort.build)))
 
 
 def _whole() -> list[Column]:
     """Facts over all samples, inside or not: whether the variant is stored, and quality-passing calls."""
-    return [F.bool_or(F.col("is_het") | F.col("is_hom") | F.col("is_fail")).alias("has_class"), F.count_if(F.col("is_qp") & F.col("sex").isNotNull()).alias("qp_all")]
+    return [F.expr("bool_or(is_het OR is_hom OR is_fail) AS has_class"), F.expr("count_if(is_qp AND sex IS NOT NULL) AS qp_all")]
 
 
 def per_technology(cohort: Cohort, calls: DataFrame, flagged: DataFrame) -> DataFrame:
     """VARIANT, tech_id, COUNTS of the first group, has_class and qp_all; calls of unknown samples have a null tech_id."""
-    return _with_samples(cohort, calls, flagged).groupBy(*VARIANT, "tech_id").agg(*_whole(), *_counts(F.col("inside")))
+    return _with_samples(cohort, calls, flagged).groupBy(*VARIANT, "tech_id").agg(*_whole(), *_counts("inside"))
 
 
-def _per_variant(cohort: Cohort, tech: DataFrame, heads: Headcount, sf: SampleFilter, by: list[str], grp: Column | int) -> DataFrame:
+def _per_variant(cohort: Cohort, tech: DataFrame, heads: Headcount, sf: SampleFilter, by: list[str], grp: str) -> DataFrame:
     """Sum the technologies of a variant (and group): the counts, and spared, by which kits with carriers lower N_NO_COVERAGE."""
     _, fails = kit_gate(sf, cohort.quality.min_covered)
-    t = F.col("tech_id").cast("int")
-    always = heads.is_always(t)
-    covered = F.coalesce(always | F.array_contains("kits", t), F.lit(False))
-    size = heads.samples_of(t, grp)
+    always, size = heads.is_always("tech_id"), heads.samples_of("tech_id", grp)
     # a kit without carriers fails every gate that is on: all its samples count, unless its carriers' row says less
-    spared = F.when(covered & ~always, size - F.when(fails, size - F.col("obs")).otherwise(0)).otherwise(0)
-    flat = tech.withColumn("__covered", covered).withColumn("__spared", spared)
-    add = lambda c: F.sum(F.when(F.col("__covered"), F.col(c)).otherwise(0)).alias(c)
-    return flat.groupBy(*by).agg(F.bool_or("has_class").alias("has_class"), *(add(c) for c in ("AC", "N_HET", "N_HOM_ALT", "N_FAIL")), F.sum("__spared").alias("spared"), *(F.first(c).alias(c) for c in ("__males", "__females", "__kit_samples")))
+    spared = f"CASE WHEN __covered AND NOT {always} THEN {size} - CASE WHEN {fails} THEN {size} - obs ELSE 0L END ELSE 0L END"
+    flat = tech.selectExpr("*", f"coalesce({always} OR array_contains(kits, int(tech_id)), false) AS __covered").selectExpr("*", f"{spared} AS __spared")
+    sums = [f"sum(CASE WHEN __covered THEN {c} ELSE 0L END) AS {c}" for c in ("AC", "N_HET", "N_HOM_ALT", "N_FAIL")]
+    firsts = [f"first({c}) AS {c}" for c in ("__males", "__females", "__kit_samples")]
+    return flat.groupBy(*by).agg(*map(F.expr, ["bool_or(has_class) AS has_class", *sums, "sum(__spared) AS spared", *firsts]))
 
 
-def _finish(cohort: Cohort, on: bool, count, males: Column, females: Column, kit_samples: Column) -> dict[str, Column]:
-    """MEASURES from counts and headcounts; ``count`` gives a column by name."""
-    an, n = an_of(cohort, males, females), males + females
-    no = kit_samples - count("spared") if on else F.lit(0).cast("bigint")
-    return {"AC": count("AC"), "AN": an, "AF": F.try_divide(count("AC"), an), "n_eligible": n, "N_HET": count("N_HET"), "N_HOM_ALT": count("N_HOM_ALT"), "N_HOM_REF": n - count("N_HET") - count("N_HOM_ALT") - count("N_FAIL") - no, "N_FAIL": count("N_FAIL"), "N_NO_COVERAGE": no}
+def _finish(cohort: Cohort, on: bool, count, males: str, females: str, kit_samples: str) -> dict[str, str]:
+    """MEASURES from counts and headcounts as SQL; ``count`` gives the text of a count by name."""
+    an, n = an_of(cohort, males, females), f"({males} + {females})"
+    no = f"({kit_samples} - {count('spared')})" if on else "0L"
+    rest = " - ".join([n, count("N_HET"), count("N_HOM_ALT"), count("N_FAIL"), no])
+    return {"AC": count("AC"), "AN": an, "AF": f"try_divide({count('AC')}, {an})", "n_eligible": n, "N_HET": count("N_HET"), "N_HOM_ALT": count("N_HOM_ALT"), "N_HOM_REF": rest, "N_FAIL": count("N_FAIL"), "N_NO_COVERAGE": no}
 
 
 def measures(cohort: Cohort, sf: SampleFilter, calls: DataFrame | None = None) -> DataFrame:
@@ -174,12 +180,11 @@ def measures(cohort: Cohort, sf: SampleFilter, calls: DataFrame | None = None) -
     flagged = flagged_samples(cohort, [sf])
     heads = headcount(cohort, [sf], flagged)
     tech = with_position_facts(per_technology(cohort, cohort.calls if calls is None else calls, flagged), cohort, heads)
-    first = [F.col(c)[0].alias(c) for c in ("__males", "__females", "__kit_samples")]
-    tech = tech.select(*(c for c in tech.columns if not c.startswith("__")), *first)
-    v = _per_variant(cohort, tech, heads, sf, VARIANT, 0).where("has_class")
+    tech = tech.selectExpr(*(c for c in tech.columns if not c.startswith("__")), *(f"{c}[0] AS {c}" for c in ("__males", "__females", "__kit_samples")))
+    v = _per_variant(cohort, tech, heads, sf, VARIANT, "0").where("has_class")
     on, _ = kit_gate(sf, cohort.quality.min_covered)
-    m = _finish(cohort, on, F.col, F.col("__males"), F.col("__females"), F.col("__kit_samples"))
-    return v.select(*VARIANT, *(c.alias(k) for k, c in m.items())).where("AN > 0")
+    m = _finish(cohort, on, str, "__males", "__females", "__kit_samples")
+    return v.selectExpr(*VARIANT, *(f"{c} AS {k}" for k, c in m.items())).where("AN > 0")
 
 
 def measures_by_group(cohort: Cohort, filters: list[SampleFilter], calls: DataFrame | None = None) -> DataFrame:
@@ -194,20 +199,15 @@ def measures_by_group(cohort: Cohort, filters: list[SampleFilter], calls: DataFr
     heads = headcount(cohort, filters, flagged)
     c = _with_samples(cohort, cohort.calls if calls is None else calls, flagged)
     c = c.withColumn("grp", F.explode(F.concat(F.coalesce("groups", F.array().cast("array<int>")), F.array(F.lit(WHOLE)))))
-    tech = c.groupBy(*VARIANT, "tech_id", "grp").agg(*_whole(), *_counts(F.lit(True)))
+    tech = c.groupBy(*VARIANT, "tech_id", "grp").agg(*_whole(), *_counts("true"))
     if cohort.quality.min_covered > 0:  # the build gate looks at the whole cohort: a number that the other groups need too
         from pyspark.sql import Window
 
         tech = tech.withColumn("qp_all", F.max(F.when(F.col("grp") == WHOLE, F.col("qp_all"))).over(Window.partitionBy(*VARIANT, "tech_id")))
     tech = with_position_facts(tech, cohort, heads)
-    per = _per_variant(cohort, tech, heads, sf, [*VARIANT, "grp"], F.col("grp"))
+    per = _per_variant(cohort, tech, heads, sf, [*VARIANT, "grp"], "grp")
     names = ["AC", "N_HET", "N_HOM_ALT", "N_FAIL", "spared"]
     v = per.groupBy(*VARIANT).agg(F.bool_or("has_class").alias("has_class"), F.map_from_entries(F.collect_list(F.struct("grp", F.struct(*names)))).alias("c"), *(F.first(x).alias(x) for x in ("__males", "__females", "__kit_samples"))).where("has_class")
     on, _ = kit_gate(sf, cohort.quality.min_covered)
-
-    def one(g: Column) -> Column:
-        count = lambda k: F.coalesce(F.try_element_at("c", g).getField(k), F.lit(0).cast("bigint"))
-        m = _finish(cohort, on, count, F.get("__males", g), F.get("__females", g), F.get("__kit_samples", g))
-        return F.struct(*(x.alias(k) for k, x in m.items()))
-
-    return v.select(*VARIANT, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one).alias("g"))
+    m = _finish(cohort, on, lambda k: f"coalesce(try_element_at(c, i).{k}, 0L)", "get(__males, i)", "get(__females, i)", "get(__kit_samples, i)")
+    return v.selectExpr(*VARIANT, f"transform(sequence(0, {n - 1}), i -> named_struct({', '.join(f"'{k}', {x}" for k, x in m.items())})) AS g")

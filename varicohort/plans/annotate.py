@@ -42,7 +42,7 @@ def annotate(cohort: Cohort, records: DataFrame, sf: SampleFilter = SampleFilter
     small = F.broadcast(wanted) if can_broadcast(records) else wanted
     m = measures(cohort, sf, cohort.calls.join(small, VARIANT, "left_semi")).drop("AN", "n_eligible").withColumn("stored", F.lit(True))
     heads = headcount(cohort, [sf], flagged_samples(cohort, [sf]))
-    j = with_position_facts(r, cohort, heads).withColumn("n_eligible", F.col("__males")[0] + F.col("__females")[0]).withColumn("AN", an_of(cohort, F.col("__males")[0], F.col("__females")[0]))
+    j = with_position_facts(r, cohort, heads).selectExpr("*", "__males[0] + __females[0] AS n_eligible", f"{an_of(cohort, '__males[0]', '__females[0]')} AS AN")
     j = j.join(m, VARIANT, "left")
     covered = F.coalesce(F.col("AN"), F.lit(0)) > 0
     zero = lambda c: F.when(covered, F.coalesce(c, F.lit(0).cast("bigint"))).alias(c)

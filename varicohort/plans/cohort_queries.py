@@ -168,8 +168,8 @@ _add(
     lambda spark, d: (lambda c: kit_patterns(c.calls, c.capture, c.technologies))(star_cohort(spark, d)),
     sql("x AS (SELECT 1)", f"SELECT p.chrom, p.pos, count(DISTINCT t.tech_name) AS n_kits, coalesce(string_agg(DISTINCT t.tech_name, '+' ORDER BY t.tech_name), '') AS kit_pattern FROM {_POSITIONS} p LEFT JOIN capture c ON c.chrom = p.chrom AND p.pos > c.start0 AND p.pos <= c.end0 LEFT JOIN tech t ON t.tech_id = c.tech_id GROUP BY p.chrom, p.pos"),
 )
-_add("par_flag", lambda spark, d: star_cohort(spark, d).calls.select("chrom", "pos").distinct().select("chrom", "pos", is_par(F.col("chrom"), F.col("pos"), "GRCh37").alias("par37"), is_par(F.col("chrom"), F.col("pos"), "GRCh38").alias("par38")), sql("x AS (SELECT 1)", f"SELECT chrom, pos, chrom = 'chrX' AND (pos BETWEEN 60001 AND 2699520 OR pos BETWEEN 154931044 AND 155260560) OR chrom = 'chrY' AND (pos BETWEEN 10001 AND 2649520 OR pos BETWEEN 59034050 AND 59363566) AS par37, chrom = 'chrX' AND (pos BETWEEN 10001 AND 2781479 OR pos BETWEEN 155701383 AND 156030895) OR chrom = 'chrY' AND (pos BETWEEN 10001 AND 2781479 OR pos BETWEEN 56887903 AND 57217415) AS par38 FROM {_POSITIONS}"))
-_add("ploidy_split", lambda spark, d: (lambda c: c.calls.join(c.samples, "sample_id").groupBy("chrom", "sex", ploidy(F.col("chrom"), F.col("pos"), F.col("sex"), "GRCh37").alias("p")).agg(F.count("*").alias("n")))(star_cohort(spark, d)), sql("x AS (SELECT 1)", "SELECT chrom, sex, CASE WHEN chrom = 'chrM' THEN 1 WHEN chrom = 'chrY' THEN CASE WHEN sex = 'male' THEN 1 ELSE 0 END WHEN chrom = 'chrX' AND sex = 'male' AND NOT (pos BETWEEN 60001 AND 2699520 OR pos BETWEEN 154931044 AND 155260560) THEN 1 ELSE 2 END AS p, count(*) AS n FROM calls JOIN samples USING (sample_id) GROUP BY ALL"))
+_add("par_flag", lambda spark, d: star_cohort(spark, d).calls.select("chrom", "pos").distinct().select("chrom", "pos", F.expr(is_par("chrom", "pos", "GRCh37")).alias("par37"), F.expr(is_par("chrom", "pos", "GRCh38")).alias("par38")), sql("x AS (SELECT 1)", f"SELECT chrom, pos, chrom = 'chrX' AND (pos BETWEEN 60001 AND 2699520 OR pos BETWEEN 154931044 AND 155260560) OR chrom = 'chrY' AND (pos BETWEEN 10001 AND 2649520 OR pos BETWEEN 59034050 AND 59363566) AS par37, chrom = 'chrX' AND (pos BETWEEN 10001 AND 2781479 OR pos BETWEEN 155701383 AND 156030895) OR chrom = 'chrY' AND (pos BETWEEN 10001 AND 2781479 OR pos BETWEEN 56887903 AND 57217415) AS par38 FROM {_POSITIONS}"))
+_add("ploidy_split", lambda spark, d: (lambda c: c.calls.join(c.samples, "sample_id").groupBy("chrom", "sex", F.expr(ploidy("chrom", "pos", "sex", "GRCh37")).alias("p")).agg(F.count("*").alias("n")))(star_cohort(spark, d)), sql("x AS (SELECT 1)", "SELECT chrom, sex, CASE WHEN chrom = 'chrM' THEN 1 WHEN chrom = 'chrY' THEN CASE WHEN sex = 'male' THEN 1 ELSE 0 END WHEN chrom = 'chrX' AND sex = 'male' AND NOT (pos BETWEEN 60001 AND 2699520 OR pos BETWEEN 154931044 AND 155260560) THEN 1 ELSE 2 END AS p, count(*) AS n FROM calls JOIN samples USING (sample_id) GROUP BY ALL"))
 
 # --- ingest and index
 _add("gt_classes", lambda spark, d: star_cohort(spark, d).calls.groupBy("chrom").agg(*(F.count_if(c).alias(f"n_{c[3:]}") for c in ("is_het", "is_hom", "is_fail"))), sql("x AS (SELECT 1)", "SELECT chrom, count(*) FILTER (WHERE filter_pass AND gt_ac = 1) AS n_het, count(*) FILTER (WHERE filter_pass AND gt_ac = 2) AS n_hom, count(*) FILTER (WHERE NOT filter_pass) AS n_fail FROM calls GROUP BY chrom"))

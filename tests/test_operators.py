@@ -32,6 +32,8 @@ def test_compaction_keeps_every_record(spark):
         for _ in range(rng.randint(1, 4)):
             rows.append((n, None if rng.random() < 0.03 else f, rng.choice([1, 1, 1, 2, None]), rng.choice(["a", "b", None]), rng.choice([None, 0.5, float("nan"), 0.0, -0.0])))
             n += 1
+    rows += [(n + k, k, 1, "same", 1.0) for k in range(600)]  # one record fills a third of all files
+    n += 600
     df = rows_table(spark, rows, "id bigint, f bigint, fam int, t string, x float")
     content = {"fam": F.col("fam"), "t": F.col("t"), "x": F.col("x") + F.lit(0.0).cast("float")}
     key = lambda r: (r[2], r[3], None if r[4] is None else "nan" if r[4] != r[4] else r[4] + 0.0)
@@ -40,8 +42,9 @@ def test_compaction_keeps_every_record(spark):
         if r[1] is not None:
             first[key(r)] = min(first.get(key(r), r[1]), r[1])
     want = {r[0] for r in rows if r[1] is not None and r[1] > first[key(r)]}
-    # one family holds most rows and is larger than a group: it is cut by content
+    # one family holds most rows and is larger than a group: it is cut by file
     for most, least in ((10_000_000, 10_000_000), (60, 10)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
         c = compact(df, content, "id", "f", ["fam"], rows_per_group=most, least_rows=least)
         got = [r[0] for r in c.repeats.select("id").collect()]
         kept = [r[0] for r in c.kept.select("id").collect()]
@@ -49,7 +52,23 @@ def test_compaction_keeps_every_record(spark):
         assert c.manifest["rows_read"] == n and c.manifest["rows_kept"] == len(kept)
         with open(c.manifest_path.removeprefix("file://")) as f:
             assert json.load(f) == c.manifest
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert c.manifest["groups"] > 5
+    sizes = [f["rows"] for f in c.manifest["files"]]
+    assert max(sizes) < 3 * n / c.manifest["groups"]
+
+
+def test_running_totals_in_two_steps(spark):
+    from varicohort.operators.skew import next_value, running_total
+
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), i // 7, i, rng.randint(0, 5)) for i in range(100)]
+    df = rows_table(spark, rows, "k string, b int, i int, v int")
+    out = next_value(running_total(df, ["k"], "b", ["i"], "v", "before"), ["k"], "b", "i", "v", "after").orderBy("i").collect()
+    for r in out:
+        mine = [x for x in rows if x[0] == r.k]
+        assert r.before == sum(x[3] for x in mine if x[2] < r.i)
+        assert r.after == next((x[3] for x in mine if x[2] > r.i), None)
 
 
 def test_salting_changes_nothing(spark):

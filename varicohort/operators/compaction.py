@@ -8,7 +8,7 @@ dropped unseen. The driver compares counts and sums of the written files with th
 manifest by a rename.
 
 What the driver holds is bounded by ``bundles_per_group`` times the number of groups, not by the number of files. A
-bundle larger than a group is cut by a hash of the record's content (equal records stay together).
+bundle larger than a group is cut by file; what repeats in it is then known from an aggregation beforehand.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from varicohort.session import fresh_path, parallelism
+from varicohort.session import fresh_path, parallelism, rows_table
 
 REPORT = "part_group int, kind string, path string, rows long, id_sum decimal(38,0), bytes long"
 
@@ -83,6 +84,9 @@ class _Group:
         n = batch.num_rows
         if not n:
             return
+        given = None
+        if "__first" in batch.schema.names:  # known beforehand for records of cut bundles
+            given, batch = batch["__first"], batch.drop_columns(["__first"])
         joined = pa.Table.from_batches([b for b in (self.last, batch) if b is not None]).combine_chunks()
         carried = joined.num_rows - n
         same = np.ones(joined.num_rows - 1, bool)
@@ -101,6 +105,9 @@ class _Group:
         if self.first_file is not None:
             first[0], has[0] = self.first_file, True
         repeat = known & has[run] & (ids > first[run])
+        if given is not None:
+            told = given.is_valid().to_numpy(zero_copy_only=False)
+            repeat = np.where(told, known & (ids > given.fill_null(0).to_numpy(zero_copy_only=False)), repeat)
         self.first_file = int(first[-1]) if has[-1] else None
         self.last = batch.slice(n - 1, 1)
         self._write("kept", batch.filter(pa.array(~repeat)))
@@ -160,6 +167,21 @@ def _stream(folder: str, content: list[str], id_col: str, file_col: str):
     return run
 
 
+def _cut(rows: DataFrame, cut: dict[int, int], content: list[str], file_col: str) -> DataFrame:
+    """Spread the records of large bundles over slices by their file.
+
+    Equal records may then lie in different slices, so the smallest file of each content is found first, by an
+    aggregation that is combined before it is shuffled: not even one record that fills a third of all files is one
+    task's work. A content without known file gets none.
+    """
+    n = F.try_element_at(F.create_map(*(F.lit(x) for kv in cut.items() for x in kv)), F.col("__bundle"))
+    large, rest = rows.where(F.col("__bundle").isin(list(cut))), rows.where(~F.col("__bundle").isin(list(cut)))
+    least = large.groupBy(*(F.col(c).alias(f"__c{i}") for i, c in enumerate(content))).agg(F.min(file_col).alias("__first"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__c{i}")) for i, c in enumerate(content)))
+    told = large.join(least, same).select(*rows.columns, "__first", F.pmod(F.xxhash64(file_col, *content), n.cast("bigint")).cast("int").alias("__slice"))
+    return told.unionByName(rest.withColumn("__first", F.lit(None).cast(rows.schema[file_col].dataType)).withColumn("__slice", F.lit(0)))
+
+
 def compact(
     records: DataFrame,
     content: dict[str, Column],
@@ -190,12 +212,15 @@ def compact(
     slices = {r["__bundle"]: ceil(4 * r["n"] / most) if r["n"] > most else 1 for r in stats}
     sizes = {(r["__bundle"], k): r["n"] / slices[r["__bundle"]] for r in stats for k in range(slices[r["__bundle"]])}
     placed = longest_first(sizes, n_groups)
-    plan = spark.createDataFrame([(b, k, slices[b], g) for (b, k), g in placed.items()], "__bundle int, __slice int, __slices int, __group int")
-    cut = spark.createDataFrame([(b, n) for b, n in slices.items() if n > 1], "__bundle int, __slices int")
+    # at most about n_bundles + 4 * n_groups rows, whatever the input holds
+    plan = F.broadcast(rows_table(spark, [(b, k, g) for (b, k), g in placed.items()], "__bundle int, __slice int, __group int"))
     folder = fresh_path(spark, "compacted")
-    # both tables have at most about n_bundles + 4 * n_groups rows, whatever the input holds
-    rows = rows.join(F.broadcast(cut), "__bundle", "left").withColumn("__slice", F.coalesce(F.pmod(F.xxhash64(*content), F.col("__slices")).cast("int"), F.lit(0))).drop("__slices")
-    rows = rows.join(F.broadcast(plan.drop("__slices")), ["__bundle", "__slice"]).drop("__bundle", "__slice")
+    cut = {b: n for b, n in slices.items() if n > 1}
+    if cut:
+        rows = _cut(rows, cut, list(content), file_col)
+    else:
+        rows = rows.withColumn("__slice", F.lit(0))
+    rows = rows.join(plan, ["__bundle", "__slice"]).drop("__bundle", "__slice")
     reports = (
         rows.repartitionById(n_groups, F.col("__group"))
         .sortWithinPartitions("__group", *content, F.col(file_col).asc_nulls_last(), id_col)

@@ -6,7 +6,13 @@ before by a null-safe full outer join, and ``validity`` derives from the change
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from varicohort.operators.skew import next_value, running_total
+
+# What one task orders of a key at most, in time and in events.
+MONTH_US = 30 * 86_400 * 1_000_000
+EVENTS_PER_PART = 10_000
 
 
 def states_from_updates(updates: DataFrame, key: str, at: str, order: list[str], old: str, new: str, begun: DataFrame) -> DataFrame:
@@ -20,8 +26,9 @@ def states_from_updates(updates: DataFrame, key: str, at: str, order: list[str],
     last = F.struct(*order, new)
     first = F.struct(*order, old)
     instants = u.groupBy(key, at).agg(F.max(last).getField(new).alias("value"), F.min(first).getField(old).alias("before"))
-    w = Window.partitionBy(key).orderBy(at)
-    numbered = instants.withColumn("snap", F.row_number().over(w))
+    # numbered in two steps, by month and then within: a key with very many updates is not one task's work
+    spread = instants.withColumn("__month", F.floor(F.col(at) / F.lit(MONTH_US))).withColumn("__one", F.lit(1))
+    numbered = running_total(spread, [key], "__month", [at], "__one", "__n").withColumn("snap", (F.col("__n") + 1).cast("int"))
     start = numbered.where("snap = 1").select(key, F.lit(0).alias("snap"), F.col("before").alias("value")).join(begun.select(key, F.col(at)), key, "left")
     return numbered.select(key, "snap", "value", at).unionByName(start.select(key, "snap", "value", at))
 
@@ -57,10 +64,11 @@ def compare_snapshots(before: DataFrame, after: DataFrame, keys: list[str], valu
 
 
 def validity(events: DataFrame, key: str, at: str = "at", order: str = "snap") -> DataFrame:
-    """Versions (key, version, value, valid_from, valid_to): each holds until the key's next event; the last has no end.
+    """Versions (key, version, versions, value, valid_from, valid_to): each holds until the key's next event; the last has no end.
 
-    A deletion ends the version before it and begins none.
+    A deletion ends the version before it and begins none. ``versions`` is the number of the key's events.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    v = events.withColumn("valid_to", F.lead(at).over(w)).withColumn("version", F.row_number().over(w)).withColumn("versions", F.count("*").over(Window.partitionBy(key)))
-    return v.where("kind != 'deleted'").select(key, "version", "versions", "value", F.col(at).alias("valid_from"), "valid_to")
+    e = events.withColumn("__part", F.floor(F.col(order) / F.lit(EVENTS_PER_PART))).withColumn("__one", F.lit(1))
+    v = next_value(e, [key], "__part", order, at, "valid_to")
+    v = running_total(v, [key], "__part", [order], "__one", "__n").join(e.groupBy(key).agg(F.count("*").alias("versions")), key)
+    return v.where("kind != 'deleted'").select(key, (F.col("__n") + 1).cast("int").alias("version"), "versions", "value", F.col(at).alias("valid_from"), "valid_to")

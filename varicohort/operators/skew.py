@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 @dataclass(frozen=True)
@@ -61,3 +61,26 @@ def keys_above(aggregated: DataFrame, count_col: str, share: float) -> DataFrame
     """
     total = aggregated.agg(F.sum(count_col).alias("__total")).scalar()
     return aggregated.where(F.col(count_col) > F.lit(share) * total)
+
+
+def running_total(df: DataFrame, by: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` over the rows before this one within ``by``, in the order of ``bucket``, then ``order``.
+
+    In two steps: within buckets, and over the totals of the buckets. No task sees a whole group, whatever its size.
+    """
+    before = df.groupBy(*by, bucket).agg(F.sum(value).alias("__t"))
+    before = before.withColumn("__before", F.coalesce(F.sum("__t").over(Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__t")
+    within = F.coalesce(F.sum(value).over(Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("__within", within).join(before, [*by, bucket]).withColumn(name, F.col("__before") + F.col("__within")).drop("__before", "__within")
+
+
+def next_value(df: DataFrame, by: list[str], bucket: str, order: str, value: str, name: str) -> DataFrame:
+    """``value`` of the next row within ``by``, in the order of ``bucket``, then ``order``; null for the last.
+
+    In two steps like ``running_total``: the last row of a bucket gets the first value of the next bucket.
+    """
+    firsts = df.groupBy(*by, bucket).agg(F.min(F.struct(order, value))[value].alias("__first"))
+    after = firsts.withColumn("__after", F.lead("__first").over(Window.partitionBy(*by).orderBy(bucket))).drop("__first")
+    w = Window.partitionBy(*by, bucket).orderBy(order)
+    here = df.withColumn("__lead", F.lead(value).over(w)).withColumn("__last", F.lead(F.lit(True)).over(w).isNull())
+    return here.join(after, [*by, bucket]).withColumn(name, F.when(F.col("__last"), F.col("__after")).otherwise(F.col("__lead"))).drop("__lead", "__last", "__after")

@@ -10,8 +10,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from varicohort.operators.skew import running_total
 from varicohort.session import written
 
 GOLDEN = 0.6180339887498949
@@ -27,17 +28,6 @@ def tidy_source(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
 
 
-def running_total(df: DataFrame, by: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
-    """Sum of ``value`` over the rows before this one within ``by``, in the order of ``bucket``, then ``order``.
-
-    In two steps: within buckets, and over the totals of the buckets. No task sees a whole group, whatever its size.
-    """
-    totals = df.groupBy(*by, bucket).agg(F.sum(value).alias("__t"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__t").over(Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__t")
-    within = F.coalesce(F.sum(value).over(Window.partitionBy(*by, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("__within", within).join(before, [*by, bucket]).withColumn(name, F.col("__before") + F.col("__within")).drop("__before", "__within")
-
-
 def schedule(spark, n_slots: int, weights: list[tuple[str, float]], chunk: int = 1 << 16) -> DataFrame:
     """(slot, source, k): the source of each slot and the slot's rank within the source, from 0."""
     total = sum(w for _, w in weights)

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import shutil
 import statistics
-import tempfile
 import time
 from collections.abc import Callable
 
+from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 
 from varicohort.database import Database
+from varicohort.session import fresh_path
 from varicohort.sources.synth import synthetic
 
 
@@ -43,11 +43,12 @@ def run_benchmark(db: Database, repeats: int = 5) -> dict:
 
 
 def run_benchmark_with_synth(spark: SparkSession, n_samples: int = 1000, n_variants: int = 10_000, seed: int = 42) -> dict:
-    where = tempfile.mkdtemp(prefix="varicohort-bench-")
+    where = fresh_path(spark, "bench")
     try:
         calls, samples, codes, tech = synthetic(spark, n_samples, n_variants, ["chr1"], seed)
         t = time.perf_counter()
         db = Database.create(spark, f"{where}/db", calls, samples, codes, tech)
         return {"n_samples": n_samples, "n_variants": n_variants, "build_s": time.perf_counter() - t} | run_benchmark(db)
     finally:
-        shutil.rmtree(where, ignore_errors=True)
+        fs, base = pafs.FileSystem.from_uri(where)
+        fs.delete_dir(base)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from varicohort.operators.skew import next_value, running_total
+from varicohort.session import written
 
 # What one task orders of a key at most, in time and in events.
 MONTH_US = 30 * 86_400 * 1_000_000
@@ -26,6 +27,7 @@ def states_from_updates(updates: DataFrame, key: str, at: str, order: list[str],
     last = F.struct(*order, new)
     first = F.struct(*order, old)
     instants = u.groupBy(key, at).agg(F.max(last).getField(new).alias("value"), F.min(first).getField(old).alias("before"))
+    instants = written(instants, "instants")  # read several times below
     # numbered in two steps, by month and then within: a key with very many updates is not one task's work
     spread = instants.withColumn("__month", F.floor(F.col(at) / F.lit(MONTH_US))).withColumn("__one", F.lit(1))
     numbered = running_total(spread, [key], "__month", [at], "__one", "__n").withColumn("snap", (F.col("__n") + 1).cast("int"))
@@ -68,7 +70,7 @@ def validity(events: DataFrame, key: str, at: str = "at", order: str = "snap") -
 
     A deletion ends the version before it and begins none. ``versions`` is the number of the key's events.
     """
-    e = events.withColumn("__part", F.floor(F.col(order) / F.lit(EVENTS_PER_PART))).withColumn("__one", F.lit(1))
+    e = written(events, "events").withColumn("__part", F.floor(F.col(order) / F.lit(EVENTS_PER_PART))).withColumn("__one", F.lit(1))
     v = next_value(e, [key], "__part", order, at, "valid_to")
     v = running_total(v, [key], "__part", [order], "__one", "__n").join(e.groupBy(key).agg(F.count("*").alias("versions")), key)
     return v.where("kind != 'deleted'").select(key, (F.col("__n") + 1).cast("int").alias("version"), "versions", "value", F.col(at).alias("valid_from"), "valid_to")

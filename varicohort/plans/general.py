@@ -42,31 +42,37 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_packed(table(spark, sf_dir, "manifest"), "phenotype_codes", ["row_id"]).distinct()
 
 
-def _unwrapped(text, times: int = 4):
-    """JSON text without the wrappings of being encoded as a JSON string."""
+def _unwrap(df: DataFrame, column: str, times: int) -> DataFrame:
+    """Take off the wrappings of JSON text that was encoded as a JSON string; one projection for each, so that none is evaluated twice."""
     for _ in range(times):
-        text = F.when(F.ltrim(text).startswith('"'), F.try_variant_get(F.try_parse_json(text), "$", "string")).otherwise(text)
-    return text
+        text = F.col(column)
+        df = df.withColumn(column, F.when(F.ltrim(text).startswith('"'), F.try_variant_get(F.try_parse_json(text), "$", "string")).otherwise(text))
+    return df
 
 
 def sex_entries(changelog: DataFrame) -> DataFrame:
     """Counting entries (sample_name, at, event_id, entry_no, old, new) of the changelog's notes."""
-    e = changelog.select("event_id", instant_us(F.col("event_time")).alias("at"), F.trim(_unwrapped(F.col("notes"))).alias("n"))
+    # an entry that counts has the letters sex somewhere, or an escape that may stand for them
+    e = changelog.where(F.col("notes").contains("sex") | F.col("notes").contains("\\u"))
+    e = _unwrap(e.select("event_id", instant_us(F.col("event_time")).alias("at"), F.trim("notes").alias("n")), "n", 4)
+    e = e.withColumn("n", F.trim("n"))
     # a parser may accept what follows a complete value, so both ends are looked at
     many = F.when(F.col("n").startswith("[") & F.col("n").endswith("]"), F.try_variant_get(F.try_parse_json("n"), "$", "array<string>"))
     one = F.when(F.col("n").startswith("{") & F.col("n").endswith("}"), F.array("n"))
-    e = e.select("event_id", "at", F.posexplode(F.coalesce(many, one)).alias("entry_no", "e"))
-    e = e.withColumn("v", F.try_parse_json(_unwrapped(F.col("e"))))
+    e = _unwrap(e.select("event_id", "at", F.posexplode(F.coalesce(many, one)).alias("entry_no", "e")), "e", 3)
+    e = e.withColumn("v", F.try_parse_json("e"))
     field = lambda k: F.try_variant_get("v", f"$.{k}", "string")
     tidy = lambda k: F.lower(F.regexp_replace(field(k), r"^\s+|\s+$", ""))
-    e = e.select(field("sample").alias("sample_name"), "at", "event_id", "entry_no", field("field").alias("field"), tidy("old").alias("old"), tidy("new").alias("new"))
+    # through a generator, so that the condition is not evaluated on the JSON again
+    parsed = F.struct(field("sample").alias("sample_name"), field("field").alias("field"), tidy("old").alias("old"), tidy("new").alias("new"))
+    e = e.select("at", "event_id", "entry_no", F.explode(F.array(parsed)).alias("x")).select("x.*", "at", "event_id", "entry_no")
     return e.where((F.col("field") == "sex") & F.col("new").isin("male", "female")).drop("field")
 
 
 def sex_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of every sample's sex: (sample_name, version, versions, value, valid_from, valid_to), times in microseconds."""
     log = table(spark, sf_dir, "changelog")
-    named = log.where(F.col("event_type").isin("preprocess", "add_samples")).select(instant_us(F.col("event_time")).alias("at"), F.explode(F.try_variant_get(F.try_parse_json("sample_names"), "$", "array<string>")).alias("sample_name"))
+    named = log.where(F.col("event_type").isin("preprocess", "add_samples")).select(instant_us(F.col("event_time")).alias("at"), F.explode(F.from_json("sample_names", "array<string>")).alias("sample_name"))
     begun = named.groupBy("sample_name").agg(F.min("at").alias("at"))
     states = states_from_updates(sex_entries(log), "sample_name", "at", ["event_id", "entry_no"], "old", "new", begun)
     # the differences read the snapshots twice

@@ -179,3 +179,58 @@ def test_p5_made_up_lines(spark, tmp_path):
         r["line_id"] = r["batch_id"] * 1000 + r["line_no"]
     spark.createDataFrame(pd.DataFrame(rows)).write.parquet(f"{tmp_path}/manifest_lines.parquet")
     assert {(r.line_id, r.reason) for r in general.p5_found(spark, str(tmp_path)).collect()} == brute_p5(rows)
+
+
+def test_notes_wrapped_any_number_of_times(spark):
+    entry = {"sample": "S1", "field": "sex", "old": 'fe"male', "new": "Male"}
+    rows = []
+    for n in range(17):
+        text = json.dumps(entry)
+        for _ in range(n):
+            text = json.dumps(text)
+        rows.append((n, "UPDATE_SAMPLE", "2024-01-01", None, text))
+        inner = json.dumps(entry)
+        for _ in range(n % 9):
+            inner = json.dumps(inner)
+        many = json.dumps([json.loads(inner), 7, None])
+        for _ in range(n // 3):
+            many = json.dumps(many)
+        rows.append((100 + n, "UPDATE_SAMPLE", "2024-01-01", None, many))
+    dense = json.dumps(entry)  # escapes that do not double
+    for n in range(40):
+        dense = '"' + dense.replace("\\", "\\u005c").replace('"', "\\u0022") + '"'
+        rows.append((200 + n, "UPDATE_SAMPLE", "2024-01-01", None, dense))
+        if len(dense) > 3_000_000:
+            break
+    rows += [(900, "x", "2024-01-01", None, '"'), (901, "x", "2024-01-01", None, '"sex'), (902, "x", "2024-01-01", None, '"\\"sex\\""')]
+    log = spark.createDataFrame(rows, "event_id bigint, event_type string, event_time string, sample_names string, notes string")
+    got = {r.event_id: (r.sample_name, r.old, r.new) for r in general.sex_entries(log).collect()}
+    assert got == {r[0]: ("S1", 'fe"male', "male") for r in rows if r[0] < 900}
+
+
+def test_times_of_digits(spark):
+    from pyspark.sql import functions as F
+
+    from varicohort.functions.times import instant_us
+
+    texts = ["0", "1700000000", "0001700000000", "9" * 12, "9223372036854", "9223372036855", "9" * 19, "0" * 30 + "5", "1" * 40, " 12 ", "-5", "1e3", ""]
+    got = {r.t: r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", instant_us(F.col("t")).alias("v")).collect()}
+    fits = lambda t: t.strip().isdigit() and int(t) * 10**6 < 1 << 63
+    assert got == {t: int(t) * 10**6 if fits(t) else None for t in texts}
+
+
+def test_number_keys(spark):
+    from decimal import Decimal, InvalidOperation
+
+    from pyspark.sql import functions as F
+
+    texts = ["6", "06", "6.0", "6.", "+6", "60", "6e1", "600E-1", "7.0000004", "7", "7.0000000000000000000000000000000000001", ".5", "0.50", "0", "-0", "00.0", "-1", "-01.0", "1e400", "10e399", "x", ".", "", "1_0"]
+    got = {r.t: r.k for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", general.number_key(F.col("t")).alias("k")).collect()}
+
+    def number(t):
+        try:
+            return Decimal(t) if "_" not in t else t
+        except InvalidOperation:
+            return t
+
+    assert all((got[a] == got[b]) == (number(a) == number(b)) for a in texts for b in texts)

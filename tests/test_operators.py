@@ -7,8 +7,9 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from varicohort.operators import compaction
 from varicohort.operators.compaction import compact, longest_first
-from varicohort.operators.history import compare_snapshots, validity
+from varicohort.operators.history import compare_snapshots, snapshot_changes, snapshots_from_updates, validity
 from varicohort.operators.multivalue import split_packed
 from varicohort.operators.orphans import month_of, orphans
 from varicohort.operators.repair import QUOTE_EDIT, cheapest_edits, sound_cells
@@ -42,20 +43,28 @@ def test_compaction_keeps_every_record(spark):
         if r[1] is not None:
             first[key(r)] = min(first.get(key(r), r[1]), r[1])
     want = {r[0] for r in rows if r[1] is not None and r[1] > first[key(r)]}
-    # one family holds most rows and is larger than a group: it is cut by file
-    for most, least in ((10_000_000, 10_000_000), (60, 10)):
+    # one family holds most rows and is larger than a group: it is cut by content, its hot record spread by id
+    for size, shelves, driver in ((1 << 30, 8, 10), (60, 1000, 10), (60, 3, 10), (60, 3, 0)):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
-        c = compact(df, content, "id", "f", ["fam"], rows_per_group=most, least_rows=least)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(compaction, "HOT_ON_DRIVER", driver)
+            m.setattr(compaction, "ROWS_PER_ROW_GROUP", 20)
+            c = compact(df, content, "id", "f", ["fam"], row_bytes=1.0, file_bytes=size, shelves=shelves)
         got = [r[0] for r in c.repeats.select("id").collect()]
         kept = [r[0] for r in c.kept.select("id").collect()]
         assert set(got) == want and len(got) + len(kept) == n and len({*got, *kept}) == n
         assert c.manifest["rows_read"] == n and c.manifest["rows_kept"] == len(kept)
         with open(c.manifest_path.removeprefix("file://")) as f:
             assert json.load(f) == c.manifest
+        loads = [r[0] for r in c.files.groupBy("part_group").agg(F.sum("rows")).collect()]
+        assert len(loads) == 1 if size > n else max(loads) < 3 * n / c.manifest["groups"]  # no group holds the hot record
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert c.manifest["groups"] > 5
-    sizes = [f["rows"] for f in c.manifest["files"]]
-    assert max(sizes) < 3 * n / c.manifest["groups"]
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # the number of files follows from bytes alone
+    assert c.manifest["groups"] == 3 * -(-n // 60 // 3) or c.manifest["groups"] >= n // 60
+    big = compact(df.select("id", "f", F.lit(1).alias("fam"), F.col("id").cast("string").alias("t"), "x"), content, "id", "f", ["fam"], row_bytes=1.0, file_bytes=60)
+    assert big.kept.count() == n and big.files.count() > 20
 
 
 def test_running_totals_in_two_steps(spark):
@@ -85,14 +94,14 @@ def test_salting_changes_nothing(spark):
 
 
 def test_packed_values(spark):
-    cells = {1: "KD10, \"Velar lesion, late\" ;'OX-1''s'", 2: None, 3: " ,; | ", 4: '"anemia ""wicker"""', 5: "Sable's ataxia|KD1O1", 6: "KD10 ZR200 Gravel tremor KD11", 7: '""', 8: "'a\"b'", 9: 'x"y', 10: '"never closed, KD10', 11: "KD10," * 20_000, 12: '"' + 'x""' * 100_000 + '"', 13: '"a""b",' * 10_000}
+    cells = {1: "KD10, \"Velar lesion, late\" ;'OX-1''s'", 2: None, 3: " ,; | ", 4: '"anemia ""wicker"""', 5: "Sable's ataxia|KD1O1", 6: "KD10 ZR200 Gravel tremor KD11", 7: '""', 8: "'a\"b'", 9: 'x"y', 10: '"never closed, KD10', 11: "KD10," * 20_000, 12: '"' + 'x""' * 100_000 + '"', 13: '"a""b",' * 10_000, 14: "'tis, \"x, y\"", 15: '"abc""', 16: "\"'q' \"\" r\";s", 17: "A1 x B2"}
     df = rows_table(spark, list(cells.items()), "id bigint, cell string")
     got: dict = {}
-    for r in split_packed(df, "cell", ["id"]).orderBy("id", "item_no").collect():
+    for r in split_packed(df, "cell", ["id"], codes=["A1", "KD10", "B2"]).orderBy("id", "item_no").collect():
         assert r.item_no == len(got.setdefault(r.id, [])) + 1
         got[r.id].append(r.item)
     assert got.pop(11) == ["KD10"] * 20_000 and got.pop(12) == ['x"' * 100_000] and got.pop(13) == ['a"b'] * 10_000
-    assert got == {1: ["KD10", "Velar lesion, late", "OX-1's"], 4: ['anemia "wicker"'], 5: ["Sable's ataxia", "KD1O1"], 6: ["KD10", "ZR200", "Gravel tremor", "KD11"], 8: ['a"b'], 9: ['x"y'], 10: ['"never closed', "KD10"]}
+    assert got == {1: ["KD10", "Velar lesion, late", "OX-1's"], 4: ['anemia "wicker"'], 5: ["Sable's ataxia", "KD1O1"], 6: ["KD10", "ZR200", "Gravel tremor", "KD11"], 8: ['a"b'], 9: ['x"y'], 10: ['"never closed', "KD10"], 14: ["'tis", "x, y"], 15: ['"abc""'], 16: ["'q' \" r", "s"], 17: ["A1", "x", "B2"]}
 
 
 def test_snapshot_comparison(spark):
@@ -100,9 +109,45 @@ def test_snapshot_comparison(spark):
     b = rows_table(spark, [(1, "x"), (2, "w"), (None, "m"), (4, "q"), (6, None)], "k int, v string")
     got = {(r.k, r.kind, r.v) for r in compare_snapshots(a, b, ["k"], ["v"], F.lit(5)).collect()}
     assert got == {(2, "changed", "w"), (None, "changed", "m"), (4, "changed", "q"), (5, "deleted", None), (6, "inserted", None)}
-    events = rows_table(spark, [("a", 1, "inserted", "x", 0), ("a", 5, "deleted", None, 1), ("a", 9, "inserted", "y", 2)], "k string, at bigint, kind string, value string, snap int")
-    got = [(r.value, r.valid_from, r.valid_to) for r in validity(events, "k").orderBy("valid_from").collect()]
-    assert got == [("x", 1, 5), ("y", 9, None)]
+
+
+def replay(updates, begun, key):
+    """Versions of one key, update by update."""
+    mine = sorted(u for u in updates if u[0] == key and u[1] is not None)
+    if not mine:
+        return []
+    at = {}
+    for u in mine:
+        at[u[1]] = u
+    out, state = [[mine[0][3], begun.get(key), None]], ("here", mine[0][3])
+    for t, u in at.items():
+        now = ("gone", None) if u[5] else ("here", u[4])
+        if now != state:
+            if state[0] == "here":
+                out[-1][2] = t
+            if now[0] == "here":
+                out.append([u[4], t, None])
+        state = now
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("period", [10, 1000, 10**9])
+def test_history_from_updates(spark, period):
+    rng = random.Random(period)
+    updates = [(rng.choice(["hot"] * 6 + list("abcdef")), rng.choice([None, *range(0, 3000, 7)]), k, rng.choice("xyz"), rng.choice(["x", "y", None]), rng.random() < 0.2) for k in range(900)]
+    updates += updates[:50] + [(None, 5, 1000, "x", "y", False), ("once", 5, 1001, "x", "x", False)]
+    begun = {"hot": -5, "a": None, "b": 0, "once": 1, "never": 3}
+    u = rows_table(spark, updates, "k string, at bigint, id int, old string, new string, gone boolean").withColumn("step", F.lit("x"))
+    b = rows_table(spark, list(begun.items()), "k string, at bigint")
+    snaps = snapshots_from_updates(u, "k", "at", ["id"], "old", "new", b, "gone", period)
+    events = snapshot_changes(snaps, "k")
+    assert {r.kind for r in events.select("kind").distinct().collect()} == {"inserted", "changed", "deleted"}
+    got: dict = {}
+    for r in validity(events, "k").collect():
+        got.setdefault(r.k, []).append((r.value, r.valid_from, r.valid_to))
+    first = lambda v: (v[1] is not None and v[1] >= 0, v[1] or 0)
+    want = {k: replay(updates, begun, k) for k in ["hot", "once", *"abcdef"]}
+    assert {k: sorted(v, key=first) for k, v in got.items()} == {k: sorted(v, key=first) for k, v in want.items() if v}
 
 
 def test_match_semantics(spark):

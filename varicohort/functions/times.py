@@ -9,13 +9,16 @@ def instant_us(text: Column) -> Column:
     """Microseconds since 1970 UTC of a time in text.
 
     ISO dates with ``T`` or a blank, with or without fraction; offsets as ``Z``, ``+02:00`` or ``+0200``; no offset
-    means UTC; digits only are seconds since 1970. Anything else, and null, gives null.
+    means UTC; digits only are seconds since 1970, however many zeros come first. Anything else, null, and seconds
+    that do not fit into 64 bits as microseconds give null.
     """
     t = F.trim(text)
     iso = F.regexp_replace(t, r"([+-]\d{2})(\d{2})$", "$1:$2")
     zoned = F.when(iso.rlike(r"(Z|z|[+-]\d{2}:\d{2})$"), F.upper(iso)).otherwise(F.concat(iso, F.lit("Z")))
     dated = t.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}|$)")
-    return F.when(t.rlike(r"^\d{1,12}$"), t.try_cast("bigint") * F.lit(1_000_000)).when(dated, F.unix_micros(zoned.try_cast("timestamp")))
+    seconds = F.regexp_replace(t, r"^0+(?=\d)", "").try_cast("bigint")
+    digits = F.try_multiply(seconds, F.lit(1_000_000))
+    return F.when(t.rlike(r"^\d+$"), digits).when(dated, F.unix_micros(zoned.try_cast("timestamp")))
 
 
 def naive_us(ts: Column) -> Column:

@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from varicohort.functions.chrom import normalize_chrom
 from varicohort.functions.times import instant_us, naive_us
-from varicohort.operators.compaction import compact
-from varicohort.operators.history import snapshot_changes, states_from_updates, validity
+from varicohort.operators.compaction import ROWS_PER_ROW_GROUP, compact
+from varicohort.operators.history import snapshot_changes, snapshots_from_updates, validity
 from varicohort.operators.multivalue import split_packed
 from varicohort.operators.orphans import month_of, orphans
 from varicohort.operators.repair import check_manifest_lines
 from varicohort.operators.skew import Measure, keys_above, salted_aggregate
-from varicohort.session import table, written
+from varicohort.session import table
 
 CONTENT = ["chrom", "pos", "ref", "alt", "gt_ac", "sample_id", "filter_pass", "dp", "gq", "qual"]
 
 
 def compact_calls(spark: SparkSession, sf_dir: str):
-    """Consolidate the ingested records; see ``operators.compaction``."""
+    """Consolidate the ingested records; see ``operators.compaction``.
+
+    What a record takes is what each more row adds to the bytes of a small file, by least squares over the listing.
+    """
     content = {c: F.col(c) for c in CONTENT} | {"chrom": normalize_chrom(F.col("chrom")), "qual": F.col("qual") + F.lit(0.0).cast("float")}
-    return compact(table(spark, sf_dir, "calls"), content, "call_id", "file_id", ["sample_id", "chrom"])
+    row_bytes = table(spark, sf_dir, "call_files").agg(F.regr_slope("n_bytes", "n_rows")).first()[0]
+    return compact(table(spark, sf_dir, "calls"), content, "call_id", "file_id", ["sample_id", "chrom"], row_bytes)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +32,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_calls(spark, sf_dir).repeats.select("call_id").distinct()
 
 
+def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the published files hold, by kind: rows and id sum, and whether all are within the size asked for by more than a row group."""
+    c = compact_calls(spark, sf_dir)
+    most = c.manifest["file_bytes"] + ROWS_PER_ROW_GROUP * 100
+    return c.files.groupBy("kind").agg(F.sum("rows").alias("n_rows"), F.sum("id_sum").cast("bigint").alias("id_sum"), F.bool_and(F.col("bytes") <= most).alias("well_sized"))
+
+
 def p1_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the listing of small files says against what they hold: number of files, claimed and actual rows by status."""
     held = table(spark, sf_dir, "calls").groupBy("file_id").agg(F.count("*").alias("held"))
@@ -39,28 +50,31 @@ def p1_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_packed(table(spark, sf_dir, "manifest"), "phenotype_codes", ["row_id"]).distinct()
+    codes = [r[0] for r in table(spark, sf_dir, "phenotype_terms").select("code").where("code IS NOT NULL").distinct().collect()]  # a fixed table
+    return split_packed(table(spark, sf_dir, "manifest"), "phenotype_codes", ["row_id"], codes=codes).distinct()
 
 
-def _unwrap(df: DataFrame, column: str, times: int) -> DataFrame:
-    """Take off the wrappings of JSON text that was encoded as a JSON string; one projection for each, so that none is evaluated twice."""
-    for _ in range(times):
-        text = F.col(column)
-        df = df.withColumn(column, F.when(F.ltrim(text).startswith('"'), F.try_variant_get(F.try_parse_json(text), "$", "string")).otherwise(text))
-    return df
+def _unwrapped(text: Column) -> Column:
+    """Take off all wrappings of JSON text that was encoded as a JSON string, however many there are.
+
+    A wrapping adds two quotes, and a character for every quote and backslash inside: n wrappings need more than n * n
+    characters, so that a fold of that many steps sees them all. Its steps do nothing once the text is bare.
+    """
+    step = lambda t: F.when(F.ltrim(t).startswith('"'), F.try_variant_get(F.try_parse_json(t), "$", "string")).otherwise(t)
+    most = F.ceil(F.sqrt(F.length(text))).cast("int")
+    return F.when(F.ltrim(text).startswith('"'), F.aggregate(F.sequence(F.lit(1), most), text, lambda t, _: step(t))).otherwise(text)
 
 
 def sex_entries(changelog: DataFrame) -> DataFrame:
     """Counting entries (sample_name, at, event_id, entry_no, old, new) of the changelog's notes."""
     # an entry that counts has the letters sex somewhere, or an escape that may stand for them
     e = changelog.where(F.col("notes").contains("sex") | F.col("notes").contains("\\u"))
-    e = _unwrap(e.select("event_id", instant_us(F.col("event_time")).alias("at"), F.trim("notes").alias("n")), "n", 4)
-    e = e.withColumn("n", F.trim("n"))
+    e = e.select("event_id", instant_us(F.col("event_time")).alias("at"), F.trim(_unwrapped(F.trim("notes"))).alias("n"))
     # a parser may accept what follows a complete value, so both ends are looked at
     many = F.when(F.col("n").startswith("[") & F.col("n").endswith("]"), F.try_variant_get(F.try_parse_json("n"), "$", "array<string>"))
     one = F.when(F.col("n").startswith("{") & F.col("n").endswith("}"), F.array("n"))
-    e = _unwrap(e.select("event_id", "at", F.posexplode(F.coalesce(many, one)).alias("entry_no", "e")), "e", 3)
-    e = e.withColumn("v", F.try_parse_json("e"))
+    e = e.select("event_id", "at", F.posexplode(F.coalesce(many, one)).alias("entry_no", "e"))
+    e = e.withColumn("v", F.try_parse_json(_unwrapped(F.col("e"))))
     field = lambda k: F.try_variant_get("v", f"$.{k}", "string")
     tidy = lambda k: F.lower(F.regexp_replace(field(k), r"^\s+|\s+$", ""))
     # through a generator, so that the condition is not evaluated on the JSON again
@@ -70,20 +84,25 @@ def sex_entries(changelog: DataFrame) -> DataFrame:
 
 
 def sex_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions of every sample's sex: (sample_name, version, versions, value, valid_from, valid_to), times in microseconds."""
+    """Versions of every sample's sex: (sample_name, value, valid_from, valid_to, inserted), times in microseconds."""
     log = table(spark, sf_dir, "changelog")
     named = log.where(F.col("event_type").isin("preprocess", "add_samples")).select(instant_us(F.col("event_time")).alias("at"), F.explode(F.from_json("sample_names", "array<string>")).alias("sample_name"))
     begun = named.groupBy("sample_name").agg(F.min("at").alias("at"))
-    states = states_from_updates(sex_entries(log), "sample_name", "at", ["event_id", "entry_no"], "old", "new", begun)
-    # the differences read the snapshots twice
-    return validity(snapshot_changes(written(states, "snapshots"), "sample_name"), "sample_name")
+    snapshots = snapshots_from_updates(sex_entries(log), "sample_name", "at", ["event_id", "entry_no"], "old", "new", begun)
+    return validity(snapshot_changes(snapshots, "sample_name"), "sample_name")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = sex_history(spark, sf_dir).where("versions >= 2")
+    # a sample has a second version if one version ends or does not begin it
+    h = sex_history(spark, sf_dir).where("valid_to IS NOT NULL OR NOT inserted")
     return h.select("sample_name", F.col("value").alias("sex"), F.col("valid_from").alias("valid_from_us")).distinct()
 
 
+def p3_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of every sample's sex with the time it was valid; the last one has no end."""
+    return sex_history(spark, sf_dir).select("sample_name", F.col("value").alias("sex"), F.col("valid_from").alias("valid_from_us"), F.col("valid_to").alias("valid_to_us"))
+
+
 def p4_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and measures per key (canonical chrom, pos, alt)."""
     c = table(spark, sf_dir, "calls").select(normalize_chrom(F.col("chrom")).alias("chrom"), "pos", "alt", "call_id", "sample_id", "gt_ac", "filter_pass", "dp", "qual")
@@ -126,6 +145,21 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.where(F.size("reasons") == 0).select("line_id", "sample_name", "sex", "tech_name", "vcf_path", "phenotype_codes")
 
 
+def number_key(text: Column) -> Column:
+    """The spelling that equal numbers share, digits without outer zeros and an exponent; text that is no number stays.
+
+    Compared as text, so that nothing is rounded however many digits there are.
+    """
+    shape = r"^([+-]?)(?=\.?\d)(\d*)\.?(\d*)(?:[eE]([+-]?\d{1,9}))?$"
+    part = lambda k: F.regexp_extract(text, shape, k)
+    digits = F.concat(part(2), part(3))
+    short = F.regexp_replace(digits, "0+$", "")
+    power = F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.length(part(3)) + F.length(digits) - F.length(short)
+    bare = F.regexp_replace(short, "^0+", "")
+    sign = F.when(part(1) == "-", "-").otherwise("")
+    return F.when(~text.rlike(shape), text).when(bare == "", "0").otherwise(F.concat(sign, bare, F.lit("e"), power.cast("string")))
+
+
 def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tab, month_key, row_key, at): one row per reference without target."""
     trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -136,11 +170,10 @@ def orphan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     sm = samples.select(F.col("sample_id").cast("bigint").alias("row_key"), "tech_id", own.alias("at"))
     b = orphans(sm, ["tech_id"], tech.select("tech_id", naive_us(F.col("added_at")).alias("since")), ["tech_id"], "simple", "at", "since")
     key = trim(F.col("bitmap_key"))
-    as_number = F.coalesce(key.try_cast("decimal(38,6)").cast("string"), key)
-    bm = table(spark, sf_dir, "precomputed_bitmaps").select(F.col("bitmap_id").alias("row_key"), "bitmap_type", F.when(key == "", None).when(F.col("bitmap_type") == "tech", as_number).otherwise(key).alias("bitmap_key"), naive_us(F.col("built_at")).alias("at"))
+    bm = table(spark, sf_dir, "precomputed_bitmaps").select(F.col("bitmap_id").alias("row_key"), "bitmap_type", F.when(key == "", None).when(F.col("bitmap_type") == "tech", number_key(key)).otherwise(key).alias("bitmap_key"), naive_us(F.col("built_at")).alias("at"))
     always = F.lit(None).cast("bigint")
     targets = (
-        tech.select(F.lit("tech").alias("t"), F.col("tech_id").cast("decimal(38,6)").cast("string").alias("k"), naive_us(F.col("added_at")).alias("since"))
+        tech.select(F.lit("tech").alias("t"), number_key(F.col("tech_id").cast("string")).alias("k"), naive_us(F.col("added_at")).alias("since"))
         .unionByName(terms.select(F.lit("phenotype").alias("t"), F.col("code").alias("k"), naive_us(F.col("added_at")).alias("since")))
         .unionByName(spark.createDataFrame([("sex", "male"), ("sex", "female")], "t string, k string").withColumn("since", always))
     )
@@ -161,7 +194,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CANON = "CASE WHEN upper(trim(chrom)) = 'MT' THEN 'chrM' WHEN trim(chrom) LIKE 'chr%' THEN trim(chrom) ELSE 'chr' || trim(chrom) END"
 _EPOCH = "CASE WHEN regexp_full_match(trim({c}), '[0-9]+') THEN CAST(trim({c}) AS BIGINT) * 1000000 ELSE epoch_us(CAST(CASE WHEN regexp_matches(trim({c}), '(Z|[+-][0-9]{{2}}:[0-9]{{2}})$') THEN trim({c}) ELSE trim({c}) || '+00:00' END AS TIMESTAMPTZ)) END"
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_claims, p2_found, p3_found, p4_found, p4_measures, p4_samples, p5_found, p5_loaded, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_claims, p2_found, p3_found, p3_history, p4_found, p4_measures, p4_samples, p5_found, p5_loaded, p6_found, p6_report)}
 
 _ORPHANS = f"""
 WITH s AS (SELECT sample_id, CAST(tech_id AS BIGINT) AS tech_id, {_EPOCH.format(c="ingested_at")} AS own_at FROM samples),
@@ -185,6 +218,11 @@ SQL = {
     "p1_found": f"""
 WITH c AS (SELECT call_id, file_id, {_CANON} AS chrom, pos, ref, alt, gt_ac, sample_id, filter_pass, dp, gq, qual FROM calls)
 SELECT call_id FROM (SELECT call_id, file_id, min(file_id) OVER (PARTITION BY chrom, pos, ref, alt, gt_ac, sample_id, filter_pass, dp, gq, qual) AS first_file FROM c) WHERE file_id > first_file
+""",
+    "p1_files": f"""
+WITH c AS (SELECT call_id, file_id, {_CANON} AS chrom, pos, ref, alt, gt_ac, sample_id, filter_pass, dp, gq, qual FROM calls),
+f AS (SELECT call_id, file_id > min(file_id) OVER (PARTITION BY chrom, pos, ref, alt, gt_ac, sample_id, filter_pass, dp, gq, qual) AS again FROM c)
+SELECT CASE WHEN again THEN 'repeats' ELSE 'kept' END AS kind, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(call_id) AS BIGINT) AS id_sum, true AS well_sized FROM f GROUP BY 1
 """,
     "p1_claims": """
 WITH h AS (SELECT file_id, count(*) AS held FROM calls GROUP BY file_id), f AS (SELECT file_id, n_rows AS claim, true AS listed FROM call_files),
@@ -232,6 +270,7 @@ ch AS (SELECT *, lag(v) OVER (PARTITION BY s ORDER BY k) AS pv FROM st),
 ve AS (SELECT s, t, v, count(*) OVER (PARTITION BY s) AS n FROM ch WHERE k = -1 OR v IS DISTINCT FROM pv)
 SELECT DISTINCT s AS sample_name, v AS sex, t AS valid_from_us FROM ve WHERE n >= 2
 """
+SQL["p3_history"] = SQL["p3_found"].rpartition("SELECT DISTINCT")[0].replace("SELECT s, t, v, count(*) OVER (PARTITION BY s) AS n", "SELECT s, t, v, lead(t) OVER (PARTITION BY s ORDER BY k) AS t2") + "SELECT s AS sample_name, v AS sex, t AS valid_from_us, t2 AS valid_to_us FROM ve"
 SQL["p5_found"] = r"""
 WITH raw AS (SELECT line_id, batch_id, line_no, regexp_replace(line_text, '\r$', '') AS x FROM manifest_lines),
 h AS (SELECT batch_id, string_split(regexp_replace(min(x), '[^a-z_\t]', '', 'g'), chr(9)) AS h FROM raw WHERE line_no = 1 GROUP BY batch_id),

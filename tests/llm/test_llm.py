@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -51,14 +52,63 @@ def made_up(seed, n=120):
     return docs
 
 
-@pytest.mark.parametrize("least, block, shard, chunk, per_range", [(40, 10**6, 10**6, 2 * 10**6, 10**6), (41, 300, 200, 9000, 500), (40, 1000, 5000, 2000, 50), (200, 10**6, 10**6, 9000, 10**6)])
-def test_shared_spans(spark, least, block, shard, chunk, per_range):
+@pytest.mark.parametrize("least, block, shard, chunk, per_range, fan", [(40, 10**6, 10**6, 2 * 10**6, 10**6, 256), (41, 300, 200, 9000, 500, 3), (40, 1000, 5000, 2000, 400, 2), (200, 10**6, 10**6, 9000, 10**6, 256)])
+def test_shared_spans(spark, least, block, shard, chunk, per_range, fan):
     docs = made_up(least)
     df = rows_table(spark, [(i, t, "x") for i, t in docs], "doc_id bigint, text string, chunk string").repartition(3)
-    got = {tuple(r) for r in spans.shared_spans(df, least, chunk_chars=chunk, block=block, shard_chars=shard, windows_per_range=per_range).distinct().collect()}
+    got = {tuple(r) for r in spans.shared_spans(df, least, chunk_chars=chunk, block=block, shard_chars=shard, windows_per_range=per_range, fan=fan).distinct().collect()}
     assert got == brute_spans(docs, least)
 
 
+def test_a_passage_in_every_chunk(spark, monkeypatch):
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common = letters(60)
+    docs = [(i, letters(10) + common + letters(10)) for i in range(200)]
+    monkeypatch.setattr(spans, "CHUNKS_PER_SALT", 50)
+    df = rows_table(spark, docs, "doc_id bigint, text string").repartition(4)
+    got = {tuple(r) for r in spans.shared_spans(df, 40, chunk_chars=1, fan=16, windows_per_range=1000).collect()}
+    assert got == brute_spans(docs, 40)
+
+
+def test_no_group_holds_all_copies_of_a_window():
+    """The tree over 2,000 chunks that all have one passage, and one window each in a second chunk and nowhere else."""
+    n, fan, windows = 2000, 16, 21
+    own = lambda c: min(c, n - 1 - c) + 1000
+    rows = []
+    for c in range(n):
+        h = np.array([[w, 7] for w in range(windows)] + [[own(c), 7]], np.uint64)
+        rows.append((False, 0, c // fan, c, *spans._pack(h, np.arange(windows + 1), np.full(windows + 1, c), np.full(windows + 1, c))))
+    level, largest, got = pd.DataFrame(rows, columns=spans.COLUMNS), 0, {}
+    while len(level):
+        top = level["region"].nunique() == 1
+        outs = []
+        for _, g in level.groupby(["bucket", "region"]):
+            largest = max(largest, sum(len(b) // 16 for b in g["hashes"]))
+            outs.append(spans._decide(4, top, fan)(g))
+        out = pd.concat(outs)
+        for r in out[out["found"]].itertuples():
+            got.setdefault(r.chunk, []).extend(spans._expand(r.pos, np.int64).tolist())
+        level = out[~out["found"]]
+    assert {c: sorted(p) for c, p in got.items()} == {c: list(range(windows + 1)) for c in range(n)}
+    assert largest <= 2 * windows * fan + n
+
+
+def test_order_of_a_second_attempt_does_not_matter(spark, tmp_path):
+    """An attempt that reads its rows in another order writes other chunk files, and its rows refer to those."""
+    store = spans._Chunks(f"file://{tmp_path}")
+    for attempt, ids in ((1, [1, 2]), (2, [2, 1])):
+        store.write(attempt << 24, ids, [f"text {i}" for i in ids])
+    assert store.read(1 << 24)[0].tolist() == [1, 2] and store.read(2 << 24)[0].tolist() == [2, 1]
+
+
+def test_windows_with_equal_halves_of_the_hash(spark):
+    h = np.array([[5, 1], [5, 2], [5, 1]], np.uint64)
+    pdf = pd.DataFrame([(False, 0, 0, 7, *spans._pack(h, np.array([0, 1, 2]), np.array([10, 11, 12]), np.array([7, 7, 8])))], columns=spans.COLUMNS)
+    out = spans._decide(0, True, 256)(pdf)
+    assert [(r.chunk, spans._expand(r.pos, np.int64).tolist()) for r in out.itertuples()] == [(7, [0]), (8, [2])]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(alphabet="ab", max_size=60), min_size=1, max_size=6), st.integers(2, 12))
 def test_anchors_depend_on_the_window_alone(texts, least):
@@ -74,6 +124,7 @@ def test_anchors_depend_on_the_window_alone(texts, least):
 
 def test_rolling_hash():
     codes = spans._codes("abcabcabd" * 50)
+    assert not set(spans.Rolling(codes).of(9)) & set(spans.Rolling(codes, 1).of(9))
     h = spans.Rolling(codes).of(9)
     text = "abcabcabd" * 50
     of = defaultdict(set)

@@ -3,21 +3,23 @@
 1. Fingerprint. Every window of ``least`` code points names one anchor in it: the place of the smallest hash of
    ``least // 2`` code points, a choice that depends on the window's text alone. Texts are written in chunks to the
    shared folder on the way; anchors that occur in one document only are dropped.
-2. Confirm. The windows of the remaining anchors are hashed whole and compared across all chunks by ranges of the hash.
-   A window that occurs in two documents is a recurring one; its first chunk owns it and cuts the recurring windows into
-   passages of text for every chunk that holds them.
-3. Locate. Every chunk compiles the passages sent to it into Aho-Corasick automata, in shards of bounded size, and streams
-   all its documents through them. A hit is extended letter by letter along the passage; stretches of at least ``least``
-   code points are shared, and stretches that touch are one run.
-
-Everything that travels is proportional to the text (one fingerprint for about ``least // 4`` code points) or to its
-recurring part, and a passage that is in very many documents travels once per chunk. No pair of documents is ever formed.
+2. Confirm. The windows of the remaining anchors are hashed whole, with 128 bits, and compared by ranges of the hash: first
+   among the chunks of a region, then among regions of regions, up a tree of fixed fan. A window with two documents is a
+   recurring one as soon as they meet; above, two entries stand for it whatever number of documents below has it. Every
+   chunk learns where its own recurring windows begin.
+3. Locate. Every chunk cuts its recurring windows into passages, compiles them into Aho-Corasick automata, in shards of
+   bounded size, and streams all its documents through them. A hit is extended letter by letter along the passage; stretches
+   of at least ``least`` code points are shared, and stretches that touch are one run.
+
+What travels is one fingerprint for about ``least // 4`` code points, and hashes and places of candidate windows, at most two
+for a window and chunk; texts never do. No pair of documents is formed, and no group holds more than a region of a tree.
 """
 
 from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -33,10 +35,12 @@ from varicohort.session import fresh_path, parallelism, written
 CHUNK_CHARS = 2_000_000
 BLOCK = 1_000_000
 SHARD_CHARS = 1_000_000
-WINDOWS_PER_RANGE = 2_000_000
-TARGETS_PER_SALT = 256
+WINDOWS_PER_RANGE = 1_000_000
+FAN = 256  # chunks of a region, and regions of the next one
+CHUNKS_PER_SALT = 1 << 20
+MOST_TASKS = 32_768
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, hence invertible modulo 2**64
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, hence invertible modulo 2**64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,27 +51,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_POWERS: list[np.ndarray] = []
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS.clear()
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if base not in _POWERS or len(_POWERS[base][0]) < n:
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(n, b, _U)
             p[0] = 1
-            _POWERS.append(np.cumprod(p, dtype=_U))
-    return _POWERS[0][:n], _POWERS[1][:n]
+            both.append(np.cumprod(p, dtype=_U))
+        _POWERS[base] = (both[0], both[1])
+    return _POWERS[base][0][:n], _POWERS[base][1][:n]
 
 
 class Rolling:
-    """Hashes of all stretches of a given length in an array of code points."""
+    """Hashes of all stretches of a given length in an array of code points; ``which`` of two independent ones."""
 
-    def __init__(self, codes: np.ndarray):
-        up, self.down = _powers(len(codes) + 1)
+    def __init__(self, codes: np.ndarray, which: int = 0):
+        up, self.down = _powers(_BASES[which], len(codes) + 1)
         self.n = len(codes)
         self.sums = np.zeros(self.n + 1, _U)
-        np.cumsum(_mix(codes.astype(_U) + _U(1)) * up[:-1], out=self.sums[1:])
+        np.cumsum(_mix(codes.astype(_U) + _U(1 + (which << 40))) * up[:-1], out=self.sums[1:])
 
     def of(self, k: int) -> np.ndarray:
         return _mix((self.sums[k:] - self.sums[:-k]) * self.down[: self.n - k + 1])
@@ -137,16 +142,12 @@ class _Chunks:
         self.fs, self.base = pafs.FileSystem.from_uri(folder)
 
     def write(self, chunk: int, ids: list[int], texts: list[str]) -> None:
-        # the content depends on the partition alone, so a task that runs again writes the same file
+        # the number holds the attempt's, so whatever order another attempt reads in, rows and file stay together
         out = io.BytesIO()
         pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string())}), out, compression="zstd", compression_level=3, use_dictionary=False)
         self.fs.create_dir(self.base, recursive=True)
-        from pyspark import TaskContext
-
-        part = f"{self.base}/.{chunk}-{TaskContext.get().taskAttemptId()}"
-        with self.fs.open_output_stream(part) as f:
+        with self.fs.open_output_stream(f"{self.base}/{chunk}.parquet") as f:
             f.write(out.getvalue())
-        self.fs.move(part, f"{self.base}/{chunk}.parquet")
 
     def read(self, chunk: int) -> tuple[np.ndarray, list[str], np.ndarray]:
         t = pq.read_table(f"{self.base}/{chunk}.parquet", filesystem=self.fs)
@@ -177,7 +178,7 @@ def _fingerprint(folder: str, least: int, chunk_chars: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        store, part = _Chunks(folder), TaskContext.get().partitionId()
+        store, part = _Chunks(folder), TaskContext.get().taskAttemptId()
         ids: list[int] = []
         texts: list[str] = []
         size = made = 0
@@ -199,7 +200,31 @@ def _fingerprint(folder: str, least: int, chunk_chars: int, block: int):
     return run
 
 
-def _window_hashes(folder: str, least: int, buckets: int, block: int):
+def _pack(h: np.ndarray, pos: np.ndarray, doc: np.ndarray, chunk: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
+    return np.ascontiguousarray(h).tobytes(), _squeeze(pos), _squeeze(doc), _squeeze(chunk)
+
+
+def _cuts(a: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in sorted arrays, and the end."""
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    for x in more:
+        new[1:] |= x[1:] != x[:-1]
+    return np.append(np.flatnonzero(new), len(a))
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    cuts = _cuts(bucket[order])
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+COLUMNS = ["found", "bucket", "region", "chunk", "hashes", "pos", "docs", "chunks"]
+PACKED = "found boolean, bucket bigint, region bigint, chunk bigint, hashes binary, pos binary, docs binary, chunks binary"
+
+
+def _window_hashes(folder: str, least: int, buckets: int, regions: int, block: int):
     """Recurring anchors of a chunk to the whole hashes of their windows, one row per range of the hash."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -211,9 +236,9 @@ def _window_hashes(folder: str, least: int, buckets: int, block: int):
         pos = np.repeat(runs[:, 0] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         doc = np.searchsorted(ends, pos, "right")
         begins = np.concatenate([[0], ends[:-1]])
-        hashes = np.empty(len(pos), _U)
+        hashes = np.empty((len(pos), 2), _U)
         at = 0
-        edges = np.append(np.flatnonzero(np.concatenate([[True], np.diff(doc) != 0])), len(doc))
+        edges = _cuts(doc)
         while at < len(edges) - 1:  # some documents at a time
             to, size = at, 0
             while to < len(edges) - 1 and (to == at or size < block):
@@ -228,71 +253,75 @@ def _window_hashes(folder: str, least: int, buckets: int, block: int):
             for b in range(0, len(codes), block):
                 inside = (where >= b) & (where < b + block)
                 if inside.any():
-                    hashes[sl.start + np.flatnonzero(inside)] = Rolling(codes[b : b + block + least - 1]).of(least)[where[inside] - b]
+                    for k in (0, 1):
+                        hashes[sl.start + np.flatnonzero(inside), k] = Rolling(codes[b : b + block + least - 1], k).of(least)[where[inside] - b]
             at = to
         owner = ids[doc]
-        order = np.lexsort((pos, owner, hashes))
+        order = np.lexsort((pos, owner, hashes[:, 1], hashes[:, 0]))
         h, o = hashes[order], owner[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(h)) - 1
+        cuts = _cuts(h[:, 0], h[:, 1])
+        first, last = cuts[:-1], cuts[1:] - 1
         # once per chunk, or twice if two documents of the chunk have it
         keep = np.sort(np.concatenate([order[first], order[last[o[last] != o[first]]]]))
         h, pos, owner = hashes[keep], pos[keep], owner[keep]
-        bucket = (h % _U(buckets)).astype(np.int64)
+        region = int(_mix(np.array([chunk], _U))[0] % _U(regions))
         out = []
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(bucket[by]) != 0])), len(by))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            s = by[a:b]
-            out.append((int(bucket[s[0]]), chunk, h[s].tobytes(), _squeeze(pos[s]), _squeeze(owner[s])))
-        return pd.DataFrame(out, columns=["bucket", "chunk", "hashes", "pos", "docs"])
+        for bucket, s in _by_bucket((h[:, 0] % _U(buckets)).astype(np.int64)):
+            out.append((False, bucket, region, chunk, *_pack(h[s], pos[s], owner[s], np.full(len(s), chunk, np.int64))))
+        return pd.DataFrame(out, columns=COLUMNS)
 
     return run
 
 
-def _recurring(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Windows of one range of the hash that lie in at least two documents: for each chunk what its owner must send."""
-    h = np.frombuffer(b"".join(pdf["hashes"]), _U)
-    pos = np.concatenate([_expand(b, np.int64) for b in pdf["pos"]])
-    doc = np.concatenate([_expand(b, np.int64) for b in pdf["docs"]])
-    chunk = np.repeat(pdf["chunk"].to_numpy(), [len(b) // 8 for b in pdf["hashes"]])
-    order = np.lexsort((pos, chunk, h))
-    h, pos, doc, chunk = h[order], pos[order], doc[order], chunk[order]
-    cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    sizes = np.diff(np.append(cut, len(h)))
-    several = np.repeat(np.minimum.reduceat(doc, cut) != np.maximum.reduceat(doc, cut), sizes)
-    head = np.repeat(cut, sizes)[several]
-    target = chunk[several]
-    owner, at = chunk[head], pos[head]
-    order = np.lexsort((at, target, owner))
-    owner, target, at = owner[order], target[order], at[order]
-    out = []
-    if len(owner):
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(target) != 0)])), len(owner))
-        out = [(int(owner[a]), int(target[a]), _squeeze(np.unique(at[a:b]))) for a, b in zip(cuts[:-1], cuts[1:])]
-    return pd.DataFrame(out, columns=["owner", "target", "starts"])
-
+def _decide(buckets: int, last: bool, fan: int):
+    """Entries of one range of the hash and one region: places in recurring windows to their chunks, the rest a level up.
 
-def _passages(folder: str, least: int):
-    """The texts that an owner sends to some targets."""
+    Upwards go the entries of windows that have one document so far, and for a recurring window its least and largest
+    document without a place, so that entries from elsewhere meet them.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, texts, ends = _Chunks(folder).read(int(pdf["owner"].iloc[0]))
+        h = np.frombuffer(b"".join(pdf["hashes"]), _U).reshape(-1, 2)
+        pos, doc, chunk = (np.concatenate([_expand(b, np.int64) for b in pdf[c]]) for c in ("pos", "docs", "chunks"))
+        order = np.lexsort((doc, h[:, 1], h[:, 0]))
+        h, pos, doc, chunk = h[order], pos[order], doc[order], chunk[order]
+        cuts = _cuts(h[:, 0], h[:, 1])
+        head, tail = cuts[:-1], cuts[1:] - 1
+        recurs = doc[head] != doc[tail]
+        several = np.repeat(recurs, np.diff(cuts))
+        told = several & (chunk >= 0)
         out = []
-        for target, blobs in pdf.groupby("target")["starts"]:
-            starts = np.unique(np.concatenate([_expand(b, np.int64) for b in blobs]))
-            doc = np.searchsorted(ends, starts, "right")
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(doc) != 0)])), len(starts))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                d = doc[a]
-                begin = ends[d] - len(texts[d])
-                out.append((int(target), texts[d][starts[a] - begin : starts[b - 1] - begin + least]))
-        return pd.DataFrame(out, columns=["target", "passage"])
+        c, p = chunk[told], pos[told]
+        by = np.lexsort((p, c))
+        c, p = c[by], p[by]
+        edges = _cuts(c) if len(c) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1], edges[1:]):
+            out.append((True, None, None, int(c[a]), None, _squeeze(p[a:b]), None, None))
+        if not last:
+            ends = np.concatenate([head[recurs], tail[recurs]])
+            up = np.concatenate([np.flatnonzero(~several), ends])
+            place = np.concatenate([np.ones((~several).sum(), bool), np.zeros(len(ends), bool)])
+            region = int(pdf["region"].iloc[0]) // fan
+            for bucket, s in _by_bucket((h[up, 0] % _U(buckets)).astype(np.int64)):
+                u, here = up[s], place[s]
+                out.append((False, bucket, region, None, *_pack(h[u], np.where(here, pos[u], -1), doc[u], np.where(here, chunk[u], -1))))
+        return pd.DataFrame(out, columns=COLUMNS).astype({"bucket": "Int64", "region": "Int64", "chunk": "Int64"})
 
     return run
 
 
+def passages_at(starts: np.ndarray, texts: list[str], ends: np.ndarray, least: int) -> list[str]:
+    """The texts that windows beginning at ``starts`` cover; windows that begin one after the other are one passage."""
+    doc = np.searchsorted(ends, starts, "right")
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(doc) != 0)])), len(starts))
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        d = doc[a]
+        begin = ends[d] - len(texts[d])
+        out.append(texts[d][starts[a] - begin : starts[b - 1] - begin + least])
+    return out
+
+
 def _same_ahead(a: str, i: int, b: str, j: int) -> int:
     """Number of equal code points from a[i] and b[j] on."""
     most = min(len(a) - i, len(b) - j)
@@ -373,38 +402,56 @@ def merge_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _locate(folder: str, least: int, shard_chars: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, texts, _ = _Chunks(folder).read(int(pdf["target"].iloc[0]))
-        rows = [(int(i), a, b) for i, spans in zip(ids, locate(pdf["passage"].tolist(), texts, least, shard_chars)) for a, b in spans]
+        ids, texts, ends = _Chunks(folder).read(int(pdf["chunk"].iloc[0]))
+        starts = np.unique(np.concatenate([_expand(b, np.int64) for b in pdf["pos"]]))
+        found = locate(passages_at(starts, texts, ends, least), texts, least, shard_chars)
+        rows = [(int(i), a, b) for i, spans in zip(ids, found) for a, b in spans]
         return pd.DataFrame(rows, columns=["doc_id", "span_start", "span_end"]).astype({"doc_id": "int64", "span_start": "int32", "span_end": "int32"})
 
     return run
 
 
-def shared_spans(documents: DataFrame, least: int = 200, id_col: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, block: int = BLOCK, shard_chars: int = SHARD_CHARS, windows_per_range: int = WINDOWS_PER_RANGE) -> DataFrame:
+def shared_spans(documents: DataFrame, least: int = 200, id_col: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, block: int = BLOCK, shard_chars: int = SHARD_CHARS, windows_per_range: int = WINDOWS_PER_RANGE, fan: int = FAN) -> DataFrame:
     """(doc_id, span_start, span_end): the longest runs in which every code point lies in a shared stretch.
 
     A stretch of ``least`` code points is shared if it occurs in the text of a document with another id. Rows without
     id or text, and texts shorter than ``least``, have no spans; rows repeated under one id are one document. Positions
-    are code points from 0, the end is exclusive. Windows are compared by 64-bit hashes before the automata compare
-    letters, so a chance agreement can only add a stretch to its own document, never lose one.
+    are code points from 0, the end is exclusive. Windows of different texts are told apart by 128 bits.
 
-    chunk_chars, block, shard_chars and windows_per_range bound what a task holds at once; the result is the same for
-    all of them.
+    chunk_chars, block, shard_chars, windows_per_range and fan bound what a task holds at once; the result is the same
+    for all of them.
     """
     spark = documents.sparkSession
     folder = fresh_path(spark, "chunks")
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     prints = written(docs.mapInArrow(_fingerprint(folder, least, chunk_chars, block), "chunk bigint, anchor bigint, lo bigint, hi bigint, windows bigint, runs binary"), "fingerprints")
-    n = max(parallelism(spark), prints.select("chunk").distinct().count())
+    n_chunks = prints.select("chunk").distinct().count()
+    tasks = lambda n: min(MOST_TASKS, 2 * max(parallelism(spark), n))
     recurring = prints.groupBy("anchor").agg(F.min("lo").alias("least_id"), F.max("hi").alias("most_id")).where("least_id != most_id").select("anchor")
-    candidates = written(prints.select("chunk", "anchor", "windows", "runs").join(recurring, "anchor").select("chunk", "windows", "runs"), "candidates")
-    # as many ranges of the hash as the candidates ask for, so that a chunk has many windows for each
-    ranges = max(parallelism(spark), ceil((candidates.agg(F.sum("windows")).first()[0] or 0) / windows_per_range))
-    windows = candidates.drop("windows").repartition(2 * n, "chunk").groupBy("chunk").applyInPandas(_window_hashes(folder, least, ranges, block), "bucket bigint, chunk bigint, hashes binary, pos binary, docs binary")
-    wanted = windows.repartition(2 * ranges, "bucket").groupBy("bucket").applyInPandas(_recurring, "owner bigint, target bigint, starts binary")
-    salt = F.floor(F.xxhash64("target") / F.lit(1 << 62)) if n > TARGETS_PER_SALT else F.lit(0)
-    sent = wanted.withColumn("salt", salt.cast("int")).repartition(2 * n, "owner", "salt").groupBy("owner", "salt").applyInPandas(_passages(folder, least), "target bigint, passage string")
-    return sent.repartition(2 * n, "target").groupBy("target").applyInPandas(_locate(folder, least, shard_chars), "doc_id bigint, span_start int, span_end int")
+    mine = prints.select("chunk", "anchor", "windows", "runs")
+    keys = ["anchor"]
+    if (salts := ceil(n_chunks / CHUNKS_PER_SALT)) > 1:  # an anchor has a row in every chunk at most
+        recurring = recurring.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        mine, keys = mine.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")), ["anchor", "salt"]
+    candidates = written(mine.join(recurring, keys).select("chunk", "windows", "runs"), "candidates")
+    windows = candidates.agg(F.sum("windows")).first()[0] or 0
+    regions = [max(1, ceil(n_chunks / fan))]
+    while regions[-1] > 1:
+        regions.append(ceil(regions[-1] / fan))
+    # as many ranges of the hash as the windows of a region ask for
+    buckets = [max(ceil(parallelism(spark) / regions[0]), ceil(windows / regions[0] / windows_per_range))]
+    for a, b in zip(regions[:-1], regions[1:]):
+        buckets.append(buckets[-1] * ceil(a / b))
+    entries = candidates.drop("windows").repartition(tasks(n_chunks), "chunk").groupBy("chunk").applyInPandas(_window_hashes(folder, least, buckets[0], regions[0], block), PACKED)
+    found = []
+    for k, (b, r) in enumerate(zip(buckets, regions)):
+        top = r == 1
+        out = entries.repartition(tasks(b * r), "bucket", "region").groupBy("bucket", "region").applyInPandas(_decide(0 if top else buckets[k + 1], top, fan), PACKED)
+        out = out if top else written(out, "windows")  # read twice
+        found.append(out.where("found").select("chunk", "pos"))
+        entries = out.where("NOT found")
+    places = reduce(DataFrame.unionByName, found)
+    return places.repartition(tasks(n_chunks), "chunk").groupBy("chunk").applyInPandas(_locate(folder, least, shard_chars), "doc_id bigint, span_start int, span_end int")
 
 
 def shared_part(documents: DataFrame, spans: DataFrame) -> DataFrame:

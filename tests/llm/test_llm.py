@@ -4,6 +4,7 @@ import os
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -144,15 +145,14 @@ def test_p9_on_the_tables(spark, sf):
     assert {tuple(r) for r in entry.p9_found(spark, sf).collect()} == brute_spans(docs, 200)
 
 
-def test_token_sizes(spark, monkeypatch):
+def test_token_sizes(spark):
     path = f"{tokens.TOKENIZER_DIR}/{tokens.VOCABULARY}"
     if not os.path.exists(path):
         pytest.skip("no vocabulary here")
     rng = random.Random(4)
     long = "".join(rng.choice(["word", " ", "\n\n", "  \t", "été", "12", "!?", "'s", " x"]) for _ in range(3000))
     whole = len(tokens.encoding(path).encode_ordinary(long))
-    monkeypatch.setattr(tokens, "_PIECE", 50)
-    assert tokens.count_tokens(long, path) == whole and tokens.count_tokens("", path) == 0
+    assert all(tokens.count_tokens(long, path, n) == whole for n in (50, 1000, 10**6)) and tokens.count_tokens("", path) == 0
     df = rows_table(spark, [(1, "a b"), (None, "<|endoftext|>"), (3, None), (4, "")], "doc_id bigint, text string")
     got = {r.doc_id: r.n_tokens for r in tokens.token_sizes(df, ["doc_id"]).collect()}
     assert got[1] == 2 and got[None] > 1 and got[4] == 0 and 3 not in got
@@ -207,31 +207,45 @@ def test_mixing(spark):
         for _ in range(n):
             docs.append((i, source, rng.choice([0, None, rng.randint(1, 300)])))
             i += 1
-    targets = [("big", 5.0, 1), ("small", 1.0, 5), ("Mid", 3.0, 2), ("absent", 1.0, 2), (None, 1.0, 1), ("zero", 0.0, 3)]
+    docs[7] = (7, "big", 90_000)  # much longer than a block
+    targets = [("big", 2.0, 1), (" BIG", 3.0, 4), ("small", 1.0, 5), ("Mid", 3.0, 2), ("absent", 1.0, 2), (None, 1.0, 1), ("zero", 0.0, 3), ("never", 2.0, 0)]
     d = rows_table(spark, docs, "doc_id bigint, source string, n_tokens bigint")
     t = rows_table(spark, targets, "source string, target_weight double, max_repeats int")
     m = mixing.mix(d, t, docs_per_bucket=100)
     shares = {r.source: r for r in m.shares.collect()}
-    assert shares.keys() == {"big", "small", "mid", "absent"} and shares["absent"].actual_share == 0
+    assert shares.keys() == {"big", "small", "mid", "absent", "unasked", None} and shares["absent"].actual_share == 0
+    assert shares["unasked"].stock_tokens == sum(n or 0 for _, s, n in docs if s == "unasked") and shares["unasked"].n_chosen == 0
+    size = {i: n for i, _, n in docs}
+    all_tokens = sum(r.n_tokens for r in shares.values())
     for s, w in (("big", 5 / 9), ("small", 1 / 9), ("mid", 3 / 9)):
-        assert abs(shares[s].actual_share - w) < 0.01 and abs(shares[s].share_if_available - w) < 1e-9
+        assert abs(shares[s].n_tokens - shares[s].need_tokens) <= 45_000 and abs(shares[s].share_if_available - w) < 1e-9
+    assert max(shares[s].need_tokens / shares[s].available_tokens for s in ("big", "small", "mid")) > 0.999  # what bounds the mixture
     rows = m.chosen.collect()
     copies = defaultdict(set)
     for r in rows:
         assert r.copy_no not in copies[r.doc_id]
         copies[r.doc_id].add(r.copy_no)
-    size = {i: n for i, _, n in docs}
     assert all(len(c) <= {"big": 1, " Small ": 5, "mid": 2}[docs[i][1]] and size[i] for i, c in copies.items())
-    assert shares["small"].copies == 5  # the scarce source is used up to its cap
-    # every prefix is mixed: the first tenth of the slots has about the same shares
+    # slots are filled, with documents of one source and about equal tokens; ranks have no gap before the end
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.slot].append(r)
+    assert all(len({r.source for r in x}) == 1 for x in slots.values())
+    full = [sum(r.n_tokens for r in x) for x in slots.values()]
+    usual = [n for n in full if n < 90_000]
+    assert sum(abs(n - m.block_tokens) <= 300 for n in usual) > 0.9 * len(usual)
+    # every prefix is mixed: the first third of the slots has about the same shares, the long document aside
+    last = sorted(slots)[len(slots) // 3]
     first = defaultdict(int)
     for r in rows:
-        if r.slot < 1000:
+        if r.slot < last and r.doc_id != 7:
             first[r.source] += r.n_tokens
-    assert abs(first["big"] / sum(first.values()) - 5 / 9) < 0.06
+    assert abs(first["mid"] / (first["mid"] + first["small"]) - 3 / 4) < 0.12
     assert {tuple(r) for r in rows} == {tuple(r) for r in mixing.mix(d.repartition(7), t, docs_per_bucket=100).chosen.collect()}
     over = {r.source: r for r in mixing.mix(d, t, total_tokens=10**7).shares.collect()}
     assert over["small"].n_tokens == 5 * over["small"].stock_tokens and over["big"].n_tokens == over["big"].stock_tokens
+    assert over["small"].need_tokens > over["small"].available_tokens == over["small"].n_tokens
+    assert mixing.mix(d.limit(0), t).chosen.collect() == [] and mixing.mix(d, t.limit(0)).chosen.collect() == []
 
 
 def test_schedule_is_even(spark):
@@ -261,9 +275,17 @@ def test_empty_and_dirty(spark, sf, tmp_path, name):
                     rows = rows.append_column(c, pa.array(["x"] * rows.num_rows))
             pq.write_table(rows, tmp_path / kind / f"{t}.parquet")
     none = entry.QUERIES[name](spark, str(tmp_path / "empty")).collect()
-    assert none == [] or name == "p8_shares" and all(r.n_tokens == 0 for r in none)
+    assert none == [] or name in ("p8_shares", "p8_capped") and all(r.n_tokens == 0 for r in none) or name == "p8_check" and all(r.n == 0 or r.rule == "targets" for r in none)
     rows = entry.QUERIES[name](spark, str(tmp_path / "dirty")).collect()
     assert rows
+    if name.endswith("_check"):
+        con = duckdb.connect()
+        for t in ("documents", "pack_sizes", "mix_targets"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+        df = entry.QUERIES[name](spark, sf)
+        cur = con.execute(entry.SQL[name])
+        at = [x[0] for x in cur.description]
+        assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[at.index(c)] for c in df.columns) for r in cur.fetchall())
     if name == "p9_found":
         d = [tuple(r.values()) for r in pq.read_table(tmp_path / "dirty/documents.parquet", columns=["doc_id", "text"]).to_pylist()]
         assert {tuple(r) for r in rows} == brute_spans(d, 200)

@@ -13,7 +13,7 @@ TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_PIECE = 200_000
+PIECE_CHARS = 200_000
 
 _loaded: dict[str, object] = {}
 
@@ -29,17 +29,16 @@ def encoding(path: str):
     return _loaded[path]
 
 
-def count_tokens(text: str, path: str) -> int:
-    """Number of tokens; very long texts are encoded in pieces cut at line ends or blanks, so that memory stays bounded.
+def count_tokens(text: str, path: str, piece: int = PIECE_CHARS) -> int:
+    """Number of tokens, encoded in pieces of about ``piece`` characters, which bounds the memory for all but text without blanks.
 
-    A piece ends before white space that follows a character that is none, where the splitting pattern ends a word too.
+    A piece ends before white space that follows a character that is none, where the splitting pattern ends a word too,
+    so the count does not depend on the pieces; a stretch without such a place is one piece.
     """
     enc = encoding(path)
-    if len(text) <= _PIECE:
-        return len(enc.encode_ordinary(text))
     total = at = 0
     while at < len(text):
-        end = min(len(text), at + _PIECE)
+        end = min(len(text), at + piece)
         while end < len(text) and not (text[end].isspace() and not text[end - 1].isspace()):
             end += 1
         total += len(enc.encode_ordinary(text[at:end]))

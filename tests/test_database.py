@@ -45,17 +45,21 @@ def one(df):
     return r.asDict()
 
 
-def test_manifest_errors(files, tmp_path):
-    s, t = read_manifest(str(files / "m.tsv"), str(files))
+def test_manifest_errors(spark, files, tmp_path):
+    s, t = read_manifest(spark, str(files / "m.tsv"), str(files))
     assert [x.phenotype_codes for x in s] == [("P1", "P2"), ("P1",), ("P3",)] and list(t) == ["wgs", "KIT"] and t["wgs"] is None
-    with pytest.raises(ManifestError, match="invalid sex"):
-        read_manifest(str(files / "bad.tsv"))
+    with pytest.raises(ManifestError, match="neither male nor female"):
+        read_manifest(spark, str(files / "bad.tsv"))
     with pytest.raises(ManifestError, match="bed_dir"):
-        read_manifest(str(files / "m.tsv"))
+        read_manifest(spark, str(files / "m.tsv"))
+    (tmp_path / "y.tsv").write_text("sample_name\tsex\ttech_name\tvcf_path\tphenotype_codes\nA\tman\tKIT\tnone.vcf\t,\nA\tmale\n")
+    with pytest.raises(ManifestError, match="9 problems") as e:  # all at once
+        read_manifest(spark, str(tmp_path / "y.tsv"))
+    assert all(x in str(e.value) for x in ("several rows", "no phenotype code", "no such file", "bed_dir", "no technology"))
     for body in ("", "sample_name\tsex\n", "sample_name\tsex\ttech_name\tvcf_path\tphenotype_codes\nA\tmale\twgs\tnone.vcf\tP\n"):
         (tmp_path / "x.tsv").write_text(body)
         with pytest.raises(ManifestError):
-            read_manifest(str(tmp_path / "x.tsv"))
+            read_manifest(spark, str(tmp_path / "x.tsv"))
 
 
 def test_ingest_rules(db):
@@ -184,7 +188,7 @@ def test_command_line(spark, db, files, tmp_path, capsys):
     run("update-db", "--db", db.root, "--update-sample", "B", "--set-sex", "male", "--compact")
     assert run("version", "show", "--db", db.root).strip() == "1.1" and "[info]" in run("check", "--db", db.root)
     (tmp_path / "u.tsv").write_text("sample_name\tfield\tnew_value\n\nA\tsex\tfemale\n")
-    assert read_updates(str(tmp_path / "u.tsv")) == [{"sample_name": "A", "field": "sex", "new_value": "female"}]
+    assert read_updates(spark, str(tmp_path / "u.tsv")) == [{"sample_name": "A", "field": "sex", "new_value": "female"}]
     with pytest.raises(SystemExit):
         cli.main(["query", "--db", db.root], spark)
     assert parse_locus("HLA:1:5") == ("HLA:1", 5) and parse_region("chr1:5-9") == ("chr1", 5, 9)

@@ -171,7 +171,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             db.set_db_version(a.new_version)
         say(db.manifest["db_version"])
     elif a.command == "update-db":
-        updates = read_updates(a.update_samples_file) if a.update_samples_file else []
+        updates = read_updates(spark, a.update_samples_file) if a.update_samples_file else []
         if a.update_sample:
             updates += [{"sample_name": a.update_sample, "field": f, "new_value": v} for f, v in (("sex", a.set_sex), ("phenotype_codes", a.set_phenotype)) if v is not None]
         if not (a.remove_samples or a.add_samples or a.compact or updates):

@@ -9,15 +9,17 @@ state before or after, and a failed change leaves nothing but unnamed files.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import warnings
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from varicohort.functions.chrom import CHROMS, normalize_chrom, normalize_chrom_text
 from varicohort.functions.ploidy import PAR
@@ -28,8 +30,8 @@ from varicohort.plans import export, queries as Q
 from varicohort.plans.annotate import annotate, annotate_stats
 from varicohort.plans.cohort import VARIANT, Cohort, Quality, bucketed, classify
 from varicohort.plans.maintain import check_calls, compacted, merge_counts
-from varicohort.session import rows_table, written
-from varicohort.sources.texts import read_bed, read_manifest
+from varicohort.session import can_broadcast, rows_table, scratch, written
+from varicohort.sources.texts import listed_codes, problems, read_bed, read_manifest
 from varicohort.sources.vcf import read_calls, read_sites, write_annotated
 
 DIMS = {
@@ -80,6 +82,34 @@ def _write_calls(calls: DataFrame, path: str) -> None:
     bucketed(calls).hint("rebalance", "chrom", "bucket").sortWithinPartitions("chrom", "bucket", "pos", "alt", "ref").write.partitionBy("chrom", "bucket").parquet(path)
 
 
+def _goes_on(root: str, began: dict) -> bool:
+    """Whether an unfinished build of this kind left all its calls."""
+    where, base = pafs.FileSystem.from_uri(root)
+    exists = lambda p: where.get_file_info(f"{base}/{p}").type != pafs.FileType.NotFound
+    if exists("manifest.json") or not exists("build.json") or not exists("calls/gen-1/_SUCCESS"):
+        return False
+    with where.open_input_stream(f"{base}/build.json") as f:
+        return json.loads(f.read()) == began
+
+
+def _note_build(root: str, began: dict) -> None:
+    where, base = pafs.FileSystem.from_uri(root)
+    where.create_dir(base, recursive=True)
+    with where.open_output_stream(f"{base}/build.json") as f:
+        f.write(json.dumps(began).encode())
+
+
+def _clear(root: str, part: str) -> None:
+    where, base = pafs.FileSystem.from_uri(root)
+    if where.get_file_info(f"{base}/{part}").type == pafs.FileType.Directory:
+        where.delete_dir(f"{base}/{part}")
+
+
+def _stamp(path: str) -> tuple:
+    s = os.stat(path)
+    return path, s.st_size, s.st_mtime_ns
+
+
 class Database:
     """The public interface to a stored cohort. Query methods give DataFrames; ``None`` arguments do not restrict."""
 
@@ -104,14 +134,23 @@ class Database:
     # --- creation
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, ingested: DataFrame, samples: DataFrame, sample_phenotype: DataFrame, technologies: DataFrame, capture: DataFrame | None = None, genome_build: str = "GRCh37", db_version: str = "1.0", quality: Quality = Quality(), event: str = "preprocess") -> "Database":
-        """Store a cohort of ingested records and dimensions (missing columns of the dimensions become null)."""
+    def create(cls, spark: SparkSession, path: str, ingested: DataFrame, samples: DataFrame, sample_phenotype: DataFrame, technologies: DataFrame, capture: DataFrame | None = None, genome_build: str = "GRCh37", db_version: str = "1.0", quality: Quality = Quality(), event: str = "preprocess", source: str | None = None) -> "Database":
+        """Store a cohort of ingested records and dimensions (missing columns of the dimensions become null).
+
+        ``source`` names what the records come from. If a build from the same source, with the same settings, broke off
+        after its calls were written, they are used again.
+        """
         if genome_build not in PAR:
             raise ValueError(f"genome build is one of {', '.join(sorted(PAR))}")
         root = _uri(path)
-        _write_calls(classify(ingested, quality), f"{root}/calls/gen-1")
+        began = {"source": source, "genome_build": genome_build, "quality": quality.__dict__}
+        if source is None or not _goes_on(root, began):
+            _clear(root, "calls/gen-1")
+            _note_build(root, began)
+            _write_calls(classify(ingested, quality), f"{root}/calls/gen-1")
         if "always_covered" not in technologies.columns:
             technologies = technologies.withColumn("always_covered", F.col("bed_path").isNull())
+        _clear(root, "dims")
         names = [r[0] for r in samples.select("sample_name").orderBy("sample_id").collect()]
         n, top = samples.agg(F.count("*"), F.max("sample_id")).first()
         log = rows_table(spark, [(1, event, _now(), names, f"{n} samples ingested")], DIMS["changelog"])
@@ -126,13 +165,10 @@ class Database:
         where, base = pafs.FileSystem.from_uri(_uri(path))
         if where.get_file_info(f"{base}/manifest.json").type != pafs.FileType.NotFound and not force:
             return cls(spark, path)
-        if force and where.get_file_info(base).type == pafs.FileType.Directory:
-            for part in ("calls", "dims"):
-                if where.get_file_info(f"{base}/{part}").type == pafs.FileType.Directory:
-                    where.delete_dir(f"{base}/{part}")
-        s, t = read_manifest(manifest, bed_dir)
+        s, t = read_manifest(spark, manifest, bed_dir)
         samples, codes, techs, capture, calls = _from_manifest(spark, s, t, 0, {})
-        return cls.create(spark, path, calls, samples, codes, techs, capture, genome_build, db_version, quality)
+        source = hashlib.sha256(repr((s, sorted(t.items()), [_stamp(x.vcf_path) for x in s])).encode()).hexdigest()
+        return cls.create(spark, path, calls, samples, codes, techs, capture, genome_build, db_version, quality, source=None if force else source)
 
     # --- queries
 
@@ -192,7 +228,7 @@ class Database:
 
     def dump_frame(self, chrom=None, start=None, end=None, by_sex=False, by_tech=False, by_phenotype=None, all_groups=False, include_ac_zero=False, **sf) -> DataFrame:
         base = self.filter(**sf)
-        groups = export.build_groups(self.cohort, base, by_sex, by_tech, by_phenotype, all_groups)
+        groups = export.build_groups(self.cohort, base, by_sex=by_sex, by_tech=by_tech, by_phenotype=by_phenotype, all_groups=all_groups)
         return export.dump(self.cohort, base, groups, chrom, start, end, include_ac_zero)
 
     def dump(self, output=None, **args) -> dict:
@@ -201,10 +237,11 @@ class Database:
 
     def annotate_vcf(self, source: str, output: str, prefix: str = "COHORT_", **sf) -> dict:
         """Add the INFO fields to a VCF; gives n_variants, n_annotated, n_uncovered."""
-        sites = read_sites(self.spark, source)
-        a = written(annotate(self.cohort, sites, self.filter(**sf)), "annotated")
-        write_annotated(sites, a, source, output, prefix)
-        return annotate_stats(a).first().asDict()
+        with scratch(self.spark):
+            sites = read_sites(self.spark, source)
+            a = written(annotate(self.cohort, sites, self.filter(**sf)), "annotated")
+            write_annotated(sites, a, source, output, prefix)
+            return annotate_stats(a).first().asDict()
 
     def measures(self, **sf) -> DataFrame:
         return measures(self.cohort, self.filter(**sf))
@@ -214,23 +251,40 @@ class Database:
     def get_all_phenotypes(self) -> list[str]:
         return sorted(r[0] for r in self.cohort.sample_phenotype.select("phenotype_code").distinct().collect() if r[0] is not None)
 
+    def counts_frame(self) -> DataFrame:
+        """(axis, value, n): samples in all, by sex, by technology and by phenotype code."""
+        c = self.cohort
+        one = lambda df, axis, col: df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n")).select(F.lit(axis).alias("axis"), "value", "n")
+        every = c.samples.agg(F.count("*").alias("n")).select(F.lit("all").alias("axis"), F.lit("samples").alias("value"), "n")
+        return every.unionByName(one(c.samples, "sex", "sex")).unionByName(one(c.samples.join(c.technologies, "tech_id"), "tech", "tech_name")).unionByName(one(c.sample_phenotype, "phenotype", "phenotype_code"))
+
     def info(self) -> dict:
-        c, m = self.cohort, self.manifest
-        count = lambda df, col: {r[0]: r[1] for r in df.groupBy(col).count().collect()}
+        m = self.manifest
+        by: dict[str, dict] = {"all": {}, "sex": {}, "tech": {}, "phenotype": {}}
+        for r in self.counts_frame().collect():
+            by[r["axis"]][r["value"]] = r["n"]
         return {
             "db_path": self.root, "db_version": m.get("db_version", "unknown"), "genome_build": m["genome_build"], "schema_version": m["schema_version"], "created_at": m.get("created_at"), "updated_at": m.get("updated_at"),
-            "sample_count": c.samples.count(), "by_sex": count(c.samples, "sex"), "by_tech": count(c.samples.join(c.technologies, "tech_id"), "tech_name"), "by_phenotype": count(c.sample_phenotype, "phenotype_code"), "changelog_recent": self.changelog(5),
+            "sample_count": by["all"].get("samples", 0), "by_sex": by["sex"], "by_tech": by["tech"], "by_phenotype": by["phenotype"], "changelog_recent": self.changelog(5),
         }
 
-    def list_samples(self) -> list[dict]:
+    def samples_frame(self) -> DataFrame:
+        """Samples by id with technology and sorted codes."""
         c = self.cohort
         codes = c.sample_phenotype.groupBy("sample_id").agg(F.sort_array(F.collect_set("phenotype_code")).alias("phenotypes"))
         s = c.samples.join(c.technologies.select("tech_id", F.col("tech_name").alias("tech")), "tech_id").join(codes, "sample_id", "left")
-        return [r.asDict() | {"phenotypes": r["phenotypes"] or []} for r in s.select("sample_id", "sample_name", "sex", "tech", "phenotypes", "vcf_path", "ingested_at").orderBy("sample_id").collect()]
+        return s.select("sample_id", "sample_name", "sex", "tech", F.coalesce("phenotypes", F.array().cast("array<string>")).alias("phenotypes"), "vcf_path", "ingested_at").orderBy("sample_id")
 
-    def changelog(self, limit: int | None = None) -> list[dict]:
+    def list_samples(self) -> list[dict]:
+        return [r.asDict() for r in self.samples_frame().collect()]
+
+    def changelog_frame(self, limit: int | None = None) -> DataFrame:
+        """Events, the latest first."""
         log = self.changes.orderBy(F.desc("event_id"))
-        return [r.asDict() for r in (log if limit is None else log.limit(limit)).collect()]
+        return log if limit is None else log.limit(limit)
+
+    def changelog(self, limit: int | None = None) -> list[dict]:
+        return [r.asDict() for r in self.changelog_frame(limit).collect()]
 
     # --- changes
 
@@ -248,9 +302,9 @@ class Database:
         m = dict(self.manifest)
         if genome_build is not None and genome_build != m["genome_build"]:
             raise UpdateError(f"Genome build {genome_build} differs from the cohort's {m['genome_build']}")
-        s, t = read_manifest(manifest, bed_dir)
-        have = {r["sample_name"] for r in self.cohort.samples.select("sample_name").collect()}
-        if twice := sorted(have & {x.sample_name for x in s}):
+        s, t = read_manifest(self.spark, manifest, bed_dir)
+        new = rows_table(self.spark, [(x.sample_name,) for x in s], "sample_name string")
+        if twice := [r[0] for r in self.cohort.samples.join(new, "sample_name", "left_semi").select("sample_name").orderBy("sample_name").limit(50).collect()]:
             raise UpdateError(f"Samples are in the cohort already: {', '.join(twice)}")
         techs = {r["tech_name"]: r["tech_id"] for r in self.cohort.technologies.collect()}
         samples, codes, new_techs, capture, calls = _from_manifest(self.spark, s, t, m["next_sample_id"], techs)
@@ -292,51 +346,42 @@ class Database:
         self._commit({"samples": keep(c.samples), "sample_phenotype": keep(c.sample_phenotype)}, [("remove_samples", _now(), list(dict.fromkeys(names)), f"{len(gone)} samples removed")], m)
 
     def update_sample_metadata(self, updates: list[dict], operator_note: str | None = None) -> list[dict]:
-        """Change sex or phenotype_codes (all codes are replaced). Every row is checked before anything is written."""
+        """Change sex or phenotype_codes (all codes are replaced). Every row is checked before anything is written.
+
+        Updates of one sample follow each other: the old value of an entry is what the update before it set.
+        """
         if not updates:
             return []
         c = self.cohort
-        names = sorted({u.get("sample_name", "").strip() for u in updates})
-        rows = {r["sample_name"]: r for r in c.samples.where(F.col("sample_name").isin(names)).collect()}
-        ids = [r["sample_id"] for r in rows.values()]
-        codes: dict[int, list[str]] = {i: [] for i in ids}
-        for r in c.sample_phenotype.where(F.col("sample_id").isin(ids)).collect():
-            codes[r["sample_id"]].append(r["phenotype_code"])
-        for u in updates:
-            name, field, new = (u.get(k, "").strip() for k in ("sample_name", "field", "new_value"))
-            if name not in rows:
-                raise UpdateError(f"Sample {name!r} not found in the cohort")
-            if field not in ("sex", "phenotype_codes"):
-                raise UpdateError(f"Invalid field {field!r} for sample {name!r}: sex or phenotype_codes")
-            if field == "sex" and new not in ("male", "female"):
-                raise UpdateError(f"Invalid sex {new!r} for sample {name!r}: male or female")
-            if field == "phenotype_codes" and not [x for x in new.split(",") if x.strip()]:
-                raise UpdateError(f"phenotype_codes for sample {name!r} is empty")
-        sexes = {n: r["sex"] for n, r in rows.items()}
-        entries, events, touched = [], [], set()
-        for u in updates:
-            name, field, new = (u[k].strip() for k in ("sample_name", "field", "new_value"))
-            i = rows[name]["sample_id"]
-            if field == "sex":
-                entry = {"sample": name, "field": field, "old": sexes[name], "new": new}
-                sexes[name] = new
-            else:
-                fresh = list(dict.fromkeys(x.strip() for x in new.split(",") if x.strip()))
-                entry = {"sample": name, "field": field, "old": ",".join(sorted(codes[i])), "new": ",".join(sorted(fresh))}
-                codes[i] = fresh
-                touched.add(i)
-            if operator_note:
-                entry["operator_note"] = operator_note
-            entries.append(entry)
-            events.append(("UPDATE_SAMPLE", _now(), [name], json.dumps(entry)))
-        changes = {}
-        new_sex = rows_table(self.spark, [(rows[n]["sample_id"], s) for n, s in sexes.items() if s != rows[n]["sex"]], "sample_id int, new_sex string")
-        changes["samples"] = _fit(c.samples.join(F.broadcast(new_sex), "sample_id", "left").withColumn("sex", F.coalesce("new_sex", "sex")), "samples")
-        if touched:
-            fresh = rows_table(self.spark, [(i, x) for i in touched for x in codes[i]], DIMS["sample_phenotype"])
-            changes["sample_phenotype"] = c.sample_phenotype.where(~F.col("sample_id").isin(list(touched))).unionByName(fresh)
+        given = [(i, *(str(u.get(k) or "").strip() for k in ("sample_name", "field", "new_value"))) for i, u in enumerate(updates)]
+        u = rows_table(self.spark, given, "no int, sample_name string, field string, new_value string")
+        u = u.join(c.samples.select("sample_name", "sample_id", "sex"), "sample_name", "left").withColumn("codes", listed_codes(F.col("new_value")))
+        rules = {
+            "there is no such sample": F.col("sample_id").isNull(),
+            "only sex and phenotype_codes can be changed": ~F.col("field").isin("sex", "phenotype_codes"),
+            "sex is male or female": (F.col("field") == "sex") & ~F.col("new_value").isin("male", "female"),
+            "at least one code is needed": (F.col("field") == "phenotype_codes") & (F.size("codes") == 0),
+        }
+        if wrong := problems(u, rules, ["no", "sample_name", "field", "new_value"]).orderBy("no").collect():
+            raise UpdateError("; ".join(f"{r['sample_name']!r} {r['field']} {r['new_value']!r}: {r['problem']}" for r in wrong))
+        have = c.sample_phenotype.join(u.select("sample_id").distinct(), "sample_id", "left_semi").groupBy("sample_id").agg(F.array_join(F.sort_array(F.collect_set("phenotype_code")), ",").alias("have"))
+        is_sex = F.col("field") == "sex"
+        turns = Window.partitionBy("sample_id", "field").orderBy("no")
+        u = u.withColumn("new", F.when(is_sex, F.col("new_value")).otherwise(F.array_join(F.sort_array("codes"), ","))).join(have, "sample_id", "left")
+        u = u.withColumn("old", F.coalesce(F.lag("new").over(turns), F.when(is_sex, F.col("sex")).otherwise(F.coalesce("have", F.lit("")))))
+        u = u.withColumn("last", F.lead("no").over(turns).isNull())
+        done = written(u.select("no", "sample_id", "sample_name", "field", "old", "new", "codes", "last"), "updates")
+        note = {"operator_note": operator_note} if operator_note else {}
+        # The keys of an entry and the event's name, as in stored changelogs.
+        entries = [{"sample": r["sample_name"], "field": r["field"], "old": r["old"], "new": r["new"]} | note for r in done.orderBy("no").collect()]
+        events = [("UPDATE_SAMPLE", _now(), [e["sample"]], json.dumps(e)) for e in entries]
+        last = done.where("last")
+        sexes = last.where(is_sex).select("sample_id", F.col("new").alias("new_sex"))
+        fresh = last.where(~is_sex)
+        samples = c.samples.join(sexes, "sample_id", "left").withColumn("sex", F.coalesce("new_sex", "sex"))
+        codes = c.sample_phenotype.join(fresh.select("sample_id"), "sample_id", "left_anti").select("sample_id", "phenotype_code").unionByName(fresh.select("sample_id", F.explode("codes").alias("phenotype_code")))
         m = dict(self.manifest)
-        self._commit(changes, events, m | {"updated_at": _now(), "db_version": next_version(m["db_version"])})
+        self._commit({"samples": _fit(samples, "samples"), "sample_phenotype": codes}, events, m | {"updated_at": _now(), "db_version": next_version(m["db_version"])})
         return entries
 
     def compact(self) -> dict:
@@ -391,29 +436,61 @@ def check_database(spark: SparkSession, path: str) -> list[tuple[str, str]]:
         return out
     parts = [*(f"calls/{g}" for g in m["calls"]), *(f"dims/{m['dims']}/{t}" for t in DIMS)]
     out = [("error", f"{p} is missing") for p in parts if where.get_file_info(f"{base}/{p}").type != pafs.FileType.Directory]
-    for p in parts:
-        files = [f.path for f in where.get_file_info(pafs.FileSelector(f"{base}/{p}", recursive=True, allow_not_found=True)) if f.path.endswith(".parquet")]
-        if not files:
-            continue
-        want = CALLS if p.startswith("calls") else DIMS[p.rpartition("/")[2]]
-        have = set(pq.read_schema(files[0], filesystem=where).names) | {"chrom", "bucket"}
-        if lost := [f.name for f in spark.createDataFrame([], want).schema if f.name not in have]:
-            out.append(("error", f"{p} lacks columns {', '.join(lost)}"))
+    out += [(r["severity"], r["message"]) for r in check_files(spark, root, parts).orderBy("message").limit(1000).collect()]
     return out or Database(spark, path).check()
 
 
+def check_files(spark: SparkSession, root: str, parts: list[str]) -> DataFrame:
+    """(severity, message) for every stored file that cannot be read to its end, lacks a column, or is not in order of its position."""
+    where, base = pafs.FileSystem.from_uri(root)
+    listed = [(p, f.path) for p in parts for f in where.get_file_info(pafs.FileSelector(f"{base}/{p}", recursive=True, allow_not_found=True)) if f.path.endswith(".parquet")]
+    want = {p: [x.split()[0] for x in (CALLS if p.startswith("calls") else DIMS[p.rpartition("/")[2]]).split(", ")] for p in parts}
+    files = rows_table(spark, listed, "part string, path string").repartition(max(1, min(len(listed) // 8, 10_000)), "path")
+
+    def look(batches):
+        fs, _ = pafs.FileSystem.from_uri(root)
+        for b in batches:
+            found = []
+            for part, path in zip(b["part"].to_pylist(), b["path"].to_pylist()):
+                name = path.removeprefix(base).lstrip("/")
+                try:
+                    with pq.ParquetFile(fs.open_input_file(path)) as f:
+                        lost = [c for c in want[part] if c not in {*f.schema_arrow.names, "chrom", "bucket"}]
+                        if lost:
+                            found.append(f"{name} lacks columns {', '.join(lost)}")
+                        before = None
+                        for rows in f.iter_batches():
+                            if not part.startswith("calls") or lost or not rows.num_rows:
+                                continue
+                            pos = rows["pos"].to_numpy()
+                            if (pos[1:] < pos[:-1]).any() or before is not None and pos[0] < before:
+                                found.append(f"{name} is not in order of position")
+                                break
+                            before = pos[-1]
+                except (OSError, pa.ArrowException) as e:
+                    found.append(f"{name} cannot be read: {str(e).splitlines()[0][:100]}")
+            yield pa.RecordBatch.from_arrays([pa.array(["error"] * len(found), pa.string()), pa.array(found, pa.string())], names=["severity", "message"])
+
+    return files.mapInArrow(look, "severity string, message string")
+
+
 def _fit(df: DataFrame, dim: str) -> DataFrame:
     """The columns of a dimension in order and type; those that are missing are null."""
     schema = df.sparkSession.createDataFrame([], DIMS[dim]).schema
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
 
 
+def _one_file(df: DataFrame) -> DataFrame:
+    """In one file if that is known to be small, else as many as there are tasks."""
+    return df.coalesce(1) if can_broadcast(df, 64 << 20) else df
+
+
 def _store_dims(spark: SparkSession, root: str, manifest: dict, dims: dict[str, DataFrame]) -> None:
     manifest["generation"] = manifest.get("generation", 0) + 1
     gen = f"gen-{manifest['generation']}"
     dims = dims | {"stretches": segments(dims["capture"])}
     with ThreadPoolExecutor(4) as pool:  # small independent jobs
-        list(pool.map(lambda kv: _fit(kv[1], kv[0]).coalesce(1).write.parquet(f"{root}/dims/{gen}/{kv[0]}"), dims.items()))
+        list(pool.map(lambda kv: _one_file(_fit(kv[1], kv[0])).write.parquet(f"{root}/dims/{gen}/{kv[0]}"), dims.items()))
     manifest["dims"] = gen
     _write_manifest(root, manifest)
 

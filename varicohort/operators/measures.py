@@ -19,10 +19,11 @@ from varicohort.functions.ploidy import allele_number, ploidy
 from varicohort.operators.coverage import with_segment
 from varicohort.operators.filters import SampleFilter, sample_attributes
 from varicohort.plans.cohort import VARIANT, Cohort
-from varicohort.session import can_broadcast
+from varicohort.session import can_broadcast, local_table
 
 MEASURES = ["AC", "AN", "AF", "n_eligible", "N_HET", "N_HOM_ALT", "N_HOM_REF", "N_FAIL", "N_NO_COVERAGE"]
 COUNTS = ["AC", "N_HET", "N_HOM_ALT", "N_FAIL", "pass", "obs", "qp"]
+LOCAL_BYTES = 4 << 20
 WHOLE = -1  # number of the group that holds every sample
 
 
@@ -39,8 +40,17 @@ def flagged_samples(cohort: Cohort, filters: list[SampleFilter]) -> DataFrame:
     return cohort.memo[key]
 
 
+def _attributes(cohort: Cohort) -> DataFrame:
+    """Attributes of the samples; those of a stored cohort are fetched once, if they are known to be small."""
+    if "attributes" not in cohort.memo:
+        s = sample_attributes(cohort.samples, cohort.sample_phenotype, cohort.technologies).select("sample_id", "sex", "tech_id", "tech_name", "codes")
+        small = cohort.partitioned and all(can_broadcast(t, LOCAL_BYTES) for t in (cohort.samples, cohort.sample_phenotype))
+        cohort.memo["attributes"] = local_table(s) if small else s
+    return cohort.memo["attributes"]
+
+
 def _flagged_samples(cohort: Cohort, filters: list[SampleFilter]) -> DataFrame:
-    s = sample_attributes(cohort.samples, cohort.sample_phenotype, cohort.technologies)
+    s = _attributes(cohort)
     member = [f.member(F.col("codes"), F.col("tech_name"), F.col("sex")) for f in filters]
     numbers = F.filter(F.array(*(F.when(m, F.lit(i)) for i, m in enumerate(member))), lambda x: x.isNotNull())
     return s.select("sample_id", "sex", "tech_id", member[0].alias("inside"), numbers.alias("groups"))
@@ -52,7 +62,9 @@ class Headcount:
     def __init__(self, cohort: Cohort, filters: list[SampleFilter], flagged: DataFrame):
         self.n = len(filters)
         rows = flagged.select("tech_id", "sex", F.explode("groups").alias("grp")).where("sex IN ('male', 'female')").groupBy("tech_id", "sex", "grp").count().collect()
-        self.always = sorted(r[0] for r in cohort.technologies.where("always_covered").select("tech_id").collect() if r[0] is not None)
+        if "always" not in cohort.memo:
+            cohort.memo["always"] = sorted(r[0] for r in cohort.technologies.where("always_covered").select("tech_id").collect() if r[0] is not None)
+        self.always = cohort.memo["always"]
         self.per: dict[str, dict[int, list[int]]] = {"male": {}, "female": {}}
         for r in rows:
             if r["tech_id"] is not None:
@@ -87,12 +99,15 @@ def headcount(cohort: Cohort, filters: list[SampleFilter], flagged: DataFrame) -
     return cohort.memo[key]
 
 
-def with_position_facts(rows: DataFrame, cohort: Cohort, heads: Headcount) -> DataFrame:
-    """``rows`` with kits (that cover the position) and __males, __females, __kit_samples: arrays over the groups."""
+def with_position_facts(rows: DataFrame, cohort: Cohort, heads: Headcount, near: str = "true") -> DataFrame:
+    """``rows`` with kits (that cover the position) and __males, __females, __kit_samples: arrays over the groups.
+
+    ``near`` narrows the stretches to those that rows can lie in.
+    """
     key = ("stretches", json.dumps(heads.per))
     if key not in cohort.memo:
         cohort.memo[key] = cohort.coverage().selectExpr("chrom", "start0", "end0", "kits", f"{heads.of_kits('kits', 'male')} AS __km", f"{heads.of_kits('kits', 'female')} AS __kf")
-    j = with_segment(rows, cohort.memo[key], cohort.stretches if cohort.stretches is not None else cohort.capture)
+    j = with_segment(rows, cohort.memo[key].where(near), cohort.stretches if cohort.stretches is not None else cohort.capture)
     km, kf = (f"coalesce({c}, array_repeat(0L, {heads.n}))" for c in ("__km", "__kf"))
     add = lambda a, b: f"zip_with({a}, {b}, (x, y) -> x + y)"
     facts = ["coalesce(kits, CAST(array() AS ARRAY<INT>)) AS kits", f"{add(km, heads.everywhere('male'))} AS __males", f"{add(kf, heads.everywhere('female'))} AS __females", f"{add(km, kf)} AS __kit_samples"]
@@ -170,16 +185,18 @@ def _finish(cohort: Cohort, on: bool, count, males: str, females: str, kit_sampl
     return {"AC": count("AC"), "AN": an, "AF": f"try_divide({count('AC')}, {an})", "n_eligible": n, "N_HET": count("N_HET"), "N_HOM_ALT": count("N_HOM_ALT"), "N_HOM_REF": rest, "N_FAIL": count("N_FAIL"), "N_NO_COVERAGE": no}
 
 
-def measures(cohort: Cohort, sf: SampleFilter, calls: DataFrame | None = None) -> DataFrame:
+def measures(cohort: Cohort, sf: SampleFilter, calls: DataFrame | None = None, near: str = "true") -> DataFrame:
     """VARIANT and MEASURES for every stored variant of ``calls`` (default: all) whose AN over the sub-cohort is not 0.
 
+    ``near`` is a condition on capture stretches that all positions of ``calls`` keep; it only saves work.
+
     Variants that no sample of the sub-cohort carries are there with AC 0, also those whose carriers have left the
     cohort (until it is compacted). An empty sub-cohort gives no rows.
     """
     check_gates(cohort, sf)
     flagged = flagged_samples(cohort, [sf])
     heads = headcount(cohort, [sf], flagged)
-    tech = with_position_facts(per_technology(cohort, cohort.calls if calls is None else calls, flagged), cohort, heads)
+    tech = with_position_facts(per_technology(cohort, cohort.calls if calls is None else calls, flagged), cohort, heads, near)
     tech = tech.selectExpr(*(c for c in tech.columns if not c.startswith("__")), *(f"{c}[0] AS {c}" for c in ("__males", "__females", "__kit_samples")))
     v = _per_variant(cohort, tech, heads, sf, VARIANT, "0").where("has_class")
     on, _ = kit_gate(sf, cohort.quality.min_covered)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -26,7 +27,7 @@ INFO_FIELDS = {
 @F.pandas_udf(T.StringType())
 def ten_digits(values: pd.Series) -> pd.Series:
     """Numbers with ten significant digits and no trailing zeros, which no built-in format gives."""
-    return values.map(lambda v: None if pd.isna(v) else "%.10g" % v)
+    return pd.Series(np.char.mod("%.10g", values.to_numpy(float)), values.index).where(values.notna(), None)
 
 
 def annotate(cohort: Cohort, records: DataFrame, sf: SampleFilter = SampleFilter()) -> DataFrame:
@@ -38,7 +39,7 @@ def annotate(cohort: Cohort, records: DataFrame, sf: SampleFilter = SampleFilter
     """
     check_gates(cohort, sf)
     r = records.select("line_no", normalize_chrom(F.col("chrom")).alias("chrom"), F.col("pos").cast("int").alias("pos"), "ref", F.posexplode_outer("alts").alias("alt_no", "alt"))
-    wanted = r.where("alt IS NOT NULL").select(*VARIANT).distinct()
+    wanted = r.where("alt IS NOT NULL").select(*VARIANT)
     small = F.broadcast(wanted) if can_broadcast(records) else wanted
     m = measures(cohort, sf, cohort.calls.join(small, VARIANT, "left_semi")).drop("AN", "n_eligible").withColumn("stored", F.lit(True))
     heads = headcount(cohort, [sf], flagged_samples(cohort, [sf]))

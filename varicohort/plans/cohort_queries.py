@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from varicohort.functions.chrom import bucket, chrom_rank, is_autosome, is_mito, is_sex_chrom, normalize_chrom
 from varicohort.functions.ploidy import is_par, ploidy
+from varicohort.operators import bitmaps as B
 from varicohort.operators.coverage import covering, kit_patterns
 from varicohort.operators.filters import SampleFilter
 from varicohort.operators.measures import measures
 from varicohort.plans import derived, queries as Q
 from varicohort.plans.annotate import annotate, annotate_stats
 from varicohort.plans.cohort import VARIANT, Quality
-from varicohort.plans.export import BASE, build_groups, dump
+from varicohort.plans.export import BASE, build_groups, dump, dump_long
 from varicohort.plans.star import QUALITY, TECHS, measures_sql, sql, star_cohort, star_ingested
 from varicohort.session import table
 
@@ -128,7 +129,24 @@ _KITS = [(n, f"t.tech_name = '{n}'") for n in sorted(n for _, n in TECHS)]
 _add("dump_by_sex", _dump(by_sex=True), _dump_sql(_SEXES))
 _add("dump_by_tech", _dump(by_tech=True), _dump_sql(_KITS))
 _add("dump_by_phenotype", _dump(f(["Q0,Q1", "^MACHINERY"]), by_phenotype=["BUILDING", "Q1"]), _dump_sql([(c, f"{_code(c)} AND NOT ({_code('MACHINERY')})") for c in ("BUILDING", "Q1")], f"{_code('Q0', 'Q1')} AND NOT ({_code('MACHINERY')})"))
-_add("dump_all_groups", _dump(all_groups=True, by_phenotype=["BUILDING", "Q1"]), _dump_sql([(f"{a}_{b}_{c}", f"{wa} AND {wb} AND {_code(c)}") for a, wa in _SEXES for b, wb in _KITS for c in ("BUILDING", "Q1")]))
+
+
+def _all_groups(spark: SparkSession, d: str) -> DataFrame:
+    c = star_cohort(spark, d)
+    return dump_long(c, ALL, build_groups(c, ALL, all_groups=True))
+
+
+# every sex, technology and code: a row per variant and group, in sets again
+_add(
+    "dump_all_groups",
+    _all_groups,
+    sql(measures_sql(), f"""
+SELECT {V}, label, CAST(coalesce(ac, 0) AS BIGINT) AS AC, CAST(coalesce(an, 0) AS BIGINT) AS AN, coalesce(ac / nullif(an, 0), 0.0) AS AF, coalesce(n_het, 0) AS N_HET, coalesce(n_hom, 0) AS N_HOM_ALT, coalesce(n - n_het - n_hom - n_fail, 0) AS N_HOM_REF, coalesce(n_fail, 0) AS N_FAIL, 0::BIGINT AS N_NO_COVERAGE
+FROM (SELECT {V} FROM result WHERE AC > 0)
+CROSS JOIN (SELECT sex || '_' || tech_name || '_' || code AS label, sex, tech_id, code FROM (VALUES ('male'), ('female')) x(sex), tech, (SELECT DISTINCT code FROM phen)) l
+LEFT JOIN (SELECT {V}, sex, tech_id, code, sum(CASE WHEN p = 1 AND (het OR hom) THEN 1 WHEN p = 2 THEN CAST(het AS INT) + 2 * CAST(hom AS INT) ELSE 0 END) AS ac, sum(p) AS an, count(*) AS n, count(*) FILTER (WHERE het AND p = 2) AS n_het, count(*) FILTER (WHERE hom AND p = 2) + count(*) FILTER (WHERE (het OR hom) AND p = 1) AS n_hom, count(*) FILTER (WHERE fail) AS n_fail
+  FROM (SELECT g.*, s.sex, f.code FROM result_g g JOIN samples s USING (sample_id) JOIN phen f USING (sample_id)) GROUP BY ALL) m USING ({V}, sex, tech_id, code)"""),
+)
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -175,35 +193,20 @@ _add("ploidy_split", lambda spark, d: (lambda c: c.calls.join(c.samples, "sample
 _add("gt_classes", lambda spark, d: star_cohort(spark, d).calls.groupBy("chrom").agg(*(F.count_if(c).alias(f"n_{c[3:]}") for c in ("is_het", "is_hom", "is_fail"))), sql("x AS (SELECT 1)", "SELECT chrom, count(*) FILTER (WHERE filter_pass AND gt_ac = 1) AS n_het, count(*) FILTER (WHERE filter_pass AND gt_ac = 2) AS n_hom, count(*) FILTER (WHERE NOT filter_pass) AS n_fail FROM calls GROUP BY chrom"))
 _add("quality_pass", lambda spark, d: star_cohort(spark, d, quality=QUALITY).calls.where("is_qp").groupBy(*VARIANT).agg(F.count("*").alias("n_qp")), sql("x AS (SELECT 1)", f"SELECT {V}, count(*) AS n_qp FROM calls WHERE gt_ac > 0 AND filter_pass AND coalesce(dp >= 20, false) AND gq >= 20 AND qual >= 15000 GROUP BY ALL"))
 _add("bucket_counts", lambda spark, d: star_cohort(spark, d).calls.groupBy("chrom", bucket(F.col("pos")).alias("bucket")).agg(F.count("*").alias("n_calls"), F.countDistinct("pos", "ref", "alt").alias("n_variants")), sql("x AS (SELECT 1)", "SELECT chrom, CAST(pos // 1000000 AS BIGINT) AS bucket, count(*) AS n_calls, count(DISTINCT (pos, ref, alt)) AS n_variants FROM calls GROUP BY ALL"))
-_add("bitmap_cardinality", lambda spark, d: _bitmaps(star_cohort(spark, d)), sql("x AS (SELECT 1)", f"SELECT {V}, count(*) AS n_carriers, count(*) FILTER (WHERE sex = 'female') AS n_female_carriers FROM calls JOIN samples USING (sample_id) WHERE filter_pass AND gt_ac IN (1, 2) GROUP BY ALL"))
+_add("bitmap_cardinality", lambda spark, d: _bitmaps(star_cohort(spark, d)), sql("x AS (SELECT 1)", f"SELECT {V}, count(*) AS n_stored, count(*) FILTER (WHERE filter_pass) AS n_carriers, count(*) FILTER (WHERE filter_pass AND sex = 'female') AS n_female_carriers FROM calls JOIN samples USING (sample_id) WHERE NOT filter_pass OR gt_ac IN (1, 2) GROUP BY ALL"))
 _add("stored_variants", lambda spark, d: star_cohort(spark, d).calls.where("is_het OR is_hom OR is_fail").select(*VARIANT).distinct(), sql("x AS (SELECT 1)", f"SELECT DISTINCT {V} FROM calls WHERE NOT filter_pass OR gt_ac IN (1, 2)"))
 _add("normalize_chrom", lambda spark, d: table(spark, d, "calls").select("chrom", normalize_chrom(F.col("chrom")).alias("canonical"), is_autosome(F.col("chrom")).alias("autosome"), is_sex_chrom(F.col("chrom")).alias("sex_chrom"), is_mito(F.col("chrom")).alias("mito")).groupBy("chrom", "canonical", "autosome", "sex_chrom", "mito").agg(F.count("*").alias("n")), "WITH c AS (SELECT chrom, CASE WHEN upper(trim(chrom)) = 'MT' THEN 'chrM' WHEN trim(chrom) LIKE 'chr%' THEN trim(chrom) ELSE 'chr' || trim(chrom) END AS canonical FROM calls) SELECT chrom, canonical, regexp_full_match(canonical, 'chr([1-9]|1[0-9]|2[0-2])') AS autosome, canonical IN ('chrX', 'chrY') AS sex_chrom, canonical = 'chrM' AS mito, count(*) AS n FROM c GROUP BY ALL")
 
 
 def _bitmaps(c) -> DataFrame:
-    """Sizes of carrier sets and of their intersection with the females, from bitmaps of 32,768 bits per word."""
-    carriers = c.calls.where("is_het OR is_hom").select(*VARIANT, "sample_id")
-    females = c.samples.where("sex = 'female'").select("sample_id")
-    words = lambda df, keys: df.groupBy(*keys, F.bitmap_bucket_number("sample_id").alias("word")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("sample_id")).alias("bits"))
-    a = words(carriers, VARIANT)
-    joint = carriers.join(females, "sample_id")
-    f_words = words(joint, VARIANT).groupBy(*VARIANT).agg(F.sum(F.bitmap_count("bits")).alias("n_female_carriers"))
-    n = a.groupBy(*VARIANT).agg(F.sum(F.bitmap_count("bits")).alias("n_carriers"))
-    return n.join(f_words, VARIANT, "left").fillna(0, ["n_female_carriers"])
-
-
-# --- dimensions
-_add("info_counts", lambda spark, d: _info_counts(star_cohort(spark, d)), sql("x AS (SELECT 1)", "SELECT 'all' AS axis, 'samples' AS value, count(*) AS n FROM samples UNION ALL SELECT 'sex', sex, count(*) FROM samples GROUP BY sex UNION ALL SELECT 'tech', tech_name, count(*) FROM samples JOIN tech USING (tech_id) GROUP BY tech_name UNION ALL SELECT 'phenotype', code, count(*) FROM phen GROUP BY code"))
-_add("list_samples", lambda spark, d: (lambda c: c.samples.join(c.technologies.select("tech_id", "tech_name"), "tech_id").select("sample_id", "sample_name", "sex", "tech_name"))(star_cohort(spark, d)), sql("x AS (SELECT 1)", "SELECT sample_id, sample_name, sex, tech_name FROM samples JOIN tech USING (tech_id)"))
-_add("next_id", lambda spark, d: star_cohort(spark, d).samples.agg((F.max("sample_id") + 1).alias("next_id")), sql("x AS (SELECT 1)", "SELECT CAST(max(sample_id) + 1 AS INT) AS next_id FROM samples"))
-_add("changelog_tail", lambda spark, d: table(spark, d, "changelog").select("event_id", "event_type", "event_time", "notes").orderBy(F.desc("event_id")).limit(20), "SELECT event_id, event_type, event_time, notes FROM changelog ORDER BY event_id DESC LIMIT 20")
-
-
-def _info_counts(c) -> DataFrame:
-    one = lambda df, axis, col: df.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n")).select(F.lit(axis).alias("axis"), "value", "n")
-    s = c.samples.join(c.technologies, "tech_id")
-    every = c.samples.agg(F.count("*").alias("n")).select(F.lit("all").alias("axis"), F.lit("samples").alias("value"), "n")
-    return every.unionByName(one(s, "sex", "sex")).unionByName(one(s, "tech", "tech_name")).unionByName(one(c.sample_phenotype, "phenotype", "phenotype_code"))
+    """Sizes of the sets of all samples with a call, of the carriers, and of the carriers that are female."""
+    carriers = B.bitmaps(c.calls.where("is_het OR is_hom"), VARIANT, "sample_id")
+    failed = B.bitmaps(c.calls.where("is_fail"), VARIANT, "sample_id")
+    females = B.bitmaps(c.samples.where("sex = 'female'"), [], "sample_id")
+    out = B.cardinality(B.union(carriers, failed, VARIANT), VARIANT, "n_stored")
+    for name, m in (("n_carriers", carriers), ("n_female_carriers", B.restrict(carriers, females, VARIANT))):
+        out = out.join(B.cardinality(m, VARIANT, name), VARIANT, "left")
+    return out.fillna(0, ["n_carriers", "n_female_carriers"])
 
 
 # --- mutations, as relations before and after
@@ -219,24 +222,6 @@ def _add_samples(spark: SparkSession, d: str) -> DataFrame:
 
 _STORED = f"SELECT DISTINCT {V} FROM calls WHERE (NOT filter_pass OR gt_ac IN (1, 2))"
 _add("add_samples_merge", _add_samples, sql(f"o AS ({_STORED} AND sample_id < 500), n AS ({_STORED} AND sample_id >= 500)", "SELECT n.chrom, count(*) FILTER (WHERE o.pos IS NULL) AS n_new, count(*) FILTER (WHERE o.pos IS NOT NULL) AS n_updated FROM n LEFT JOIN o ON o.chrom = n.chrom AND o.pos = n.pos AND o.ref = n.ref AND o.alt = n.alt GROUP BY n.chrom"))
-_measured("remove_samples_query", where="s.sample_id % 3 <> 0", run=lambda c: measures(c.with_(samples=c.samples.where("sample_id % 3 <> 0")), ALL))
-_add("compact_counts", lambda spark, d: _compact_counts(star_cohort(spark, d)), sql("x AS (SELECT 1)", f"SELECT chrom, count(*) AS n_before, count(*) FILTER (WHERE left_over) AS n_after FROM (SELECT {V}, bool_or(sample_id < 100) AS left_over FROM calls WHERE NOT filter_pass OR gt_ac IN (1, 2) GROUP BY ALL) GROUP BY chrom"))
-
-
-def _compact_counts(c) -> DataFrame:
-    from varicohort.plans.maintain import compacted
-
-    before = c.calls.where("is_het OR is_hom OR is_fail").select(*VARIANT).distinct()
-    after = compacted(c.calls, c.samples.where("sample_id < 100")).select(*VARIANT).distinct().withColumn("kept", F.lit(True))
-    return before.join(after, VARIANT, "left").groupBy("chrom").agg(F.count("*").alias("n_before"), F.count("kept").alias("n_after"))
-
-
-_add(
-    "metadata_update_query",
-    lambda spark, d: (lambda c: measures(c.with_(samples=c.samples.withColumn("sex", F.when(F.col("sample_id") % 7 == 0, "female").otherwise(F.col("sex"))), sample_phenotype=c.sample_phenotype.withColumn("phenotype_code", F.when(F.col("phenotype_code") == "Q1", "Q9").otherwise(F.col("phenotype_code")))), f(["Q9"])))(star_cohort(spark, d)),
-    sql(measures_sql("s.sample_id IN (SELECT sample_id FROM phen WHERE code = 'Q9')", samples="SELECT sample_id, sample_name, CASE WHEN sample_id % 7 = 0 THEN 'female' ELSE sex END AS sex, tech_id FROM samples", phen="SELECT sample_id, CASE WHEN code = 'Q1' THEN 'Q9' ELSE code END AS code FROM phen"), "SELECT * FROM result"),
-)
-
 # --- derived analyses; the thresholds fit the derived cohort, whose largest AF is a few per cent
 _T = dict(ba1=0.02, bs1=0.01, pm2=0.002)
 _CLASS = "CASE WHEN {p}AF IS NULL THEN NULL WHEN {p}AF > 0.02 THEN 'BA1' WHEN {p}AF > 0.01 THEN 'BS1' WHEN {p}AF <= 0.002 THEN 'PM2' ELSE 'neutral' END"

@@ -16,6 +16,19 @@ from varicohort.session import can_broadcast, rows_table
 Key = tuple[int, str | None, str | None]
 
 
+NARROW_BYTES = 32 << 20
+
+
+def narrowed(cohort: Cohort, calls: DataFrame) -> DataFrame:
+    """Calls of a few files in one task, if their size is known to be small: all that follows then needs no shuffle."""
+    return calls.coalesce(1) if cohort.partitioned and can_broadcast(calls, NARROW_BYTES) else calls
+
+
+def _near(chrom: str, start: int, end: int) -> str:
+    """Condition on capture stretches that may cover positions of a range."""
+    return f"chrom = '{normalize_chrom_text(chrom).replace(chr(92), '').replace(chr(39), '')}' AND start0 < {int(end)} AND end0 >= {int(start)}"
+
+
 def slice_calls(cohort: Cohort, chrom: str, start: int, end: int) -> DataFrame:
     """Calls in an inclusive range; the bucket follows from the position, so that only its files are read."""
     c = cohort.calls.where((F.col("chrom") == normalize_chrom_text(chrom)) & F.col("pos").between(start, end))
@@ -28,12 +41,12 @@ def point(cohort: Cohort, chrom: str, pos: int, sf: SampleFilter = SampleFilter(
     for name, value in (("ref", ref), ("alt", alt)):
         if value is not None:
             c = c.where(F.col(name) == value)
-    return measures(cohort, sf, c)
+    return measures(cohort, sf, narrowed(cohort, c), _near(chrom, pos, pos))
 
 
 def region(cohort: Cohort, chrom: str, start: int, end: int, sf: SampleFilter = SampleFilter()) -> DataFrame:
     """Variants with start <= pos <= end."""
-    return measures(cohort, sf, slice_calls(cohort, chrom, start, end))
+    return measures(cohort, sf, narrowed(cohort, slice_calls(cohort, chrom, start, end)), _near(chrom, start, end))
 
 
 def region_multi(cohort: Cohort, regions: Iterable[tuple[str, int, int]], sf: SampleFilter = SampleFilter()) -> DataFrame:
@@ -48,13 +61,13 @@ def region_multi(cohort: Cohort, regions: Iterable[tuple[str, int, int]], sf: Sa
         for c, a, b in rs:
             one = (F.col("chrom") == c) & F.col("pos").between(a, b)
             cond = cond | (one & F.col("bucket").between(a // BUCKET_BP, b // BUCKET_BP) if cohort.partitioned else one)
-        return measures(cohort, sf, calls.where(cond))
+        return measures(cohort, sf, narrowed(cohort, calls.where(cond)), " OR ".join(f"({_near(*x)})" for x in rs) or "false")
     r = rows_table(cohort.spark, rs, "r_chrom string, r_start int, r_end int").withColumn("r_bin", F.explode(F.sequence((F.col("r_start") / BUCKET_BP).cast("bigint"), (F.col("r_end") / BUCKET_BP).cast("bigint"))))
     inside = (F.col("chrom") == F.col("r_chrom")) & ((F.col("pos") / BUCKET_BP).cast("bigint") == F.col("r_bin")) & F.col("pos").between(F.col("r_start"), F.col("r_end"))
     return measures(cohort, sf, calls.join(F.broadcast(r) if can_broadcast(r) else r, inside, "left_semi"))
 
 
-def _near(cohort: Cohort, keys: list[tuple[str, int, str | None, str | None]]) -> DataFrame:
+def _files_of(cohort: Cohort, keys: list[tuple[str, int, str | None, str | None]]) -> DataFrame:
     """Calls in the chromosomes and buckets of the keys: at most one list of buckets per chromosome, for pruning only."""
     where: dict[str, set[int]] = {}
     for c, p, *_ in keys:
@@ -63,7 +76,7 @@ def _near(cohort: Cohort, keys: list[tuple[str, int, str | None, str | None]]) -
     for c, buckets in sorted(where.items()):
         one = F.col("chrom") == c
         cond = cond | (one & F.col("bucket").isin(*sorted(buckets)) if cohort.partitioned else one)
-    return cohort.calls.where(cond)
+    return narrowed(cohort, cohort.calls.where(cond))
 
 
 def _requests(cohort: Cohort, keys: list[tuple[str, int, str | None, str | None]]) -> DataFrame:
@@ -92,7 +105,7 @@ def batch(cohort: Cohort, chrom: str, keys: Iterable[Key], sf: SampleFilter = Sa
 def batch_multi(cohort: Cohort, keys: Iterable[tuple[str, int, str | None, str | None]], sf: SampleFilter = SampleFilter()) -> DataFrame:
     """Variants of several chromosomes with ``idx``, the place of the first request for it; spellings of a chromosome are one."""
     keys = list(keys)
-    return batch_frame(cohort, _requests(cohort, keys), sf, _near(cohort, keys))
+    return batch_frame(cohort, _requests(cohort, keys), sf, _files_of(cohort, keys))
 
 
 def variant_info(cohort: Cohort, chrom: str, pos: int, sf: SampleFilter = SampleFilter(), ref: str | None = None, alt: str | None = None) -> DataFrame:

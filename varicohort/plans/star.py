@@ -97,7 +97,7 @@ def measures_sql(
         gates.append(f"n_qp < {min_quality_evidence}")
     n = name
     return f"""
-{n}_c AS (SELECT *, filter_pass AND gt_ac = 1 AS het, filter_pass AND gt_ac = 2 AS hom, NOT filter_pass AS fail, ({qp}) AS qp FROM ({calls})),
+{n}_c AS (SELECT chrom, pos, ref, alt, sample_id, bool_or(coalesce(filter_pass, false) AND coalesce(gt_ac, 0) = 1) AS het, bool_or(coalesce(filter_pass, false) AND coalesce(gt_ac, 0) = 2) AS hom, bool_or(NOT coalesce(filter_pass, false)) AS fail, bool_or(coalesce({qp}, false)) AS qp FROM ({calls}) GROUP BY ALL),
 {n}_s0 AS ({samples}), {n}_p0 AS ({phen}),
 {n}_s AS (SELECT s.sample_id, s.sex, s.tech_id, t.always FROM {n}_s0 s JOIN tech t ON t.tech_id = s.tech_id WHERE s.sex IN ('male', 'female') AND ({where.replace("phen", f"{n}_p0")})),
 {n}_v AS (SELECT DISTINCT chrom, pos, ref, alt FROM {n}_c WHERE (het OR hom OR fail) AND ({variants})),
@@ -119,5 +119,5 @@ def measures_sql(
 """
 
 
-def sql(body: str, select: str) -> str:
-    return f"WITH {COHORT_SQL}, {body}\n{select}"
+def sql(body: str, select: str, cohort: str = COHORT_SQL) -> str:
+    return f"WITH {cohort}, {body}\n{select}"

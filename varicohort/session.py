@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import os
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+_SCOPES: list[list[str]] = []
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "varicohort", **conf: str) -> SparkSession:
     """A session for tests and the command line; on a cluster use the session that is there."""
@@ -48,7 +56,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, stem: str) -> str:
     """A path in the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, stem: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -62,6 +73,55 @@ def written(df: DataFrame, stem: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes, at its end, everything that ``fresh_path`` named within it: for results that have been taken by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        conf = spark._jsc.hadoopConfiguration()
+        for p in _SCOPES.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def local_table(df: DataFrame) -> DataFrame:
+    """``df`` as a local relation; only for tables whose size was checked."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def write_lines(lines: DataFrame, header: list[str], output, sort: list | None = None) -> None:
+    """One text file of ``header`` and the column ``line`` in the order of ``sort``, to a path, a URI or an open text file.
+
+    Parts are sorted and written by the executors to the shared folder; the driver only joins their bytes, in order.
+    A path that ends in .gz or .bgz is compressed.
+    """
+    spark = lines.sparkSession
+    with scratch(spark):
+        folder = fresh_path(spark, "lines")
+        (lines.orderBy(*sort) if sort else lines).select("line").write.text(folder)
+        where, base = pafs.FileSystem.from_uri(folder)
+        parts = sorted(f.path for f in where.get_file_info(pafs.FileSelector(base)) if f.base_name.startswith("part-"))
+        if hasattr(output, "write"):
+            output.write("".join(h + "\n" for h in header))
+            for p in parts:
+                with where.open_input_stream(p) as f, io.TextIOWrapper(f, encoding="utf-8", newline="") as text:
+                    shutil.copyfileobj(text, output)
+            return
+        to, path = pafs.FileSystem.from_uri(output if "://" in output else "file://" + os.path.abspath(output))
+        raw = to.open_output_stream(path, compression=None)
+        out = gzip.GzipFile(fileobj=raw, mode="wb") if path.endswith((".gz", ".bgz")) else raw
+        out.write("".join(h + "\n" for h in header).encode())
+        for p in parts:
+            with where.open_input_stream(p) as f:
+                while block := f.read(1 << 22):
+                    out.write(block)
+        out.close()
+        if out is not raw:
+            raw.close()
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks that run at once; a floor for the number of pieces, never a cap."""
     return max(2, spark.sparkContext.defaultParallelism)

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+# The columns of a manifest.
 REQUIRED = ("sample_name", "sex", "tech_name", "vcf_path", "phenotype_codes")
 
 
@@ -23,46 +24,82 @@ class ManifestSample:
     phenotype_codes: tuple[str, ...]
 
 
-def read_manifest(path: str, bed_dir: str | None = None) -> tuple[list[ManifestSample], dict[str, str | None]]:
+def tab_table(spark: SparkSession, path: str, needed: tuple[str, ...]) -> DataFrame:
+    """The rows of a tab-separated text file with header: ``no``, which rises with the lines, and ``needed`` as trimmed text.
+
+    Lines of nothing but white space are none. A missing cell is null; other columns are left out. A file without
+    header line gives no rows; a header without a needed column raises ValueError.
+    """
+    lines = spark.read.text(path).withColumn("no", F.monotonically_increasing_id()).withColumn("value", F.regexp_replace("value", "^\ufeff", "")).where(F.col("value").rlike(r"\S"))
+    top = lines.orderBy("no").first()
+    if top is None:
+        return spark.createDataFrame([], "no bigint, " + ", ".join(f"{c} string" for c in needed))
+    header = [c.strip() for c in top["value"].split("\t")]
+    if absent := sorted(set(needed) - set(header)):
+        raise ValueError(f"{path}: no column {', '.join(absent)}")
+    cells = F.split("value", "\t")
+    return lines.where(F.col("no") > top["no"]).select("no", *(F.regexp_replace(F.get(cells, F.lit(header.index(c))), r"^\s+|\s+$", "").alias(c) for c in needed))
+
+
+def problems(rows: DataFrame, rules: dict[str, Column], keys: list[str]) -> DataFrame:
+    """``keys`` and problem: a row for every rule that a row of ``rows`` breaks (a rule that is null holds)."""
+    broken = F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond in rules.items())))
+    return rows.select(*keys, F.explode(broken).alias("problem"))
+
+
+def listed_codes(text: Column) -> Column:
+    """The codes of a comma-separated cell, trimmed, each once, in order."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
+    return F.array_distinct(F.filter(parts, lambda c: c != ""))
+
+
+def manifest_problems(rows: DataFrame, key: str) -> DataFrame:
+    """(key, problem) of manifest rows: what must be there, what it may be, and names that another row has as well."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    again = rows.groupBy("sample_name").agg(F.count("*").alias("__times")).where("__times > 1 AND sample_name != ''")
+    marked = rows.join(again, "sample_name", "left")
+    return problems(
+        marked,
+        {
+            "no sample name": blank("sample_name"),
+            "name of several rows": F.col("__times").isNotNull(),
+            "sex is neither male nor female": ~F.coalesce(F.col("sex").isin("male", "female"), F.lit(False)),
+            "no technology": blank("tech_name"),
+            "no file": blank("vcf_path"),
+            "no phenotype code": F.size(listed_codes(F.col("phenotype_codes"))) == 0,
+        },
+        [key],
+    )
+
+
+def read_manifest(spark: SparkSession, path: str, bed_dir: str | None = None) -> tuple[list[ManifestSample], dict[str, str | None]]:
     """Samples in order, and technologies by first appearance with their BED file (None: whole genome).
 
-    One line per sample, so a driver-side list. Relative VCF paths start from the manifest's folder. The first thing
-    that is wrong raises ManifestError: a missing column, sex other than male and female, no phenotype code, a file that
-    does not exist, a repeated name, a kit without BED file.
+    The file is read as a table and checked by rules; everything that is wrong is said in one ManifestError. Relative
+    VCF paths start from the manifest's folder. What comes back is a list, one entry per sample, as its files are opened.
     """
-    with open(path, encoding="utf-8-sig") as f:
-        lines = f.read().splitlines()
-    if not lines:
-        raise ManifestError("Manifest is empty")
-    header = lines[0].split("\t")
-    if absent := set(REQUIRED) - set(header):
-        raise ManifestError(f"Missing required columns: {', '.join(sorted(absent))}")
+    try:
+        rows = tab_table(spark, path, REQUIRED)
+    except ValueError as e:
+        raise ManifestError(str(e)) from None
+    wrong = [(r["no"], r["problem"]) for r in manifest_problems(rows, "no").collect()]
     here = os.path.dirname(os.path.abspath(path))
-    samples: dict[str, ManifestSample] = {}
-    techs: dict[str, str | None] = {}
-    for no, line in enumerate(lines[1:], 2):
-        if not line.strip():
-            continue
-        cells = {k: v.strip() for k, v in zip(header, line.split("\t"))}
-        if short := [c for c in REQUIRED if c not in cells]:
-            raise ManifestError(f"Line {no}: no cell for {', '.join(short)}")
-        name, sex, tech = cells["sample_name"], cells["sex"], cells["tech_name"]
-        codes = tuple(c.strip() for c in cells["phenotype_codes"].split(",") if c.strip())
-        vcf = cells["vcf_path"] if os.path.isabs(cells["vcf_path"]) else os.path.join(here, cells["vcf_path"])
-        bed = None if tech.upper() == "WGS" else os.path.join(bed_dir, f"{tech}.bed") if bed_dir else ""
-        for wrong, why in (
-            (sex not in ("male", "female"), f"invalid sex {sex!r}, must be male or female"),
-            (not codes, f"phenotype_codes is empty for sample {name!r}"),
-            (not os.path.exists(vcf), f"vcf_path does not exist: {vcf}"),
-            (name in samples, f"duplicate sample_name {name!r}"),
-            (bed == "", f"bed_dir required for technology {tech!r}"),
-            (bed and not os.path.exists(bed), f"BED file not found for technology {tech!r}: {bed}"),
-        ):
-            if wrong:
-                raise ManifestError(f"Line {no}: {why}")
-        samples[name] = ManifestSample(name, sex, tech, vcf, codes)
+    samples, techs = [], {}
+    for r in rows.withColumn("codes", listed_codes(F.col("phenotype_codes"))).orderBy("no").collect():
+        vcf, tech = os.path.join(here, r["vcf_path"] or ""), r["tech_name"] or ""
+        whole_genome = tech.upper() == "WGS"
+        bed = None if whole_genome else os.path.join(bed_dir or "", f"{tech}.bed")
+        if r["vcf_path"] and not os.path.exists(vcf):
+            wrong.append((r["no"], f"no such file {vcf}"))
+        if tech and bed and tech not in techs and not (bed_dir and os.path.exists(bed)):
+            wrong.append((r["no"], f"no capture regions of {tech!r}: " + (f"no such file {bed}" if bed_dir else "bed_dir was not given")))
         techs.setdefault(tech, bed)
-    return list(samples.values()), techs
+        samples.append(ManifestSample(r["sample_name"], r["sex"], tech, vcf, tuple(r["codes"])))
+    if not samples and not wrong:
+        raise ManifestError(f"{path}: there are no samples")
+    if wrong:
+        raise ManifestError(f"{path}: {len(wrong)} problems: " + "; ".join(why for _, why in sorted(wrong)[:50]))
+    return samples, techs
 
 
 def read_bed(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
@@ -82,15 +119,10 @@ def read_requests(path: str) -> list[tuple[str, int, str | None, str | None]]:
     return [(r[0], int(r[1]), r[2] if len(r) > 2 else None, r[3] if len(r) > 3 else None) for r in rows]
 
 
-def read_updates(path: str) -> list[dict[str, str]]:
-    """Metadata updates: a TSV with header sample_name, field, new_value."""
-    with open(path) as f:
-        lines = [x.rstrip("\n") for x in f]
-    lines = [x for x in lines if x]
-    header = [c.strip() for c in lines[0].split("\t")] if lines else []
-    if lines and (absent := {"sample_name", "field", "new_value"} - set(header)):
-        raise ValueError(f"{path}: missing required columns {', '.join(sorted(absent))}")
-    return [{k: v.strip() for k, v in zip(header, x.split("\t"))} for x in lines[1:]]
+def read_updates(spark: SparkSession, path: str) -> list[dict[str, str]]:
+    """Metadata updates: a tab-separated file with the columns sample_name, field, new_value; an update per line, in order."""
+    rows = tab_table(spark, path, ("sample_name", "field", "new_value")).orderBy("no").drop("no").collect()
+    return [{k: v or "" for k, v in r.asDict().items()} for r in rows]
 
 
 def parse_locus(text: str) -> tuple[str, int]:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import gzip
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from varicohort.functions.chrom import normalize_chrom
 from varicohort.plans.annotate import INFO_FIELDS, info_text
-from varicohort.session import can_broadcast, rows_table
+from varicohort.session import can_broadcast, rows_table, write_lines
 
 _BASES = r"^[ACGTNacgtn]+$"
 
@@ -67,10 +65,6 @@ def read_calls(spark: SparkSession, paths: dict[str, int]) -> DataFrame:
     return explode_calls(read_lines(spark, paths))
 
 
-def _open(path: str, mode: str):
-    return gzip.open(path, mode + "t") if path.endswith((".gz", ".bgz")) else open(path, mode)
-
-
 def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """Records of a VCF in order: line_no, value, chrom, pos, ref, alts (null without ALT)."""
     t = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).where(~F.col("value").startswith("#") & (F.col("value") != ""))
@@ -78,32 +72,27 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     return t.select("line_no", "value", f[0].alias("chrom"), f[1].cast("int").alias("pos"), f[3].alias("ref"), F.when(f[4] != ".", F.split(f[4], ",")).alias("alts"))
 
 
-def header_of(path: str) -> list[str]:
-    """Header lines, read until the first record."""
-    out = []
-    with _open(path, "r") as f:
-        for line in f:
-            if not line.startswith("#"):
-                break
-            out.append(line.rstrip("\n"))
-    return out
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """Header lines of a VCF, in order; there are few, so they come to the driver."""
+    return [r[0] for r in spark.read.text(path).where(F.col("value").startswith("#")).select("value").collect()]
+
+
+def annotated_lines(sites: DataFrame, annotated: DataFrame, prefix: str = "COHORT_") -> DataFrame:
+    """line_no and line: the records with the INFO fields added."""
+    cells = F.split("value", "\t")
+    cells = F.when(F.size(cells) >= 8, cells).otherwise(F.concat(cells, F.array_repeat(F.lit("."), F.lit(8) - F.size(cells))))
+    old = F.element_at(cells, 8)
+    info = F.when(old.isin("", "."), F.col("info")).otherwise(F.concat_ws(";", old, "info"))
+    line = F.array_join(F.concat(F.slice(cells, 1, 7), F.array(info), F.slice(cells, 9, 1 << 30)), "\t")
+    return sites.select("line_no", "value").join(info_text(annotated, prefix), "line_no", "left").select("line_no", line.alias("line"))
 
 
 def write_annotated(sites: DataFrame, annotated: DataFrame, source: str, output: str, prefix: str = "COHORT_") -> None:
-    """The records of ``source`` with the INFO fields added, in input order, as one VCF file.
+    """The records of ``source`` with the INFO fields added, in input order, as one VCF file at a path or URI.
 
-    The sort is distributed and the driver writes partition by partition.
+    Sorted and formatted by the executors, see ``session.write_lines``.
     """
-    info = info_text(annotated, prefix)
-    rows = sites.select("line_no", "value").join(info, "line_no", "left").orderBy("line_no")
-    head = header_of(source)
+    head = header_of(sites.sparkSession, source)
     new = [f'##INFO=<ID={prefix}{k},Number={n},Type={t},Description="{d}">' for k, (n, t, d) in INFO_FIELDS.items()]
     at = next((i for i, x in enumerate(head) if x.startswith("#CHROM")), len(head))
-    with _open(output, "w") as out:
-        for x in [*head[:at], *new, *head[at:]]:
-            out.write(x + "\n")
-        for r in rows.toLocalIterator():
-            cells = r["value"].split("\t")
-            cells += ["."] * (8 - len(cells))
-            cells[7] = r["info"] if cells[7] in ("", ".") else f"{cells[7]};{r['info']}"
-            out.write("\t".join(cells) + "\n")
+    write_lines(annotated_lines(sites, annotated, prefix), [*head[:at], *new, *head[at:]], output, ["line_no"])

@@ -12,7 +12,7 @@ from varicohort.operators.multivalue import split_packed
 from varicohort.operators.orphans import month_of, orphans
 from varicohort.operators.repair import check_manifest_lines
 from varicohort.operators.skew import Measure, keys_above, salted_aggregate
-from varicohort.session import table
+from varicohort.session import table, written
 
 CONTENT = ["chrom", "pos", "ref", "alt", "gt_ac", "sample_id", "filter_pass", "dp", "gq", "qual"]
 
@@ -71,10 +71,12 @@ def sex_entries(changelog: DataFrame) -> DataFrame:
     e = changelog.where(F.col("notes").contains("sex") | F.col("notes").contains("\\u"))
     e = e.select("event_id", instant_us(F.col("event_time")).alias("at"), F.trim(_unwrapped(F.trim("notes"))).alias("n"))
     # a parser may accept what follows a complete value, so both ends are looked at
-    many = F.when(F.col("n").startswith("[") & F.col("n").endswith("]"), F.try_variant_get(F.try_parse_json("n"), "$", "array<string>"))
-    one = F.when(F.col("n").startswith("{") & F.col("n").endswith("}"), F.array("n"))
-    e = e.select("event_id", "at", F.posexplode(F.coalesce(many, one)).alias("entry_no", "e"))
-    e = e.withColumn("v", F.try_parse_json(_unwrapped(F.col("e"))))
+    framed = lambda a, b: F.col("n").startswith(a) & F.col("n").endswith(b)
+    e = e.where(framed("[", "]") | framed("{", "}")).withColumn("v", F.try_parse_json("n"))
+    entries = F.when(F.col("n").startswith("["), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
+    e = e.select("event_id", "at", F.posexplode(entries).alias("entry_no", "v"))
+    # only entries that are strings again are parsed again
+    e = e.withColumn("v", F.when(F.schema_of_variant("v") == "STRING", F.try_parse_json(_unwrapped(F.try_variant_get("v", "$", "string")))).otherwise(F.col("v")))
     field = lambda k: F.try_variant_get("v", f"$.{k}", "string")
     tidy = lambda k: F.lower(F.regexp_replace(field(k), r"^\s+|\s+$", ""))
     # through a generator, so that the condition is not evaluated on the JSON again
@@ -89,7 +91,7 @@ def sex_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = log.where(F.col("event_type").isin("preprocess", "add_samples")).select(instant_us(F.col("event_time")).alias("at"), F.explode(F.from_json("sample_names", "array<string>")).alias("sample_name"))
     begun = named.groupBy("sample_name").agg(F.min("at").alias("at"))
     snapshots = snapshots_from_updates(sex_entries(log), "sample_name", "at", ["event_id", "entry_no"], "old", "new", begun)
-    return validity(snapshot_changes(snapshots, "sample_name"), "sample_name")
+    return validity(snapshot_changes(written(snapshots, "snapshots"), "sample_name"), "sample_name")  # read as before and after
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,19 @@
 """Files to cohort and back: build, queries, changes, annotation, command line."""
 
+import gzip
 import json
+import os
+import pathlib
 import warnings
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from varicohort import cli
 from varicohort.database import Database, UpdateError, next_version
 from varicohort.operators.filters import CohortWarning
+from varicohort.plans import export
 from varicohort.plans.cohort import Quality
 from varicohort.sources.synth import synthetic
 from varicohort.sources.texts import ManifestError, parse_locus, parse_region, read_manifest, read_requests, read_updates
@@ -123,6 +129,11 @@ def test_dump_and_annotate(db, files, tmp_path):
     body = [x.split("\t") for x in (tmp_path / "o.vcf").read_text().splitlines() if x[0] != "#"]
     assert body[0][7] == "DP=5;COHORT_AC=2,1;COHORT_AN=6;COHORT_AF=0.3333333333,0.1666666667;COHORT_N_HET=2,1;COHORT_N_HOM_ALT=0,0;COHORT_N_HOM_REF=0,2;COHORT_N_FAIL=1;COHORT_N_NO_COVERAGE=0,0"
     assert body[1][7].startswith("COHORT_AC=0;COHORT_AN=6;COHORT_AF=0;") and body[2][7] == "COHORT_AN=0"
+    export.write_csv_parts(db.dump_frame(by_sex=True), str(tmp_path / "parts"))
+    back = db.spark.read.csv(str(tmp_path / "parts"), header=True)
+    assert sorted(back.columns) == sorted(lines[0].split(",")) and back.count() == 4
+    db.dump(f"file://{tmp_path}/o2.csv.gz", by_sex=True)
+    assert gzip.open(tmp_path / "o2.csv.gz", "rt").read() == (tmp_path / "o.csv").read_text()
     assert sum(x.startswith("##INFO=<ID=COHORT_") for x in (tmp_path / "o.vcf").read_text().splitlines()) == 8
 
 
@@ -158,6 +169,17 @@ def test_check_of_damaged_folders(spark, db, tmp_path):
     where = db.root.removeprefix("file://")
     assert check_database(spark, str(tmp_path / "none")) == [("error", "manifest.json is missing")]
     assert {s for s, _ in check_database(spark, where)} == {"info"}
+    calls = sorted(str(p) for p in pathlib.Path(f"{where}/calls").rglob("*.parquet"))
+    t = pq.read_table(max(calls, key=os.path.getsize), partitioning=None)
+    bad = f"{os.path.dirname(calls[0])}/part-9.parquet"
+    pq.write_table(t.sort_by([("pos", "descending")]) if t["pos"].combine_chunks()[0] != t["pos"].combine_chunks()[-1] else pa.concat_tables([t, t.set_column(t.schema.get_field_index("pos"), "pos", pa.array([1] * t.num_rows, pa.int32()))]), bad)
+    assert [m.endswith("is not in order of position") for _, m in check_database(spark, where)] == [True]
+    pq.write_table(t.drop_columns(["alt"]), bad)
+    assert "lacks columns alt" in check_database(spark, where)[0][1]
+    with open(bad, "wb") as f:
+        f.write(b"PAR1 no parquet")
+    assert "cannot be read" in check_database(spark, where)[0][1]
+    os.remove(bad)
     shutil.rmtree(f"{where}/dims/{db.manifest['dims']}/capture")
     assert check_database(spark, where) == [("error", f"dims/{db.manifest['dims']}/capture is missing")]
     with open(f"{where}/manifest.json", "w") as f:
@@ -168,6 +190,21 @@ def test_check_of_damaged_folders(spark, db, tmp_path):
     assert "cannot be parsed" in check_database(spark, where)[0][1]
 
 
+def test_a_broken_build_goes_on(spark, files, tmp_path, monkeypatch):
+    from varicohort import database
+
+    build = lambda **a: Database.create_from_manifest(spark, str(tmp_path / "b"), str(files / "m.tsv"), "GRCh37", str(files), **a)
+    store, write, wrote = database._store_dims, database._write_calls, []
+    monkeypatch.setattr(database, "_store_dims", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        build()
+    monkeypatch.setattr(database, "_store_dims", store)
+    monkeypatch.setattr(database, "_write_calls", lambda *a: (wrote.append(1), write(*a)))
+    assert one(build().query("chr1", 1600))["AN"] == 6 and not wrote  # the calls were there
+    build(force=True, quality=Quality(min_dp=5))
+    assert wrote == [1]
+
+
 def test_quality_build(spark, files, tmp_path):
     db = Database.create_from_manifest(spark, str(tmp_path / "q"), str(files / "m.tsv"), "GRCh37", str(files), quality=Quality(min_dp=20, min_covered=1))
     assert db.manifest["schema_version"] == "3.0"
@@ -205,6 +242,16 @@ def test_synthetic_and_benchmark(spark):
     assert {"point_cold", "point_warm", "batch_100", "batch_1000", "region_1mbp", "export", "build_s"} <= set(report)
 
 
+def test_shortest_decimals(spark):
+    from pyspark.sql import functions as F
+
+    from varicohort.session import rows_table
+
+    xs = [0.0, 1.0, 0.5, 1 / 3, 0.001, 0.000999, 0.0001, 0.00012345, 9.9e-5, 5e-05, 1 / 30000, 2.5e-10]
+    got = rows_table(spark, [(x,) for x in xs], "x double").select("x", export.plain_float(F.col("x")).alias("t")).collect()
+    assert {r.x: r.t for r in got} == {x: repr(x) for x in xs}
+
+
 def test_streaming_append(spark, tmp_path):
     from varicohort.streaming.append import append_calls
 

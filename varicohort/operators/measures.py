@@ -36,7 +36,8 @@ def flagged_samples(cohort: Cohort, filters: list[SampleFilter]) -> DataFrame:
     """sample_id, sex, tech_id, inside (member of the first filter), groups (numbers of all filters it belongs to)."""
     key = ("flagged", *filters)
     if key not in cohort.memo:
-        cohort.memo[key] = _flagged_samples(cohort, filters)
+        flagged = _flagged_samples(cohort, filters)
+        cohort.memo[key] = local_table(flagged) if cohort.memo.get("local") else flagged
     return cohort.memo[key]
 
 
@@ -45,7 +46,7 @@ def _attributes(cohort: Cohort) -> DataFrame:
     if "attributes" not in cohort.memo:
         s = sample_attributes(cohort.samples, cohort.sample_phenotype, cohort.technologies).select("sample_id", "sex", "tech_id", "tech_name", "codes")
         small = cohort.partitioned and all(can_broadcast(t, LOCAL_BYTES) for t in (cohort.samples, cohort.sample_phenotype))
-        cohort.memo["attributes"] = local_table(s) if small else s
+        cohort.memo["attributes"], cohort.memo["local"] = local_table(s) if small else s, small
     return cohort.memo["attributes"]
 
 

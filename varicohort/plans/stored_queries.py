@@ -43,7 +43,7 @@ def life(spark: SparkSession, sf_dir: str) -> dict:
         return _LIVES[key]
     c, seen = star_cohort(spark, sf_dir), {}
     path = fresh_path(spark, "cohort")
-    middle = c.samples.agg((F.max("sample_id") / 2).cast("int")).first()[0]
+    middle = c.samples.agg(F.expr("int(max(sample_id) div 2)")).first()[0]
     old, new = (lambda df: df.where(F.col("sample_id") <= middle)), (lambda df: df.where(F.col("sample_id") > middle))
     records = star_ingested(spark, sf_dir)
     db = Database.create(spark, path, old(records), old(c.samples), old(c.sample_phenotype), c.technologies, c.capture, quality=QUALITY)
@@ -72,7 +72,7 @@ def _numbered(df: DataFrame) -> DataFrame:
 
 
 # --- the same cohort at each step, in SQL
-_MIDDLE = "(SELECT CAST(max(c_custkey) / 2 AS INT) FROM customer)"
+_MIDDLE = "(SELECT CAST(max(c_custkey) // 2 AS INT) FROM customer)"
 _RICH, _CODED, _GONE = (f"(SELECT CAST(c_custkey AS INT) FROM customer WHERE {x})" for x in ("c_acctbal > 9900", "c_acctbal BETWEEN 9800 AND 9950", "c_acctbal < -500"))
 _HALF = dict(calls=f"SELECT * FROM calls WHERE sample_id <= {_MIDDLE}", samples=f"SELECT * FROM samples WHERE sample_id <= {_MIDDLE}")
 _NEW_SEX = f"SELECT sample_id, sample_name, CASE WHEN sample_id IN {_RICH} THEN 'female' ELSE sex END AS sex, tech_id FROM samples"

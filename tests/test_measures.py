@@ -12,6 +12,7 @@ from varicohort.plans import queries as Q
 from varicohort.plans.export import build_groups, dump
 from varicohort.session import rows_table
 
+# Pseudo-autosomal regions, and the cohort for which the golden values below hold.
 PAR37 = [(60001, 2699520), (154931044, 155260560)]
 SEX = ["male", "male", "female", "female", "male", "female", "female", "male", "male", "female"]
 TECH = [0, 0, 0, 0, 1, 1, 1, 2, 2, 2]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
+# The columns of the outputs, and below the lines for empty ones.
 RESULT = ["chrom", "pos", "ref", "alt", "AC", "AN", "AF", "n_eligible", "N_HET", "N_HOM_ALT", "N_HOM_REF", "N_FAIL", "N_NO_COVERAGE"]
 CARRIER = ["sample_id", "sample_name", "sex", "tech", "phenotypes", "genotype", "filter"]
 

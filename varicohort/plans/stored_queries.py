@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from varicohort.database import Database, check_database
@@ -36,10 +37,15 @@ def _add(name: str, run: Callable[[SparkSession, str], DataFrame], text: str) ->
     QUERIES[name], SQL[name] = run, text
 
 
+def _is_there(root: str) -> bool:
+    where, base = pafs.FileSystem.from_uri(root)
+    return where.get_file_info(f"{base}/manifest.json").type == pafs.FileType.File
+
+
 def life(spark: SparkSession, sf_dir: str) -> dict:
     """States and answers of the cohort after each step of its life."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _LIVES:
+    if key in _LIVES and _is_there(_LIVES[key]["db"].root):  # the shared folder may have been emptied
         return _LIVES[key]
     c, seen = star_cohort(spark, sf_dir), {}
     path = fresh_path(spark, "cohort")

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import warnings
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
@@ -45,6 +46,18 @@ DIMS = {
 CALLS = "chrom string, pos int, ref string, alt string, sample_id int, is_het boolean, is_hom boolean, is_fail boolean, is_qp boolean, bucket bigint"
 
 
+def _schema(table: str, wide: list[str]) -> str:
+    """Of the calls or a dimension; positions of the tables in ``wide`` (a manifest's key) are bigint."""
+    text = CALLS if table == "calls" else DIMS[table]
+    return re.sub(r"\b(pos|start0|end0) int\b", r"\1 bigint", text) if {"stretches": "capture"}.get(table, table) in wide else text
+
+
+def _wide(calls: DataFrame | None, capture: DataFrame | None) -> list[str]:
+    """Which of calls and capture have bigint positions."""
+    has = lambda df, *names: df is not None and "bigint" in {t for n, t in df.dtypes if n in names}
+    return [t for t, there in (("calls", has(calls, "pos")), ("capture", has(capture, "start0", "end0"))) if there]
+
+
 class UpdateError(ValueError):
     """A change that is not possible; nothing was written."""
 
@@ -120,9 +133,10 @@ class Database:
     def _load(self) -> None:
         self.manifest = _read_manifest(self.root)
         m = self.manifest
-        dims = {t: self.spark.read.schema(s).parquet(f"{self.root}/dims/{m['dims']}/{t}") for t, s in DIMS.items()}
+        wide = m.get("wide", [])
+        dims = {t: self.spark.read.schema(_schema(t, wide)).parquet(f"{self.root}/dims/{m['dims']}/{t}") for t in DIMS}
         self.changes = dims["changelog"]
-        gens = [self.spark.read.schema(CALLS).parquet(f"{self.root}/calls/{g}") for g in m["calls"]]
+        gens = [self.spark.read.schema(_schema("calls", wide)).parquet(f"{self.root}/calls/{g}") for g in m["calls"]]
         calls = gens[0]
         for g in gens[1:]:
             calls = calls.unionByName(g)
@@ -154,7 +168,7 @@ class Database:
         names = [r[0] for r in samples.select("sample_name").orderBy("sample_id").collect()]
         n, top = samples.agg(F.count("*"), F.max("sample_id")).first()
         log = rows_table(spark, [(1, event, _now(), names, f"{n} samples ingested")], DIMS["changelog"])
-        m = {"genome_build": genome_build, "version": "1.0", "db_version": db_version, "sample_count": n, "next_sample_id": (-1 if top is None else top) + 1, "schema_version": "3.0" if quality.active else "2.0", "pass_only_filter": True, "coverage_filter": quality.__dict__, "created_at": _now(), "calls": ["gen-1"], "dims": None, "generation": 1}
+        m = {"genome_build": genome_build, "version": "1.0", "db_version": db_version, "sample_count": n, "next_sample_id": (-1 if top is None else top) + 1, "schema_version": "3.0" if quality.active else "2.0", "pass_only_filter": True, "coverage_filter": quality.__dict__, "created_at": _now(), "calls": ["gen-1"], "dims": None, "generation": 1, "wide": _wide(ingested, capture)}
         regions = merge_intervals(capture) if capture is not None else spark.createDataFrame([], DIMS["capture"])
         _store_dims(spark, root, m, {"samples": samples, "sample_phenotype": sample_phenotype.distinct(), "technologies": technologies, "capture": regions, "changelog": log})
         return cls(spark, path)
@@ -321,14 +335,15 @@ class Database:
         gen = f"gen-{m['generation'] + 1}"
         path = f"{self.root}/calls/{gen}"
         _write_calls(classify(ingested, c.quality), path)
-        counts = merge_counts(c.calls, self.spark.read.schema(CALLS).parquet(path)).agg(F.sum("n_new"), F.sum("n_updated")).first()
+        m["wide"] = sorted({*m.get("wide", []), *_wide(ingested, capture)})
+        counts = merge_counts(c.calls, self.spark.read.schema(_schema("calls", m["wide"])).parquet(path)).agg(F.sum("n_new"), F.sum("n_updated")).first()
         m |= {"calls": [*m["calls"], gen], "next_sample_id": top + 1, "sample_count": c.samples.count() + n, "updated_at": _now(), "db_version": db_version or next_version(m["db_version"])}
         names = [r[0] for r in samples.select("sample_name").orderBy("sample_id").collect()]
         changes = {"samples": _fit(c.samples, "samples").unionByName(_fit(samples, "samples")), "sample_phenotype": _fit(c.sample_phenotype, "sample_phenotype").unionByName(_fit(sample_phenotype.distinct(), "sample_phenotype"))}
         if technologies is not None:
             changes["technologies"] = _fit(c.technologies, "technologies").unionByName(_fit(technologies, "technologies"))
         if capture is not None:
-            changes["capture"] = merge_intervals(c.capture.unionByName(_fit(capture, "capture")))
+            changes["capture"] = merge_intervals(c.capture.unionByName(_fit(capture, "capture", m["wide"])))
         self._commit(changes, [("add_samples", _now(), names, f"{n} samples ingested")], m)
         return {"n_samples": n, "n_new": counts[0] or 0, "n_updated": counts[1] or 0}
 
@@ -474,9 +489,9 @@ def check_files(spark: SparkSession, root: str, parts: list[str]) -> DataFrame:
     return files.mapInArrow(look, "severity string, message string")
 
 
-def _fit(df: DataFrame, dim: str) -> DataFrame:
+def _fit(df: DataFrame, dim: str, wide: list[str] = []) -> DataFrame:
     """The columns of a dimension in order and type; those that are missing are null."""
-    schema = df.sparkSession.createDataFrame([], DIMS[dim]).schema
+    schema = df.sparkSession.createDataFrame([], _schema(dim, wide)).schema
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
 
 
@@ -490,7 +505,7 @@ def _store_dims(spark: SparkSession, root: str, manifest: dict, dims: dict[str,
     gen = f"gen-{manifest['generation']}"
     dims = dims | {"stretches": segments(dims["capture"])}
     with ThreadPoolExecutor(4) as pool:  # small independent jobs
-        list(pool.map(lambda kv: _one_file(_fit(kv[1], kv[0])).write.parquet(f"{root}/dims/{gen}/{kv[0]}"), dims.items()))
+        list(pool.map(lambda kv: _one_file(_fit(kv[1], kv[0], manifest.get("wide", []))).write.parquet(f"{root}/dims/{gen}/{kv[0]}"), dims.items()))
     manifest["dims"] = gen
     _write_manifest(root, manifest)
 

@@ -26,7 +26,7 @@ def covering(positions: DataFrame, merged: DataFrame) -> DataFrame:
     are broadcast only if their size is known to be small.
     """
     bins = merged.withColumn("bin", F.explode(F.sequence(((F.col("start0") + 1) / BIN_BP).cast("bigint"), (F.col("end0") / BIN_BP).cast("bigint"))))
-    if can_broadcast(merged):
+    if can_broadcast(merged, 8 << 20):
         bins = F.broadcast(bins)
     p = positions.select("chrom", "pos").withColumn("bin", (F.col("pos") / BIN_BP).cast("bigint"))
     return p.join(bins, ["chrom", "bin"]).where("start0 < pos AND pos <= end0").select("chrom", "pos", "tech_id")

@@ -38,7 +38,7 @@ def annotate(cohort: Cohort, records: DataFrame, sf: SampleFilter = SampleFilter
     Equal variants on several lines are all answered.
     """
     check_gates(cohort, sf)
-    r = records.select("line_no", normalize_chrom(F.col("chrom")).alias("chrom"), F.col("pos").cast("int").alias("pos"), "ref", F.posexplode_outer("alts").alias("alt_no", "alt"))
+    r = records.select("line_no", normalize_chrom(F.col("chrom")).alias("chrom"), "pos", "ref", F.posexplode_outer("alts").alias("alt_no", "alt"))
     wanted = r.where("alt IS NOT NULL").select(*VARIANT)
     small = F.broadcast(wanted) if can_broadcast(records) else wanted
     m = measures(cohort, sf, cohort.calls.join(small, VARIANT, "left_semi")).drop("AN", "n_eligible").withColumn("stored", F.lit(True))

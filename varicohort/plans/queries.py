@@ -62,7 +62,7 @@ def region_multi(cohort: Cohort, regions: Iterable[tuple[str, int, int]], sf: Sa
             one = (F.col("chrom") == c) & F.col("pos").between(a, b)
             cond = cond | (one & F.col("bucket").between(a // BUCKET_BP, b // BUCKET_BP) if cohort.partitioned else one)
         return measures(cohort, sf, narrowed(cohort, calls.where(cond)), " OR ".join(f"({_near(*x)})" for x in rs) or "false")
-    r = rows_table(cohort.spark, rs, "r_chrom string, r_start int, r_end int").withColumn("r_bin", F.explode(F.sequence((F.col("r_start") / BUCKET_BP).cast("bigint"), (F.col("r_end") / BUCKET_BP).cast("bigint"))))
+    r = rows_table(cohort.spark, rs, "r_chrom string, r_start bigint, r_end bigint").withColumn("r_bin", F.explode(F.sequence((F.col("r_start") / BUCKET_BP).cast("bigint"), (F.col("r_end") / BUCKET_BP).cast("bigint"))))
     inside = (F.col("chrom") == F.col("r_chrom")) & ((F.col("pos") / BUCKET_BP).cast("bigint") == F.col("r_bin")) & F.col("pos").between(F.col("r_start"), F.col("r_end"))
     return measures(cohort, sf, calls.join(F.broadcast(r) if can_broadcast(r) else r, inside, "left_semi"))
 
@@ -81,7 +81,7 @@ def _files_of(cohort: Cohort, keys: list[tuple[str, int, str | None, str | None]
 
 def _requests(cohort: Cohort, keys: list[tuple[str, int, str | None, str | None]]) -> DataFrame:
     rows = [(i, normalize_chrom_text(c), int(p), r or None, a or None) for i, (c, p, r, a) in enumerate(keys)]
-    return rows_table(cohort.spark, rows, "idx bigint, q_chrom string, q_pos int, q_ref string, q_alt string")
+    return rows_table(cohort.spark, rows, "idx bigint, q_chrom string, q_pos bigint, q_ref string, q_alt string")
 
 
 def batch_frame(cohort: Cohort, requests: DataFrame, sf: SampleFilter = SampleFilter(), calls: DataFrame | None = None) -> DataFrame:

@@ -16,6 +16,16 @@ TECHS = [(0, "WGS"), (1, "KIT_A"), (2, "KIT_B"), (3, "PANEL_C")]
 BASES = "ACGT"
 CAPTURED = ["chr1", "chr2", "chrX", "chrY"]
 STEP, WIDTH, SPACING = 40_000, 25_000, 3_989
+INT_MAX, ROOM = (1 << 31) - 1, 10_000  # bed_regions moves capture regions by ROOM
+
+
+def _last_part(spark: SparkSession, sf_dir: str) -> int | None:
+    return table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
+
+
+def positions_type(last: int) -> str:
+    """int, as in the SQL, if positions up to ``last`` fit; else bigint, where the SQL's casts overflow."""
+    return "int" if last <= INT_MAX else "bigint"
 
 
 def star_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +33,8 @@ def star_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = ((F.col("p_partkey") - F.col("p_partkey") % 2) / 2).cast("bigint")
     base = lambda k: F.element_at(F.array(*map(F.lit, BASES)), (k % 4 + 1).cast("int"))
     chrom = F.when((g % 8).isin(0, 3), "chrX").when(g % 8 == 1, "chrY").when(g % 8 == 2, "chrM").when(g % 8 == 4, "chr2").otherwise("chr1")
-    v = table(spark, sf_dir, "part").select("p_partkey", chrom.alias("chrom"), (g * SPACING + 1).cast("int").alias("pos"), base(g).alias("ref"), base(g + 1 + F.col("p_partkey") % 2).alias("alt"))
+    kind = positions_type((_last_part(spark, sf_dir) or 0) // 2 * SPACING + 1)
+    v = table(spark, sf_dir, "part").select("p_partkey", chrom.alias("chrom"), (g * SPACING + 1).cast(kind).alias("pos"), base(g).alias("ref"), base(g + 1 + F.col("p_partkey") % 2).alias("alt"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(v, li.l_partkey == v.p_partkey)
@@ -37,16 +48,25 @@ def star_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("chrom", "pos", "ref", "alt", "gt_ac", "sample_id", "filter_pass", "dp", "gq", "qual")
 
 
+def _capture(spark: SparkSession, last: int | None) -> DataFrame:
+    """Capture regions up to the last part, from ranges, as the optimizer knows their size: it would take that of an exploded sequence for one row's."""
+    kind = positions_type((last or 0) * SPACING + WIDTH + ROOM)
+    chroms = F.array(*map(F.lit, CAPTURED))
+    kits = []
+    for t in (1, 2, 3):
+        n = 0 if last is None else last * SPACING // (STEP * t) + 1
+        at = F.floor(F.col("id") / len(CAPTURED)) * STEP * t
+        kits.append(spark.range(n * len(CAPTURED)).select(F.lit(t).alias("tech_id"), F.get(chroms, (F.col("id") % len(CAPTURED)).cast("int")).alias("chrom"), at.cast(kind).alias("start0"), (at + WIDTH).cast(kind).alias("end0")))
+    return kits[0].unionByName(kits[1]).unionByName(kits[2])
+
+
 def star_cohort(spark: SparkSession, sf_dir: str, build: str = "GRCh37", quality: Quality = Quality()) -> Cohort:
     c = table(spark, sf_dir, "customer")
     sid = F.col("c_custkey").cast("int")
     samples = c.select(sid.alias("sample_id"), F.concat(F.lit("S"), F.col("c_custkey")).alias("sample_name"), F.when(F.col("c_custkey") % 2 == 0, "male").otherwise("female").alias("sex"), (F.col("c_nationkey") % 4).cast("int").alias("tech_id"))
     codes = c.select(sid.alias("sample_id"), F.explode(F.array("c_mktsegment", F.concat(F.lit("Q"), F.col("c_custkey") % 5))).alias("phenotype_code"))
     tech = rows_table(spark, [(i, n, i == 0) for i, n in TECHS], "tech_id int, tech_name string, always_covered boolean")
-    reach = table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("m"))
-    step = F.lit(STEP) * F.col("tech_id")
-    capture = reach.withColumn("tech_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).withColumn("chrom", F.explode(F.array(*map(F.lit, CAPTURED))))
-    capture = capture.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("m") * SPACING / step).cast("bigint")))).select("tech_id", "chrom", (F.col("k") * step).cast("int").alias("start0"), (F.col("k") * step + WIDTH).cast("int").alias("end0"))
+    capture = _capture(spark, _last_part(spark, sf_dir))
     return make_cohort(star_ingested(spark, sf_dir), samples, codes, tech, capture, build, quality)
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import DataType
 
 from varicohort.database import Database, check_database
 from varicohort.functions.chrom import chrom_rank, is_known, normalize_chrom
@@ -22,7 +23,7 @@ from varicohort.plans.annotate import annotate
 from varicohort.plans.cohort import VARIANT, make_cohort
 from varicohort.plans.cohort_queries import ALL, KEYS, MULTI, REGIONS, V, _ANNOTATED, _BASE, _canon, _idx, _INFO, _key, _records
 from varicohort.plans.general import _CANON, _EPOCH
-from varicohort.plans.star import QUALITY, measures_sql, sql, star_cohort, star_ingested
+from varicohort.plans.star import QUALITY, ROOM, measures_sql, sql, star_cohort, star_ingested
 from varicohort.session import fresh_path, rows_table, table, write_lines, written
 from varicohort.sources.texts import manifest_problems, read_bed
 from varicohort.sources.vcf import explode_calls, malformed
@@ -157,11 +158,15 @@ _add(
 
 
 # --- sinks, read back
+def _kind(db: Database) -> DataType:
+    return db.cohort.calls.schema["pos"].dataType
+
+
 def _csv(spark: SparkSession, d: str) -> DataFrame:
     now = life(spark, d)
     now["db"].dump(now["csv"], sex="female", include_ac_zero=True)
     back = spark.read.csv(now["csv"], header=True)
-    return _numbered(back.select(*(F.col(c).cast("double" if c == "AF" else "int" if c == "pos" else "string" if c in VARIANT else "bigint").alias(c) for c in back.columns)))
+    return _numbered(back.select(*(F.col(c).cast("double" if c == "AF" else _kind(now["db"]) if c == "pos" else "string" if c in VARIANT else "bigint").alias(c) for c in back.columns)))
 
 
 _add("dump_csv", _csv, sql(measures_sql("s.sex = 'female'", **_Q, **_LEFT_KEPT), f"SELECT {V}, {_BASE}, row_number() OVER (ORDER BY {_RANK}, pos, alt, ref) AS ord FROM result"))
@@ -175,7 +180,7 @@ def _vcf(spark: SparkSession, d: str) -> DataFrame:
     now["db"].annotate_vcf(now["sites"], now["vcf"], sex="female", min_pass=2)
     body = spark.read.text(now["vcf"]).where(~F.col("value").startswith("#"))
     c = F.split("value", "\t")
-    return _numbered(body).select("ord", c[0].alias("chrom"), c[1].cast("int").alias("pos"), c[4].alias("alts"), c[7].alias("info"))
+    return _numbered(body).select("ord", c[0].alias("chrom"), c[1].cast(_kind(now["db"])).alias("pos"), c[4].alias("alts"), c[7].alias("info"))
 
 
 _ann = measures_sql("s.sex = 'female'", min_pass=2, **_Q, **_LEFT_KEPT) + _ANNOTATED
@@ -233,14 +238,14 @@ QUERIES["malformed_lines"] = _malformed
 # --- small text inputs
 def _bed(spark: SparkSession, d: str) -> DataFrame:
     c = star_cohort(spark, d).capture
-    moved = c.unionByName(c.withColumn("start0", F.col("start0") + 10_000).withColumn("end0", F.col("end0") + 10_000)).unionByName(c.where("start0 % 3 = 0"))
+    moved = c.unionByName(c.withColumn("start0", F.col("start0") + ROOM).withColumn("end0", F.col("end0") + ROOM)).unionByName(c.where("start0 % 3 = 0"))
     paths = {}
     for t in (1, 2, 3):
         paths[t] = fresh_path(spark, f"bed{t}")
         lines = moved.where(F.col("tech_id") == t).select(F.concat_ws("\t", "chrom", F.col("start0").cast("string"), F.col("end0").cast("string"), F.lit("exon")).alias("value"))
         head = spark.createDataFrame([("track name=kit",), ("# comment",), ("",), ("browser position chr1",)], "value string")
         lines.unionByName(head).write.text(paths[t])
-    return merge_intervals(read_bed(spark, paths))
+    return merge_intervals(read_bed(spark, paths, c.schema["end0"].dataType.simpleString()))
 
 
 _add("bed_regions", _bed, sql("m AS (SELECT * FROM capture UNION ALL SELECT tech_id, chrom, start0 + 10000, end0 + 10000 FROM capture), w AS (SELECT *, max(end0) OVER (PARTITION BY tech_id, chrom ORDER BY start0, end0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start0 > reach THEN 1 ELSE 0 END) OVER (PARTITION BY tech_id, chrom ORDER BY start0, end0 ROWS UNBOUNDED PRECEDING) AS island FROM w)", "SELECT tech_id, chrom, min(start0) AS start0, max(end0) AS end0 FROM g GROUP BY tech_id, chrom, island"))

@@ -102,13 +102,13 @@ def read_manifest(spark: SparkSession, path: str, bed_dir: str | None = None) ->
     return samples, techs
 
 
-def read_bed(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
-    """Capture intervals tech_id, chrom, start0, end0 of BED files by technology; comments and headers are skipped."""
-    empty = spark.createDataFrame([], "tech_id int, chrom string, start0 int, end0 int")
+def read_bed(spark: SparkSession, paths: dict[int, str], kind: str = "int") -> DataFrame:
+    """Capture intervals tech_id, chrom, start0, end0 of BED files by technology; comments and headers are skipped. kind: type of the positions."""
+    empty = spark.createDataFrame([], f"tech_id int, chrom string, start0 {kind}, end0 {kind}")
     for tech_id, path in paths.items():
         c = F.split(F.col("value"), r"\s+")
         t = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#|track\b|browser\b|$)"))
-        empty = empty.unionByName(t.select(F.lit(tech_id).alias("tech_id"), c[0].alias("chrom"), c[1].cast("int").alias("start0"), c[2].cast("int").alias("end0")))
+        empty = empty.unionByName(t.select(F.lit(tech_id).alias("tech_id"), c[0].alias("chrom"), c[1].cast(kind).alias("start0"), c[2].cast(kind).alias("end0")))
     return empty
 
 

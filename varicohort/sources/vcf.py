@@ -69,7 +69,7 @@ def read_sites(spark: SparkSession, path: str) -> DataFrame:
     """Records of a VCF in order: line_no, value, chrom, pos, ref, alts (null without ALT)."""
     t = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).where(~F.col("value").startswith("#") & (F.col("value") != ""))
     f = F.split("value", "\t")
-    return t.select("line_no", "value", f[0].alias("chrom"), f[1].cast("int").alias("pos"), f[3].alias("ref"), F.when(f[4] != ".", F.split(f[4], ",")).alias("alts"))
+    return t.select("line_no", "value", f[0].alias("chrom"), f[1].cast("bigint").alias("pos"), f[3].alias("ref"), F.when(f[4] != ".", F.split(f[4], ",")).alias("alts"))
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:

@@ -21,6 +21,7 @@ QUERIES, SQL = cohort_queries.QUERIES | stored_queries.QUERIES, cohort_queries.S
 NAMES = [
     "acmg_class",
     "bed_regions",
+    "capture_cover",
 ]
 
 

@@ -67,27 +67,29 @@ class Cohort:
         return replace(self, memo={}, **changes)
 
 
-def classify(ingested: DataFrame, quality: Quality = Quality()) -> DataFrame:
+def classify(ingested: DataFrame, quality: Quality = Quality(), clean: bool = False) -> DataFrame:
     """Ingested records to calls: het is one copy, hom two (both only if the filter passed), fail any record that did not pass.
 
     Copies of three and more are none of these. Chromosomes become canonical and unknown contigs are dropped, as are
     records with a null key or sample. Records of one variant and sample are one call with the union of their classes.
+    ``clean`` says that chromosomes are canonical and that there is one record of each, so that neither has to be seen to.
     """
-    c = ingested.withColumn("chrom", normalize_chrom(F.col("chrom"))).where(is_known(F.col("chrom")))
+    c = ingested if clean else ingested.withColumn("chrom", normalize_chrom(F.col("chrom"))).where(is_known(F.col("chrom")))
     c = c.where("pos IS NOT NULL AND ref IS NOT NULL AND alt IS NOT NULL AND sample_id IS NOT NULL")
     ok = F.coalesce(F.col("filter_pass"), F.lit(False))
     ac = F.coalesce(F.col("gt_ac"), F.lit(0))
-    return c.groupBy(*VARIANT, "sample_id").agg(
-        F.bool_or(ok & (ac == 1)).alias("is_het"), F.bool_or(ok & (ac == 2)).alias("is_hom"), F.bool_or(~ok).alias("is_fail"), F.bool_or(ok & (ac > 0) & quality.passes()).alias("is_qp")
-    )
+    flags = {"is_het": ok & (ac == 1), "is_hom": ok & (ac == 2), "is_fail": ~ok, "is_qp": ok & (ac > 0) & quality.passes()}
+    if clean:
+        return c.select(*VARIANT, "sample_id", *(x.alias(k) for k, x in flags.items()))
+    return c.groupBy(*VARIANT, "sample_id").agg(*(F.bool_or(x).alias(k) for k, x in flags.items()))
 
 
-def make_cohort(ingested: DataFrame, samples: DataFrame, sample_phenotype: DataFrame, technologies: DataFrame, capture: DataFrame, build: str = "GRCh37", quality: Quality = Quality()) -> Cohort:
-    """A cohort from ingested records; technologies need bed_path or always_covered."""
+def make_cohort(ingested: DataFrame, samples: DataFrame, sample_phenotype: DataFrame, technologies: DataFrame, capture: DataFrame, build: str = "GRCh37", quality: Quality = Quality(), clean: bool = False) -> Cohort:
+    """A cohort from ingested records (``clean``: see ``classify``); technologies need bed_path or always_covered."""
     if "always_covered" not in technologies.columns:
         technologies = technologies.withColumn("always_covered", F.col("bed_path").isNull())
     regions = merge_intervals(capture.withColumn("chrom", normalize_chrom(F.col("chrom"))))
-    return Cohort(classify(ingested, quality), samples, sample_phenotype, technologies, regions, build, quality)
+    return Cohort(classify(ingested, quality, clean), samples, sample_phenotype, technologies, regions, build, quality)
 
 
 def stored(calls: DataFrame) -> DataFrame:

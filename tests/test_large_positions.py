@@ -20,6 +20,7 @@ FAR = 1_120_000  # times SPACING / 2 is beyond an int; a multiple of 16 keeps ch
 QUERIES, SQL = cohort_queries.QUERIES | stored_queries.QUERIES, cohort_queries.SQL | stored_queries.SQL
 NAMES = [
     "acmg_class",
+    "af_chrm",
     "af_grch38",
     "bed_regions",
     "capture_cover",

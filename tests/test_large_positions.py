@@ -45,11 +45,27 @@ def text(v):
     return f"{v:.9g}" if isinstance(v, float) else str(v)
 
 
+@pytest.fixture(scope="module")
+def far_later(far, tmp_path_factory):
+    """The same with every other customer moved beyond the ids that add_samples_merge begins with."""
+    d = tmp_path_factory.mktemp("later")
+    for t in TABLES:
+        rows = pq.read_table(f"{far}/{t}.parquet")
+        for key in {"customer": ["c_custkey"], "orders": ["o_custkey"]}.get(t, []):
+            rows = rows.set_column(rows.schema.get_field_index(key), key, pa.array([k + 1000 * (k % 2) for k in rows[key].to_pylist()], pa.int64()))
+        pq.write_table(rows, d / f"{t}.parquet")
+    return str(d)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_far(spark, far, name):
     same_as_sql(spark, far, name)
 
 
+def test_far_added(spark, far_later):
+    same_as_sql(spark, far_later, "add_samples_merge")
+
+
 def test_repeated_and_missing_parts(spark, sf, tmp_path):
     """Part rows twice, three times and not at all: a line counts once for each row of its part."""
     for t in TABLES:

@@ -1,13 +1,13 @@
 """Queries that drive stored cohorts, files and text formats, each with the SQL that gives the same rows.
 
-A cohort is built in the shared folder from the star-schema tables and led through its life once per session: created from the
-samples up to the middle id, grown by the others, corrected, reduced, compacted. Generations are never changed, so the state after
-each step can still be queried.
+A cohort is built in the shared folder from the star-schema tables and led through its life once per session, as far as a query
+needs it: created from the samples up to the middle id, grown by the others, corrected, reduced, compacted. Generations are never
+changed, so the state after each step can still be queried.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -31,7 +31,7 @@ from varicohort.sources.vcf import explode_calls, malformed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 f = SampleFilter.parse
-_LIVES: dict[tuple[str, str], dict] = {}
+_LIVES: dict[tuple[str, str], tuple[dict, Iterator[None]]] = {}
 
 
 def _add(name: str, run: Callable[[SparkSession, str], DataFrame], text: str) -> None:
@@ -43,33 +43,52 @@ def _is_there(root: str) -> bool:
     return where.get_file_info(f"{base}/manifest.json").type == pafs.FileType.File
 
 
-def life(spark: SparkSession, sf_dir: str) -> dict:
-    """States and answers of the cohort after each step of its life."""
+def life(spark: SparkSession, sf_dir: str, step: str = "compacted") -> dict:
+    """States and answers of the cohort after each step of its life, which is led as far as ``step``, by this call or before."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _LIVES and _is_there(_LIVES[key]["db"].root):  # the shared folder may have been emptied
-        return _LIVES[key]
-    c, seen = star_cohort(spark, sf_dir), {}
+    if key in _LIVES and not _is_there(_LIVES[key][0]["db"].root):  # the shared folder may have been emptied
+        del _LIVES[key]
+    if key not in _LIVES:
+        seen: dict = {}
+        _LIVES[key] = seen, _led(spark, sf_dir, seen)
+    seen, led = _LIVES[key]
+    try:
+        while step not in seen:
+            next(led)
+    except BaseException:
+        del _LIVES[key]
+        raise
+    return seen
+
+
+def _led(spark: SparkSession, sf_dir: str, seen: dict) -> Iterator[None]:
+    c = star_cohort(spark, sf_dir)
     path = fresh_path(spark, "cohort")
     middle = c.samples.agg(F.expr("int(max(sample_id) div 2)")).first()[0]
     old, new = (lambda df: df.where(F.col("sample_id") <= middle)), (lambda df: df.where(F.col("sample_id") > middle))
-    records = star_ingested(spark, sf_dir)
+    records = written(star_ingested(spark, sf_dir), "records")
     db = Database.create(spark, path, old(records), old(c.samples), old(c.sample_phenotype), c.technologies, c.capture, quality=QUALITY)
+    seen["csv"], seen["vcf"], seen["sites"], seen["db"] = f"{path}/dump.csv", f"{path}/annotated.vcf", f"{path}/sites.vcf", db
     seen["created"] = db.cohort
+    yield
     seen["added_counts"] = db.add(new(records), new(c.samples), new(c.sample_phenotype))
     seen["added"] = db.cohort
+    yield
     account = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("int").alias("sample_id"), "c_acctbal")
     named = db.cohort.samples.join(account, "sample_id").select("sample_name", "c_acctbal", "sample_id").orderBy("sample_id")
     updates = [{"sample_name": r[0], "field": "sex", "new_value": "female"} for r in named.where("c_acctbal > 9900").collect()]
     updates += [{"sample_name": r[0], "field": "phenotype_codes", "new_value": x} for r in named.where("c_acctbal BETWEEN 9800 AND 9950").collect() for x in ("Q7", " Q9,Q1 ,Q9")]
     db.update_sample_metadata(updates, "by account")
     seen["updated"] = db.cohort
+    yield
     db.remove_samples([r[0] for r in named.where("c_acctbal < -500").collect()])
-    seen["removed"], seen["check"] = db.cohort, check_database(spark, path)
+    seen["removed"] = db.cohort
+    yield
+    seen["check"] = check_database(spark, path)
+    yield
     seen["compact"] = db.compact()
-    seen["compacted"], seen["db"] = db.cohort, db
-    seen["csv"], seen["vcf"], seen["sites"] = f"{path}/dump.csv", f"{path}/annotated.vcf", f"{path}/sites.vcf"
-    _LIVES[key] = seen
-    return seen
+    seen["compacted"] = db.cohort
+    yield
 
 
 def _numbered(df: DataFrame) -> DataFrame:
@@ -116,16 +135,16 @@ _add(
 )
 
 # --- states
-_add("stored_created", lambda spark, d: measures(life(spark, d)["created"], ALL), sql(measures_sql(**_Q, **_HALF), "SELECT * FROM result"))
-_add("add_samples_query", lambda spark, d: measures(life(spark, d)["added"], ALL), sql(measures_sql(**_Q), "SELECT * FROM result"))
+_add("stored_created", lambda spark, d: measures(life(spark, d, "created")["created"], ALL), sql(measures_sql(**_Q, **_HALF), "SELECT * FROM result"))
+_add("add_samples_query", lambda spark, d: measures(life(spark, d, "added")["added"], ALL), sql(measures_sql(**_Q), "SELECT * FROM result"))
 _STORED = f"SELECT DISTINCT {V} FROM calls WHERE (NOT filter_pass OR gt_ac IN (1, 2))"
 _add(
     "add_samples_counts",
-    lambda spark, d: rows_table(spark, [tuple(life(spark, d)["added_counts"][k] for k in ("n_samples", "n_new", "n_updated"))], "n_samples bigint, n_new bigint, n_updated bigint"),
+    lambda spark, d: rows_table(spark, [tuple(life(spark, d, "added")["added_counts"][k] for k in ("n_samples", "n_new", "n_updated"))], "n_samples bigint, n_new bigint, n_updated bigint"),
     sql(f"o AS ({_STORED} AND sample_id <= {_MIDDLE}), n AS ({_STORED} AND sample_id > {_MIDDLE})", f"SELECT (SELECT count(*) FROM samples WHERE sample_id > {_MIDDLE}) AS n_samples, count(*) FILTER (WHERE o.pos IS NULL) AS n_new, count(*) FILTER (WHERE o.pos IS NOT NULL) AS n_updated FROM n LEFT JOIN o USING ({V})"),
 )
-_add("metadata_update_query", lambda spark, d: measures(life(spark, d)["updated"], f(["Q9", "Q3"])), sql(measures_sql(f"{_code('Q9')} OR {_code('Q3')}", **_Q, samples=_NEW_SEX, phen=_NEW_CODES), "SELECT * FROM result"))
-_add("remove_samples_query", lambda spark, d: measures(life(spark, d)["removed"], ALL), sql(measures_sql(**_Q, **_LEFT), "SELECT * FROM result"))
+_add("metadata_update_query", lambda spark, d: measures(life(spark, d, "updated")["updated"], f(["Q9", "Q3"])), sql(measures_sql(f"{_code('Q9')} OR {_code('Q3')}", **_Q, samples=_NEW_SEX, phen=_NEW_CODES), "SELECT * FROM result"))
+_add("remove_samples_query", lambda spark, d: measures(life(spark, d, "removed")["removed"], ALL), sql(measures_sql(**_Q, **_LEFT), "SELECT * FROM result"))
 _add("compact_query", lambda spark, d: measures(life(spark, d)["compacted"], ALL), sql(measures_sql(**_Q, **_LEFT_KEPT), "SELECT * FROM result"))
 _add(
     "compact_counts",
@@ -133,8 +152,8 @@ _add(
     # calls of three and more copies are in no class, but stored
     sql("x AS (SELECT 1)", f"SELECT count(DISTINCT ({V})) FILTER (WHERE any_class) AS variants_before, count(DISTINCT ({V})) FILTER (WHERE any_class) - count(DISTINCT ({V})) FILTER (WHERE any_class AND here) AS variants_removed, count(*) AS rows_before, count(*) FILTER (WHERE NOT (any_class AND here)) AS rows_removed FROM (SELECT *, NOT filter_pass OR gt_ac IN (1, 2) AS any_class, sample_id NOT IN {_GONE} AS here FROM calls)"),
 )
-_add("info_counts", lambda spark, d: life(spark, d)["db"].counts_frame(), sql(f"s AS ({_LEFT['samples']}), p AS ({_LEFT['phen']})", "SELECT 'all' AS axis, 'samples' AS value, count(*) AS n FROM s UNION ALL SELECT 'sex', sex, count(*) FROM s GROUP BY sex UNION ALL SELECT 'tech', tech_name, count(*) FROM s JOIN tech USING (tech_id) GROUP BY tech_name UNION ALL SELECT 'phenotype', code, count(*) FROM p GROUP BY code"))
-_add("list_samples", lambda spark, d: _numbered(life(spark, d)["db"].samples_frame().drop("vcf_path", "ingested_at")).withColumn("phenotypes", F.array_join("phenotypes", ",")), sql(f"s AS ({_LEFT['samples']}), p AS ({_LEFT['phen']})", "SELECT s.sample_id, sample_name, sex, tech_name AS tech, coalesce((SELECT string_agg(code, ',' ORDER BY code) FROM p WHERE p.sample_id = s.sample_id), '') AS phenotypes, row_number() OVER (ORDER BY s.sample_id) AS ord FROM s JOIN tech USING (tech_id)"))
+_add("info_counts", lambda spark, d: life(spark, d, "removed")["db"].counts_frame(), sql(f"s AS ({_LEFT['samples']}), p AS ({_LEFT['phen']})", "SELECT 'all' AS axis, 'samples' AS value, count(*) AS n FROM s UNION ALL SELECT 'sex', sex, count(*) FROM s GROUP BY sex UNION ALL SELECT 'tech', tech_name, count(*) FROM s JOIN tech USING (tech_id) GROUP BY tech_name UNION ALL SELECT 'phenotype', code, count(*) FROM p GROUP BY code"))
+_add("list_samples", lambda spark, d: _numbered(life(spark, d, "removed")["db"].samples_frame().drop("vcf_path", "ingested_at")).withColumn("phenotypes", F.array_join("phenotypes", ",")), sql(f"s AS ({_LEFT['samples']}), p AS ({_LEFT['phen']})", "SELECT s.sample_id, sample_name, sex, tech_name AS tech, coalesce((SELECT string_agg(code, ',' ORDER BY code) FROM p WHERE p.sample_id = s.sample_id), '') AS phenotypes, row_number() OVER (ORDER BY s.sample_id) AS ord FROM s JOIN tech USING (tech_id)"))
 _add("next_id", lambda spark, d: rows_table(spark, [(life(spark, d)["db"].manifest["next_sample_id"], life(spark, d)["db"].manifest["sample_count"], life(spark, d)["db"].manifest["db_version"])], "next_id int, sample_count int, version string"), sql("x AS (SELECT 1)", f"SELECT CAST(max(sample_id) + 1 AS INT) AS next_id, CAST(count(*) FILTER (WHERE sample_id NOT IN {_GONE}) AS INT) AS sample_count, '1.2' AS version FROM samples"))
 _add(
     "changelog_tail",
@@ -152,7 +171,7 @@ UNION ALL SELECT 5, 0, 'compact', NULL, NULL, NULL)""",
 )
 _add(
     "check_query",
-    lambda spark, d: rows_table(spark, life(spark, d)["check"], "severity string, message string"),
+    lambda spark, d: rows_table(spark, life(spark, d, "check")["check"], "severity string, message string"),
     sql("x AS (SELECT 1)", f"SELECT 'warning' AS severity, 'call of a removed sample: ' || count(*) || ' calls' AS message FROM calls WHERE sample_id IN {_GONE} UNION ALL SELECT 'info', (SELECT count(*) FROM samples WHERE sample_id NOT IN {_GONE}) || ' samples, chromosomes chr1, chr2, chrX, chrY, chrM, version 1.2'"),
 )
 

@@ -352,11 +352,13 @@ class Database:
         if not names:
             return
         c = self.cohort
-        ids = {r["sample_name"]: r["sample_id"] for r in c.samples.where(F.col("sample_name").isin(list(names))).collect()}
+        asked = rows_table(self.spark, [(n,) for n in dict.fromkeys(names)], "sample_name string")  # a table, as a condition of many names is slow to plan
+        ids = {r["sample_name"]: r["sample_id"] for r in c.samples.join(asked, "sample_name", "left_semi").select("sample_name", "sample_id").collect()}
         if missing := [n for n in names if n not in ids]:
             raise UpdateError(f"Samples not found: {', '.join(missing)}")
         gone = list(ids.values())
-        keep = lambda df: df.where(~F.col("sample_id").isin(gone))
+        taken = rows_table(self.spark, [(i,) for i in gone], "sample_id int")
+        keep = lambda df: df.where("sample_id IS NOT NULL").join(taken, "sample_id", "left_anti").select(*df.columns)
         m = dict(self.manifest) | {"sample_count": c.samples.count() - len(gone), "updated_at": _now()}
         self._commit({"samples": keep(c.samples), "sample_phenotype": keep(c.sample_phenotype)}, [("remove_samples", _now(), list(dict.fromkeys(names)), f"{len(gone)} samples removed")], m)
 

@@ -22,6 +22,7 @@ NAMES = [
     "acmg_class",
     "af_chrm",
     "af_grch38",
+    "af_point_allele",
     "annotate_repeats",
     "bed_regions",
     "capture_cover",

@@ -24,6 +24,7 @@ NAMES = [
     "af_grch38",
     "af_point_allele",
     "annotate_repeats",
+    "batch",
     "bed_regions",
     "capture_cover",
 ]

@@ -27,6 +27,7 @@ NAMES = [
     "batch",
     "bed_regions",
     "capture_cover",
+    "directional_errors",
 ]
 
 

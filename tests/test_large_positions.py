@@ -28,6 +28,7 @@ NAMES = [
     "bed_regions",
     "capture_cover",
     "directional_errors",
+    "dump_all",
 ]
 
 

@@ -29,6 +29,7 @@ NAMES = [
     "capture_cover",
     "directional_errors",
     "dump_all",
+    "dump_by_sex",
 ]
 
 

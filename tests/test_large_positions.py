@@ -30,6 +30,7 @@ NAMES = [
     "directional_errors",
     "dump_all",
     "dump_by_sex",
+    "dump_range",
 ]
 
 

@@ -27,6 +27,7 @@ NAMES = [
     "batch",
     "bed_regions",
     "capture_cover",
+    "compact_counts",
     "directional_errors",
     "dump_all",
     "dump_by_sex",

@@ -32,6 +32,7 @@ NAMES = [
     "dump_all",
     "dump_by_sex",
     "dump_range",
+    "filter_combined",
 ]
 
 

@@ -33,6 +33,7 @@ NAMES = [
     "dump_by_sex",
     "dump_range",
     "filter_combined",
+    "info_counts",
 ]
 
 

@@ -34,6 +34,7 @@ NAMES = [
     "dump_range",
     "filter_combined",
     "info_counts",
+    "list_samples",
 ]
 
 

@@ -33,6 +33,7 @@ NAMES = [
     "dump_by_sex",
     "dump_range",
     "filter_combined",
+    "filter_pheno_include",
     "info_counts",
     "list_samples",
     "metadata_update_query",

@@ -37,6 +37,7 @@ NAMES = [
     "info_counts",
     "list_samples",
     "metadata_update_query",
+    "nocov_all",
 ]
 
 

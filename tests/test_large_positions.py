@@ -38,6 +38,7 @@ NAMES = [
     "list_samples",
     "metadata_update_query",
     "nocov_all",
+    "outer_compare",
 ]
 
 

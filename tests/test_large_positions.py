@@ -39,6 +39,7 @@ NAMES = [
     "metadata_update_query",
     "nocov_all",
     "outer_compare",
+    "qc_fail_band",
 ]
 
 

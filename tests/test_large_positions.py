@@ -34,6 +34,7 @@ NAMES = [
     "dump_range",
     "filter_combined",
     "filter_pheno_include",
+    "filter_tech_exclude",
     "info_counts",
     "list_samples",
     "metadata_update_query",

@@ -39,6 +39,7 @@ NAMES = [
     "list_samples",
     "metadata_update_query",
     "nocov_all",
+    "nocov_min_pass",
     "outer_compare",
     "qc_fail_band",
 ]

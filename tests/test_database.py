@@ -9,6 +9,7 @@ import warnings
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import DataFrameReader
 
 from varicohort import cli
 from varicohort.database import Database, UpdateError, next_version
@@ -161,6 +162,15 @@ def test_changes(db, files):
     assert [e["event_type"] for e in db.changelog()] == ["version_set", "compact", "remove_samples", "UPDATE_SAMPLE", "UPDATE_SAMPLE", "add_samples", "preprocess"]
 
 
+def test_changes_of_samples_list_no_calls_again(db, monkeypatch):
+    read, asked = DataFrameReader.parquet, []
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *paths, **o: (asked.extend(paths), read(self, *paths, **o))[1])
+    db.update_sample_metadata([{"sample_name": "A", "field": "sex", "new_value": "female"}])
+    db.remove_samples(["B"])
+    assert asked and not [p for p in asked if "/calls/" in p]
+    assert [r["sample_name"] for r in db.list_samples()] == ["A", "C"] and one(db.query("chr1", 1600))["AC"] == 1
+
+
 def test_check_of_damaged_folders(spark, db, tmp_path):
     import shutil
 

@@ -128,15 +128,23 @@ class Database:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.root = spark, _uri(path)
+        self._gens: dict[tuple[str, bool], DataFrame] = {}
         self._load()
 
+    def _generation(self, gen: str, wide: list[str]) -> DataFrame:
+        """Calls of a generation. Its many folders are listed once, as generations never change."""
+        key = gen, "calls" in wide
+        if key not in self._gens:
+            self._gens[key] = self.spark.read.schema(_schema("calls", wide)).parquet(f"{self.root}/calls/{gen}")
+        return self._gens[key]
+
     def _load(self) -> None:
         self.manifest = _read_manifest(self.root)
         m = self.manifest
         wide = m.get("wide", [])
         dims = {t: self.spark.read.schema(_schema(t, wide)).parquet(f"{self.root}/dims/{m['dims']}/{t}") for t in DIMS}
         self.changes = dims["changelog"]
-        gens = [self.spark.read.schema(_schema("calls", wide)).parquet(f"{self.root}/calls/{g}") for g in m["calls"]]
+        gens = [self._generation(g, wide) for g in m["calls"]]
         calls = gens[0]
         for g in gens[1:]:
             calls = calls.unionByName(g)
@@ -336,7 +344,8 @@ class Database:
         path = f"{self.root}/calls/{gen}"
         _write_calls(classify(ingested, c.quality), path)
         m["wide"] = sorted({*m.get("wide", []), *_wide(ingested, capture)})
-        counts = merge_counts(c.calls, self.spark.read.schema(_schema("calls", m["wide"])).parquet(path)).agg(F.sum("n_new"), F.sum("n_updated")).first()
+        self._gens.pop((gen, "calls" in m["wide"]), None)  # of an attempt that failed
+        counts = merge_counts(c.calls, self._generation(gen, m["wide"])).agg(F.sum("n_new"), F.sum("n_updated")).first()
         m |= {"calls": [*m["calls"], gen], "next_sample_id": top + 1, "sample_count": c.samples.count() + n, "updated_at": _now(), "db_version": db_version or next_version(m["db_version"])}
         names = [r[0] for r in samples.select("sample_name").orderBy("sample_id").collect()]
         changes = {"samples": _fit(c.samples, "samples").unionByName(_fit(samples, "samples")), "sample_phenotype": _fit(c.sample_phenotype, "sample_phenotype").unionByName(_fit(sample_phenotype.distinct(), "sample_phenotype"))}

@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 
+from varicohort import database
 from varicohort.database import Database
 from varicohort.operators.coverage import merge_intervals
 from varicohort.plans import cohort_queries, stored_queries
@@ -84,6 +85,18 @@ def test_far_added(spark, far_later):
     same_as_sql(spark, far_later, "add_samples_merge")
 
 
+def test_compacted_without_check(spark, far, tmp_path, monkeypatch):
+    """Compaction waits for no check, which can still be made of the state before; stretches are made with the regions only."""
+    os.symlink(far, tmp_path / "again")
+    made, make = [], database.segments
+    with monkeypatch.context() as m:
+        m.setattr(database, "segments", lambda c: made.append(c) or make(c))
+        m.setattr(stored_queries, "check_database", None)
+        same_as_sql(spark, str(tmp_path / "again"), "compact_counts")
+    assert len(made) == 1
+    same_as_sql(spark, str(tmp_path / "again"), "check_query")
+
+
 def test_repeated_and_missing_parts(spark, sf, tmp_path):
     """Part rows twice, three times and not at all: a line counts once for each row of its part."""
     for t in TABLES:

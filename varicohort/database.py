@@ -30,7 +30,7 @@ from varicohort.operators.measures import measures
 from varicohort.plans import export, queries as Q
 from varicohort.plans.annotate import annotate, annotate_stats
 from varicohort.plans.cohort import VARIANT, Cohort, Quality, bucketed, classify
-from varicohort.plans.maintain import check_calls, compacted, merge_counts
+from varicohort.plans.maintain import check_calls, compact_counts, compacted, merge_counts
 from varicohort.session import can_broadcast, rows_table, scratch, written
 from varicohort.sources.texts import listed_codes, problems, read_bed, read_manifest
 from varicohort.sources.vcf import read_calls, read_sites, write_annotated
@@ -126,10 +126,11 @@ def _stamp(path: str) -> tuple:
 class Database:
     """The public interface to a stored cohort. Query methods give DataFrames; ``None`` arguments do not restrict."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, manifest: dict | None = None):
+        """``manifest`` is that of an earlier state; changes are made to the current one only."""
         self.spark, self.root = spark, _uri(path)
         self._gens: dict[tuple[str, bool], DataFrame] = {}
-        self._load()
+        self._load(manifest)
 
     def _generation(self, gen: str, wide: list[str]) -> DataFrame:
         """Calls of a generation. Its many folders are listed once, as generations never change."""
@@ -138,8 +139,8 @@ class Database:
             self._gens[key] = self.spark.read.schema(_schema("calls", wide)).parquet(f"{self.root}/calls/{gen}")
         return self._gens[key]
 
-    def _load(self) -> None:
-        self.manifest = _read_manifest(self.root)
+    def _load(self, manifest: dict | None = None) -> None:
+        self.manifest = manifest or _read_manifest(self.root)
         m = self.manifest
         wide = m.get("wide", [])
         dims = {t: self.spark.read.schema(_schema(t, wide)).parquet(f"{self.root}/dims/{m['dims']}/{t}") for t in DIMS}
@@ -316,6 +317,8 @@ class Database:
         c = self.cohort
         dims = {"samples": c.samples, "sample_phenotype": c.sample_phenotype, "technologies": c.technologies, "capture": c.capture} | changes
         dims["changelog"] = self.changes.unionByName(log)
+        if "capture" not in changes:
+            dims["stretches"] = c.stretches
         _store_dims(self.spark, self.root, manifest, dims)
         self._load()
 
@@ -413,15 +416,12 @@ class Database:
     def compact(self) -> dict:
         """Rewrite the calls without those of removed samples; variants that nobody carries any more vanish."""
         m, c = dict(self.manifest), self.cohort
-        before = c.calls.where("is_het OR is_hom OR is_fail").select(*VARIANT).distinct().count()
-        rows = c.calls.count()
+        before, rows, after, left = compact_counts(c.calls, c.samples).first()
         gen = f"gen-{m['generation'] + 1}"
         _write_calls(compacted(c.calls, c.samples).drop("bucket"), f"{self.root}/calls/{gen}")
         m |= {"calls": [gen], "last_compact": _now(), "updated_at": _now()}
         self._commit({}, [("compact", _now(), None, f"rows before: {rows}")], m)
-        now = self.cohort.calls
-        after = now.where("is_het OR is_hom OR is_fail").select(*VARIANT).distinct().count()
-        return {"variants_before": before, "variants_removed": before - after, "rows_before": rows, "rows_removed": rows - now.count()}
+        return {"variants_before": before, "variants_removed": before - after, "rows_before": rows, "rows_removed": rows - left}
 
     def set_db_version(self, version: str) -> None:
         self._commit({}, [("version_set", _now(), None, version)], dict(self.manifest) | {"db_version": version, "updated_at": _now()})
@@ -447,12 +447,15 @@ class Database:
         return out
 
 
-def check_database(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """(severity, message) for a folder that may not even be a cohort; stops at what makes the rest impossible."""
+def check_database(spark: SparkSession, path: str, manifest: dict | None = None) -> list[tuple[str, str]]:
+    """(severity, message) for a folder that may not even be a cohort; stops at what makes the rest impossible.
+
+    ``manifest`` is that of an earlier state, to check that one.
+    """
     root = _uri(path)
     where, base = pafs.FileSystem.from_uri(root)
     try:
-        m = _read_manifest(root)
+        m = manifest or _read_manifest(root)
     except FileNotFoundError:
         return [("error", "manifest.json is missing")]
     except ValueError as e:
@@ -463,7 +466,7 @@ def check_database(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     parts = [*(f"calls/{g}" for g in m["calls"]), *(f"dims/{m['dims']}/{t}" for t in DIMS)]
     out = [("error", f"{p} is missing") for p in parts if where.get_file_info(f"{base}/{p}").type != pafs.FileType.Directory]
     out += [(r["severity"], r["message"]) for r in check_files(spark, root, parts).orderBy("message").limit(1000).collect()]
-    return out or Database(spark, path).check()
+    return out or Database(spark, path, manifest).check()
 
 
 def check_files(spark: SparkSession, root: str, parts: list[str]) -> DataFrame:
@@ -514,7 +517,8 @@ def _one_file(df: DataFrame) -> DataFrame:
 def _store_dims(spark: SparkSession, root: str, manifest: dict, dims: dict[str, DataFrame]) -> None:
     manifest["generation"] = manifest.get("generation", 0) + 1
     gen = f"gen-{manifest['generation']}"
-    dims = dims | {"stretches": segments(dims["capture"])}
+    if "stretches" not in dims:
+        dims = dims | {"stretches": segments(dims["capture"])}
     with ThreadPoolExecutor(4) as pool:  # small independent jobs
         list(pool.map(lambda kv: _one_file(_fit(kv[1], kv[0], manifest.get("wide", []))).write.parquet(f"{root}/dims/{gen}/{kv[0]}"), dims.items()))
     manifest["dims"] = gen

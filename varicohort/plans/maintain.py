@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from varicohort.functions.chrom import CHROMS
 from varicohort.plans.cohort import VARIANT, stored
+from varicohort.session import can_broadcast
 
 
 def merge_counts(existing: DataFrame, added: DataFrame) -> DataFrame:
@@ -16,18 +17,33 @@ def merge_counts(existing: DataFrame, added: DataFrame) -> DataFrame:
     # with the bucket among the keys, a small addition prunes the files of the calls that are there
     keys = [*VARIANT, *(["bucket"] if "bucket" in existing.columns and "bucket" in added.columns else [])]
     new = stored(added).select(*keys).distinct()
-    old = stored(existing).join(new, keys, "left_semi").select(*VARIANT).distinct().withColumn("__old", F.lit(True))
-    return new.join(old, VARIANT, "left").groupBy("chrom").agg(F.count_if(F.col("__old").isNull()).alias("n_new"), F.count_if(F.col("__old").isNotNull()).alias("n_updated"))
+    old = stored(existing).select(*keys).distinct().withColumn("__old", F.lit(True))
+    return new.join(old, keys, "left").groupBy("chrom").agg(F.count_if(F.col("__old").isNull()).alias("n_new"), F.count_if(F.col("__old").isNotNull()).alias("n_updated"))
+
+
+def _ids(samples: DataFrame) -> DataFrame:
+    """The ids of ``samples``, once each; broadcast if they are known to be few, so that calls need not be shuffled to meet them."""
+    ids = samples.select("sample_id").distinct()
+    return F.broadcast(ids) if can_broadcast(samples) else ids
 
 
 def compacted(calls: DataFrame, samples: DataFrame) -> DataFrame:
     """Calls of samples that are still there; variants without any such call vanish."""
-    return stored(calls).join(samples.select("sample_id").distinct(), "sample_id", "left_semi")
+    return stored(calls).join(_ids(samples), "sample_id", "left_semi")
+
+
+def compact_counts(calls: DataFrame, samples: DataFrame) -> DataFrame:
+    """One row: variants and rows of ``calls``, variants and rows that ``compacted`` leaves; the calls are read once."""
+    c = calls.join(_ids(samples).withColumn("__here", F.lit(True)), "sample_id", "left")
+    there = F.col("is_het") | F.col("is_hom") | F.col("is_fail")
+    per = c.groupBy(*VARIANT).agg(F.count("*").alias("rows"), F.count_if(there).alias("there"), F.count_if(there & F.col("__here").isNotNull()).alias("left"))
+    total = lambda k: F.coalesce(F.sum(k), F.lit(0))
+    return per.agg(F.count_if(F.col("there") > 0), total("rows"), F.count_if(F.col("left") > 0), total("left"))
 
 
 def check_calls(calls: DataFrame, samples: DataFrame) -> DataFrame:
     """severity, message, n of everything in the calls that should not be there; no row for a rule that holds."""
-    known = samples.select("sample_id").distinct().withColumn("__known", F.lit(True))
+    known = _ids(samples).withColumn("__known", F.lit(True))
     flags = calls.join(known, "sample_id", "left").agg(
         F.count_if(~F.coalesce(F.col("chrom").isin(CHROMS), F.lit(False))).alias("unknown chromosome"),
         F.count_if(F.col("pos").isNull() | (F.col("pos") < 1)).alias("position below 1"),
